@@ -46,18 +46,14 @@ def order_cell(x: Column | str, per_e: int = 2048) -> Column:
 
     ``x <= y`` implies ``order_cell(x) <= order_cell(y)``. Buckets are ``1/per_e``
     wide on the log scale, so a large group splits into thousands of buckets
-    that can be ordered apart; NaN goes last, like in Spark's own ordering.
+    that can be ordered apart. NULL comes first and NaN last, like in Spark's
+    own ordering; the bucket itself is never NULL.
     """
     x = column(x).cast("double")
     # ln of a double lies within (-745, 710), so the shift keeps the sign apart.
     size = F.floor(F.log(F.abs(x)) * F.lit(float(per_e))) + F.lit(800 * per_e).cast("bigint")
-    return (
-        F.when(x.isNull(), F.lit(None).cast("bigint"))
-        .when(F.isnan(x), F.lit(2**62))
-        .when(x == 0.0, F.lit(0).cast("bigint"))
-        .when(x > 0.0, size)
-        .otherwise(-size)
-    )
+    bucket = F.when(F.isnan(x), F.lit(2**62)).when(x == 0.0, F.lit(0).cast("bigint")).when(x > 0.0, size).otherwise(-size)
+    return F.coalesce(F.when(x.isNotNull(), bucket), F.lit(-(2**62)))
 
 
 def reciprocal_span(z: Column, p: Column) -> Column:

@@ -117,7 +117,7 @@ def combine_matrices(base: DataFrame, reduced: DataFrame, key: str = "case_id",
     for c in ("_base", "_red"):
         if joined.schema[c].dataType.typeName() == "array":
             joined = joined.withColumn(c, array_to_vector(c))
-    made = VectorAssembler(inputCols=["_base", "_red"], outputCol="_all", handleInvalid="keep").transform(joined)
+    made = VectorAssembler(inputCols=["_base", "_red"], outputCol="_all").transform(joined)
     return made.drop("_base", "_red").withColumnRenamed("_all", out)
 
 

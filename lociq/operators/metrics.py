@@ -10,17 +10,21 @@ task or locus is not sorted in one piece.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.functions.scalars import clip, order_cell, reciprocal_span
-from lociq.operators.prefix import CELL, before_cell
+from lociq.operators.prefix import CELL, before_cell, no_null
 
 
 def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Positives ``p`` and negatives ``n`` per distinct score, with the score's cell."""
-    counts = df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+    """Positives ``p`` and negatives ``n`` per distinct score, with the score's cell.
+
+    A row with a NULL key belongs to no evaluation; a NULL score ranks last.
+    """
+    counts = df.where(no_null(keys)).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
         F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n")
     )
     return counts.withColumn(CELL, order_cell("score"))
@@ -85,6 +89,10 @@ def _aupvr_dg() -> Column:
 AREAS = {"auroc": _auroc, "aupvr_step": _aupvr_step, "aupvr_dg": _aupvr_dg}
 
 
+def _area_columns(which: Sequence[str]) -> list[Column]:
+    return [AREAS[name]().alias(name) for name in which] + [F.max("pos").alias("positives"), F.max("neg").alias("negatives")]
+
+
 def areas(
     df: DataFrame, keys: Sequence[str], which: Sequence[str] = ("auroc", "aupvr_step", "aupvr_dg"), score: str = "score", label: str = "label"
 ) -> DataFrame:
@@ -92,12 +100,7 @@ def areas(
 
     An area that is not defined (one class only) is NULL.
     """
-    points = threshold_counts(df, keys, score, label)
-    return points.groupBy(*keys).agg(
-        *[AREAS[name]().alias(name) for name in which],
-        F.max("pos").alias("positives"),
-        F.max("neg").alias("negatives"),
-    )
+    return threshold_counts(df, keys, score, label).groupBy(*keys).agg(*_area_columns(which))
 
 
 def auroc(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -206,3 +209,84 @@ def evaluate(
     if not grouped:
         return out
     return out.join(avgranks(df, keys, locus, score, label), list(keys))
+
+
+def fold_points(df: DataFrame, keys: Sequence[str], n_fold: int, score: str = "score", label: str = "label", fold: str = "fold") -> DataFrame:
+    """Threshold rows of the test and train side of every fold, for scores that do not depend on the fold.
+
+    The counts of all folds travel as columns of one row per distinct score, so
+    ordering and shuffling happen once, not once per fold and role; only the
+    last step, which feeds an aggregate, spreads a row over (test_fold, role).
+    The train side is the whole minus the test side.
+    """
+    folds = range(1, n_fold + 1)
+    ps, ns = [f"p{k}" for k in folds], [f"n{k}" for k in folds]
+    y = F.col(label).cast("bigint")
+    counts = (
+        df.where(no_null(keys))
+        .groupBy(*keys, F.col(score).cast("double").alias("score"))
+        .agg(
+            *[F.sum(F.when(F.col(fold) == k, y).otherwise(0)).alias(f"p{k}") for k in folds],
+            *[F.sum(F.when(F.col(fold) == k, 1 - y).otherwise(0)).alias(f"n{k}") for k in folds],
+        )
+        .withColumn(CELL, order_cell("score"))
+    )
+    cells = counts.groupBy(*keys, CELL).agg(*[F.sum(c).alias(c) for c in ps + ns])
+    offsets = before_cell(cells, keys, ps + ns, descending=True)
+    down = Window.partitionBy(*keys, CELL).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = [(F.sum(c).over(down)).alias(f"t{c}") for c in ps + ns]
+    joined = counts.select("*", *upto).join(offsets, [*keys, CELL])
+
+    # (name, column of fold k): the six counts of a threshold row.
+    parts = {
+        "p": lambda k: F.col(f"p{k}"),
+        "n": lambda k: F.col(f"n{k}"),
+        "tp": lambda k: F.col(f"tp{k}") + F.col(f"p{k}_before"),
+        "fp": lambda k: F.col(f"tn{k}") + F.col(f"n{k}_before"),
+        "pos": lambda k: F.col(f"p{k}_total"),
+        "neg": lambda k: F.col(f"n{k}_total"),
+    }
+    whole = [reduce(lambda a, b: a + b, map(part, folds)).alias(f"all_{name}") for name, part in parts.items()]
+    mine = F.array(*[F.struct(F.lit(k).alias("test_fold"), *[part(k).alias(name) for name, part in parts.items()]) for k in folds])
+    # With a single fold there is nothing to test on: every case trains.
+    roles = F.array(F.lit("test"), F.lit("train")) if n_fold > 1 else F.array(F.lit("train"))
+    test = (F.col("role") == "test") | F.lit(n_fold == 1)
+    return (
+        joined.select(*keys, "score", *whole, F.explode(mine).alias("_m"))
+        .select(*keys, "score", "_m.*", *[f"all_{name}" for name in parts], F.explode(roles).alias("role"))
+        .select(
+            *keys,
+            "test_fold",
+            "role",
+            "score",
+            *[F.when(test, F.col(name)).otherwise(F.col(f"all_{name}") - F.col(name)).alias(name) for name in parts],
+        )
+        .where(F.col("p") + F.col("n") > 0)
+    )
+
+
+def evaluate_folds(
+    df: DataFrame,
+    keys: Sequence[str],
+    n_fold: int,
+    grouped: bool = True,
+    which: Sequence[str] = ("auroc", "aupvr_step", "aupvr_dg"),
+    locus: str = "locus_id",
+    score: str = "score",
+    label: str = "label",
+) -> DataFrame:
+    """Like ``evaluate`` for every (keys, test_fold, role), for scores that do not depend on the fold."""
+    task = [*keys, "test_fold", "role"]
+    out = fold_points(df, keys, n_fold, score, label).groupBy(*task).agg(*_area_columns(which))
+    if not grouped:
+        return out
+    p, n = F.col("p"), F.col("n")
+    ranks = (
+        fold_points(df, [*keys, locus], n_fold, score, label)
+        .groupBy(*task)
+        .agg(
+            F.try_divide(F.sum(p * (F.col("tp") + F.col("fp") - (p + n - 1) / 2.0)), F.sum(p)).alias("avgrank_all"),
+            F.try_divide(F.sum(p * (1 + F.col("fp") - n / 2.0)), F.sum(p)).alias("avgrank_neg"),
+        )
+    )
+    return out.join(ranks, task)

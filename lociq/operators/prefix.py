@@ -8,6 +8,7 @@ its offset, and only the inside of a cell is sorted.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,15 @@ from pyspark.sql import functions as F
 CELL = "_cell"
 
 
+def no_null(keys: Sequence[str]) -> Column:
+    """All keys are set.
+
+    Stated before the two branches of a cell join part, so that both read the
+    same exchange instead of filtering, and therefore computing, it twice.
+    """
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+
+
 def before_cell(cells: DataFrame, keys: Sequence[str], sums: Sequence[str], descending: bool = False) -> DataFrame:
     """Per cell: totals of the cells before it (``<c>_before``) and of the group (``<c>_total``)."""
     order = F.col(CELL).desc() if descending else F.col(CELL).asc()
@@ -41,7 +51,7 @@ def numbered(
     Sorting happens per (group, draw cell), so a group that holds a third of
     all rows still spreads over ``cells`` tasks.
     """
-    tagged = df.withColumn("_draw", draw).withColumn(CELL, F.floor(F.col("_draw") * cells).cast("int"))
+    tagged = df.where(no_null(keys)).withColumn("_draw", draw).withColumn(CELL, F.floor(F.col("_draw") * cells).cast("int"))
     totals = tagged.groupBy(*keys, CELL).agg(F.count(F.lit(1)).alias("_n"))
     offsets = before_cell(totals, keys, ["_n"])
     inside = Window.partitionBy(*keys, CELL).orderBy("_draw", tie)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.operators.metrics import evaluate
+from lociq.operators.metrics import evaluate, evaluate_folds
 
 TASK = ["config_id", "rep", "test_fold"]
 METRICS = ["auroc", "aupvr_step", "aupvr_dg", "avgrank_all", "avgrank_neg"]
@@ -63,5 +63,5 @@ def roles_to_columns(long: DataFrame, keys: Sequence[str] = TASK, metrics: Seque
 
 def score_tasks(cases: DataFrame, scores: DataFrame, folds: DataFrame, n_fold: int, grouped: bool = True) -> DataFrame:
     """Given scores, measured on the train and test side of every task."""
-    members = members_by_role(given_score_rows(cases, scores, folds), n_fold)
-    return roles_to_columns(role_metrics(members, grouped=grouped))
+    rows = given_score_rows(cases, scores, folds)
+    return roles_to_columns(evaluate_folds(rows, ["config_id", "rep"], n_fold, grouped))
