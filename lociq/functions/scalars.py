@@ -56,32 +56,30 @@ def order_cell(x: Column | str, per_e: int = 2048) -> Column:
     return F.coalesce(F.when(x.isNotNull(), bucket), F.lit(-(2**62)))
 
 
-def reciprocal_span(z: Column, p: Column) -> Column:
-    """Sum of 1/(z+x) for x = 1..p, for z >= 0 and integer p, without a loop over p.
+def reciprocal_span(z: str, p: str) -> str:
+    """SQL text for the sum of 1/(z+x) over x = 1..p, with z >= 0 and integer p, without a loop over p.
 
     Up to 32 terms are added one by one; beyond that the difference of two
     digamma values is taken in a form free of cancellation.
     """
-    direct = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), F.least(F.greatest(p.cast("bigint"), F.lit(1)), F.lit(32))),
-        F.lit(0.0),
-        lambda acc, x: acc + 1.0 / (z + x),
-    )
+    direct = f"aggregate(sequence(1L, least(greatest(CAST({p} AS BIGINT), 1L), 32L)), 0D, (acc, x) -> acc + 1D / ({z} + x))"
     # The first eight terms move the lower end to where the asymptotic series holds.
-    head = sum((1.0 / (z + float(i)) for i in range(1, 9)), F.lit(0.0))
-    low, high = z + 9.0, z + p + 1.0
-    tail = F.log1p((p - 8.0) / low) + _digamma_rest(high) - _digamma_rest(low)
-    return F.when(p <= 0, F.lit(0.0)).when(p <= 32, direct).otherwise(head + tail)
+    head = " + ".join(f"1D / ({z} + {i}D)" for i in range(1, 9))
+    low, high = f"({z} + 9D)", f"({z} + {p} + 1D)"
+    tail = f"log1p(({p} - 8D) / {low}) + {_digamma_rest(high)} - {_digamma_rest(low)}"
+    return f"(CASE WHEN {p} <= 0 THEN 0D WHEN {p} <= 32 THEN {direct} ELSE {head} + {tail} END)"
 
 
-def _digamma_rest(x: Column) -> Column:
+def _digamma_rest(x: str) -> str:
     """digamma(x) - ln(x) for x >= 9, asymptotic series."""
-    r = 1.0 / (x * x)
-    series = 1.0 / 12 - r * (1.0 / 120 - r * (1.0 / 252 - r * (1.0 / 240 - r * (1.0 / 132 - r * (691.0 / 32760)))))
-    return -0.5 / x - r * series
+    r = f"(1D / ({x} * {x}))"
+    series = f"(1D/12 - {r} * (1D/120 - {r} * (1D/252 - {r} * (1D/240 - {r} * (1D/132 - {r} * (691D/32760))))))"
+    return f"(-0.5D / {x} - {r} * {series})"
 
 
 def hp_text(hp: Column | str) -> Column:
     """Parameter map as one display string ``k=v, k=v`` with sorted keys."""
-    pairs = F.array_sort(F.transform(F.map_entries(column(hp)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    pairs = F.array_sort(
+        F.transform(F.map_entries(column(hp)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    )
     return F.array_join(pairs, ", ")

@@ -10,12 +10,11 @@ task or locus is not sorted in one piece.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociq.functions.scalars import clip, order_cell, reciprocal_span
+from lociq.functions.scalars import order_cell, reciprocal_span
 from lociq.operators.prefix import CELL, before_cell, no_null
 
 
@@ -30,10 +29,14 @@ def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score", label
     return counts.withColumn(CELL, order_cell("score"))
 
 
-def _running(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``tp``/``fp``: positives and negatives down to this score within its cell, best score first."""
-    down = Window.partitionBy(*keys, CELL).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
+def _quoted(keys: Sequence[str]) -> list[str]:
+    return [f"`{k}`" for k in keys]
+
+
+def _upto(keys: Sequence[str], sums: Sequence[str]) -> list[str]:
+    """SQL of the running sums within a cell, best score first, this score included: ``t<c>``."""
+    part = ", ".join([*_quoted(keys), CELL])
+    return [f"sum({c}) OVER (PARTITION BY {part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS t{c}" for c in sums]
 
 
 def threshold_counts(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -41,65 +44,54 @@ def threshold_counts(df: DataFrame, keys: Sequence[str], score: str = "score", l
     counts = score_counts(df, keys, score, label)
     cells = counts.groupBy(*keys, CELL).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     offsets = before_cell(cells, keys, ["p", "n"], descending=True)
-    return (
-        _running(counts, keys)
-        .join(offsets, [*keys, CELL])
-        .select(
-            *keys,
-            "score",
-            "p",
-            "n",
-            (F.col("tp") + F.col("p_before")).alias("tp"),
-            (F.col("fp") + F.col("n_before")).alias("fp"),
-            F.col("p_total").alias("pos"),
-            F.col("n_total").alias("neg"),
-        )
-    )
+    joined = counts.selectExpr("*", *_upto(keys, ["p", "n"])).join(offsets, [*keys, CELL])
+    sums = ["tp + p_before AS tp", "tn + n_before AS fp", "p_total AS pos", "n_total AS neg"]
+    return joined.selectExpr(*_quoted(keys), "score", "p", "n", *sums)
 
 
-def _auroc() -> Column:
-    wins = F.sum(F.col("p") * (F.col("neg") - F.col("fp") + F.col("n") / 2.0))
-    return F.when(F.max("pos") * F.max("neg") > 0, clip(wins / F.max("pos") / F.max("neg")))
+def _clipped(area: str, defined: str) -> str:
+    return f"CASE WHEN {defined} THEN greatest(least({area}, 1D), 0D) END"
 
 
-def _aupvr_step() -> Column:
-    area = F.sum(F.when(F.col("p") > 0, F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0))
-    return F.when(F.max("pos") > 0, clip(area / F.max("pos")))
-
-
-def _aupvr_dg() -> Column:
-    """Area under the precision-recall curve interpolated one positive at a time.
+def _interpolated() -> str:
+    """Part of the interpolated area under one tie group.
 
     Inside a group of p tied positives and n tied negatives the x-th positive
     stands at precision (tp0 + x) / (tp0 + fp0 + s x) with s = 1 + n/p. The
     trapezoids over x sum to a closed form, so a tie group costs the same
     whatever its size. Recall 0 takes the first group's limit.
     """
-    p, n = F.col("p").cast("double"), F.col("n").cast("double")
-    tp0, fp0 = F.col("tp") - p, F.col("fp") - n
-    s = 1.0 + n / p
-    z = (tp0 + fp0) / s
-    inner = p / s + (tp0 - z) / s * reciprocal_span(z, p)
-    first = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(1.0 / s)
-    last = F.col("tp") / (F.col("tp") + F.col("fp"))
-    area = F.sum(F.when(F.col("p") > 0, inner + (first - last) / 2.0).otherwise(0.0))
-    return F.when(F.max("pos") > 0, clip(area / F.max("pos")))
-
-
-AREAS = {"auroc": _auroc, "aupvr_step": _aupvr_step, "aupvr_dg": _aupvr_dg}
+    s, above = "(1D + n / CAST(p AS DOUBLE))", "CAST(tp - p + fp - n AS DOUBLE)"
+    z = f"({above} / {s})"
+    inner = f"p / {s} + (tp - p - {z}) / {s} * {reciprocal_span(z, 'p')}"
+    first = f"(CASE WHEN {above} > 0 THEN (tp - p) / {above} ELSE 1D / {s} END)"
+    return f"CASE WHEN p > 0 THEN {inner} + ({first} - tp / CAST(tp + fp AS DOUBLE)) / 2D ELSE 0D END"
+
+
+# SQL of every area over threshold rows; an area that is not defined (one class only) is NULL.
+AREAS = {
+    # A tie between classes counts half.
+    "auroc": _clipped("sum(p * (neg - fp + n / 2D)) / max(pos) / max(neg)", "max(pos) * max(neg) > 0"),
+    # Average precision: precision summed over steps of recall.
+    "aupvr_step": _clipped("sum(CASE WHEN p > 0 THEN p * (tp / CAST(tp + fp AS DOUBLE)) ELSE 0D END) / max(pos)", "max(pos) > 0"),
+    # Davis and Goadrich (2006).
+    "aupvr_dg": _clipped(f"sum({_interpolated()}) / max(pos)", "max(pos) > 0"),
+}
+# SQL of both average ranks over threshold rows within loci.
+RANKS = {
+    "avgrank_all": "try_divide(sum(p * (tp + fp - (p + n - 1) / 2D)), sum(p))",
+    "avgrank_neg": "try_divide(sum(p * (1 + fp - n / 2D)), sum(p))",
+}
 
 
 def _area_columns(which: Sequence[str]) -> list[Column]:
-    return [AREAS[name]().alias(name) for name in which] + [F.max("pos").alias("positives"), F.max("neg").alias("negatives")]
+    return [F.expr(AREAS[name]).alias(name) for name in which] + [F.max("pos").alias("positives"), F.max("neg").alias("negatives")]
 
 
 def areas(
-    df: DataFrame, keys: Sequence[str], which: Sequence[str] = ("auroc", "aupvr_step", "aupvr_dg"), score: str = "score", label: str = "label"
+    df: DataFrame, keys: Sequence[str], which: Sequence[str] = tuple(AREAS), score: str = "score", label: str = "label"
 ) -> DataFrame:
-    """The chosen areas per evaluation from one pass over the thresholds.
-
-    An area that is not defined (one class only) is NULL.
-    """
+    """The chosen areas per evaluation from one pass over the thresholds."""
     return threshold_counts(df, keys, score, label).groupBy(*keys).agg(*_area_columns(which))
 
 
@@ -141,28 +133,27 @@ def pr_points(df: DataFrame, keys: Sequence[str], score: str = "score", label: s
 
 
 def locus_rank_sums(df: DataFrame, keys: Sequence[str], locus: str = "locus_id", score: str = "score", label: str = "label") -> DataFrame:
-    """Per locus: positives and the sums of their ranks against all members and against negatives only."""
+    """Per locus: positives and the sums of their ranks against all members and against negatives only.
+
+    Ranks add up: what stands above within the cell, plus what the better cells
+    hold, so no row has to be joined to an offset.
+    """
     where = [*keys, locus]
-    counts = _running(score_counts(df, where, score, label), where)
-    p, n = F.col("p"), F.col("n")
-    above_n = F.col("fp") - n
-    above = F.col("tp") - p + above_n
-    cells = counts.groupBy(*where, CELL).agg(
+    counts = score_counts(df, where, score, label)
+    cells = counts.selectExpr("*", *_upto(where, ["p", "n"])).groupBy(*where, CELL).agg(
         F.sum("p").alias("p"),
-        F.sum(p + n).alias("m"),
         F.sum("n").alias("n"),
-        F.sum(p * (above + (p + n + 1) / 2.0)).alias("inner_all"),
-        F.sum(p * (1 + above_n + n / 2.0)).alias("inner_neg"),
-    )
-    higher = Window.partitionBy(*where).orderBy(F.col(CELL).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cells.withColumn("m0", F.coalesce(F.sum("m").over(higher), F.lit(0))).withColumn(
-        "n0", F.coalesce(F.sum("n").over(higher), F.lit(0))
+        F.expr("sum(p * (tp - p + tn - n + (p + n + 1) / 2D))").alias("inner_all"),
+        F.expr("sum(p * (1 + tn - n / 2D))").alias("inner_neg"),
     )
+    part = ", ".join(_quoted(where))
+    better = f"OVER (PARTITION BY {part} ORDER BY {CELL} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    ranked = cells.selectExpr("*", f"coalesce(sum(p + n) {better}, 0) AS above_all", f"coalesce(sum(n) {better}, 0) AS above_neg")
     return ranked.groupBy(*where).agg(
-        F.sum("m").alias("cases"),
+        F.expr("sum(p + n)").alias("cases"),
         F.sum("p").alias("positives"),
-        F.sum(F.col("inner_all") + p * F.col("m0")).alias("rank_sum_all"),
-        F.sum(F.col("inner_neg") + p * F.col("n0")).alias("rank_sum_neg"),
+        F.expr("sum(inner_all + p * above_all)").alias("rank_sum_all"),
+        F.expr("sum(inner_neg + p * above_neg)").alias("rank_sum_neg"),
     )
 
 
@@ -199,7 +190,7 @@ def evaluate(
     df: DataFrame,
     keys: Sequence[str],
     grouped: bool = True,
-    which: Sequence[str] = ("auroc", "aupvr_step", "aupvr_dg"),
+    which: Sequence[str] = tuple(AREAS),
     locus: str = "locus_id",
     score: str = "score",
     label: str = "label",
@@ -220,48 +211,35 @@ def fold_points(df: DataFrame, keys: Sequence[str], n_fold: int, score: str = "s
     The train side is the whole minus the test side.
     """
     folds = range(1, n_fold + 1)
-    ps, ns = [f"p{k}" for k in folds], [f"n{k}" for k in folds]
-    y = F.col(label).cast("bigint")
-    counts = (
-        df.where(no_null(keys))
-        .groupBy(*keys, F.col(score).cast("double").alias("score"))
-        .agg(
-            *[F.sum(F.when(F.col(fold) == k, y).otherwise(0)).alias(f"p{k}") for k in folds],
-            *[F.sum(F.when(F.col(fold) == k, 1 - y).otherwise(0)).alias(f"n{k}") for k in folds],
-        )
-        .withColumn(CELL, order_cell("score"))
-    )
-    cells = counts.groupBy(*keys, CELL).agg(*[F.sum(c).alias(c) for c in ps + ns])
-    offsets = before_cell(cells, keys, ps + ns, descending=True)
-    down = Window.partitionBy(*keys, CELL).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = [(F.sum(c).over(down)).alias(f"t{c}") for c in ps + ns]
-    joined = counts.select("*", *upto).join(offsets, [*keys, CELL])
-
-    # (name, column of fold k): the six counts of a threshold row.
+    columns = [f"{c}{k}" for c in "pn" for k in folds]
+    hits = {"p": f"`{label}`", "n": f"1 - `{label}`"}
+    tallies = [F.expr(f"sum(CASE WHEN `{fold}` = {k} THEN CAST({hits[c]} AS BIGINT) ELSE 0L END)").alias(f"{c}{k}") for c in "pn" for k in folds]
+    counts = df.where(no_null(keys)).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(*tallies)
+    counts = counts.withColumn(CELL, order_cell("score"))
+    cells = counts.groupBy(*keys, CELL).agg(*[F.sum(c).alias(c) for c in columns])
+    offsets = before_cell(cells, keys, columns, descending=True)
+    joined = counts.selectExpr("*", *_upto(keys, columns)).join(offsets, [*keys, CELL])
+
+    # Name of a count and its SQL for fold k.
     parts = {
-        "p": lambda k: F.col(f"p{k}"),
-        "n": lambda k: F.col(f"n{k}"),
-        "tp": lambda k: F.col(f"tp{k}") + F.col(f"p{k}_before"),
-        "fp": lambda k: F.col(f"tn{k}") + F.col(f"n{k}_before"),
-        "pos": lambda k: F.col(f"p{k}_total"),
-        "neg": lambda k: F.col(f"n{k}_total"),
+        "p": "p{k}",
+        "n": "n{k}",
+        "tp": "tp{k} + p{k}_before",
+        "fp": "tn{k} + n{k}_before",
+        "pos": "p{k}_total",
+        "neg": "n{k}_total",
     }
-    whole = [reduce(lambda a, b: a + b, map(part, folds)).alias(f"all_{name}") for name, part in parts.items()]
-    mine = F.array(*[F.struct(F.lit(k).alias("test_fold"), *[part(k).alias(name) for name, part in parts.items()]) for k in folds])
+    whole = [" + ".join(sql.format(k=k) for k in folds) + f" AS all_{name}" for name, sql in parts.items()]
+    mine = ", ".join(f"named_struct('test_fold', {k}, " + ", ".join(f"'{name}', {sql.format(k=k)}" for name, sql in parts.items()) + ")" for k in folds)
     # With a single fold there is nothing to test on: every case trains.
-    roles = F.array(F.lit("test"), F.lit("train")) if n_fold > 1 else F.array(F.lit("train"))
-    test = (F.col("role") == "test") | F.lit(n_fold == 1)
+    roles = "'test', 'train'" if n_fold > 1 else "'train'"
+    side = "CASE WHEN role = 'test' THEN {c} ELSE all_{c} - {c} END AS {c}" if n_fold > 1 else "{c}"
+    out = _quoted(keys)
     return (
-        joined.select(*keys, "score", *whole, F.explode(mine).alias("_m"))
-        .select(*keys, "score", "_m.*", *[f"all_{name}" for name in parts], F.explode(roles).alias("role"))
-        .select(
-            *keys,
-            "test_fold",
-            "role",
-            "score",
-            *[F.when(test, F.col(name)).otherwise(F.col(f"all_{name}") - F.col(name)).alias(name) for name in parts],
-        )
-        .where(F.col("p") + F.col("n") > 0)
+        joined.selectExpr(*out, "score", *whole, f"explode(array({mine})) AS _m")
+        .selectExpr(*out, "score", "_m.*", *[f"all_{name}" for name in parts], f"explode(array({roles})) AS role")
+        .selectExpr(*out, "test_fold", "role", "score", *[side.format(c=name) for name in parts])
+        .where("p + n > 0")
     )
 
 
@@ -270,7 +248,7 @@ def evaluate_folds(
     keys: Sequence[str],
     n_fold: int,
     grouped: bool = True,
-    which: Sequence[str] = ("auroc", "aupvr_step", "aupvr_dg"),
+    which: Sequence[str] = tuple(AREAS),
     locus: str = "locus_id",
     score: str = "score",
     label: str = "label",
@@ -280,13 +258,6 @@ def evaluate_folds(
     out = fold_points(df, keys, n_fold, score, label).groupBy(*task).agg(*_area_columns(which))
     if not grouped:
         return out
-    p, n = F.col("p"), F.col("n")
-    ranks = (
-        fold_points(df, [*keys, locus], n_fold, score, label)
-        .groupBy(*task)
-        .agg(
-            F.try_divide(F.sum(p * (F.col("tp") + F.col("fp") - (p + n - 1) / 2.0)), F.sum(p)).alias("avgrank_all"),
-            F.try_divide(F.sum(p * (1 + F.col("fp") - n / 2.0)), F.sum(p)).alias("avgrank_neg"),
-        )
-    )
+    within = fold_points(df, [*keys, locus], n_fold, score, label)
+    ranks = within.groupBy(*task).agg(*[F.expr(sql).alias(name) for name, sql in RANKS.items()])
     return out.join(ranks, task)

@@ -27,14 +27,14 @@ def no_null(keys: Sequence[str]) -> Column:
 
 def before_cell(cells: DataFrame, keys: Sequence[str], sums: Sequence[str], descending: bool = False) -> DataFrame:
     """Per cell: totals of the cells before it (``<c>_before``) and of the group (``<c>_total``)."""
-    order = F.col(CELL).desc() if descending else F.col(CELL).asc()
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = [*keys, CELL]
-    for c in sums:
-        out.append(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before"))
-        out.append(F.sum(c).over(group).alias(f"{c}_total"))
-    return cells.select(*out)
+    group = "PARTITION BY " + ", ".join(f"`{k}`" for k in keys)
+    order = f"ORDER BY {CELL} {'DESC' if descending else 'ASC'} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return cells.selectExpr(
+        *[f"`{k}`" for k in keys],
+        CELL,
+        *[f"coalesce(sum({c}) OVER ({group} {order}), 0) AS {c}_before" for c in sums],
+        *[f"sum({c}) OVER ({group}) AS {c}_total" for c in sums],
+    )
 
 
 def numbered(

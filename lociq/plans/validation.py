@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from lociq.operators.analysis import average_results, to_long
 from lociq.operators.folds import assign_folds
 from lociq.operators.loci import DEFAULT_CUTOFF, assign_loci, keep_positive_loci
-from lociq.operators.scoring import score_tasks
+from lociq.operators.metrics import evaluate_folds
+from lociq.operators.scoring import given_score_rows, roles_to_columns
+from lociq.session import cut_lineage
 
 
 def clustered_cases(cases: DataFrame, cutoff: int = DEFAULT_CUTOFF, on_missing: str = "drop") -> DataFrame:
@@ -24,11 +26,19 @@ def validate_scores(
     n_fold: int,
     method: str = "SNP",
     grouped: bool = True,
+    materialize: bool = True,
     **fold_options,
 ) -> DataFrame:
-    """Train and test metrics per (config, rep, fold) of given scores."""
+    """Train and test metrics per (config, rep, fold) of given scores.
+
+    Both inputs of several branches, the clustered cases and the scored rows,
+    are written once (reliable checkpoint) unless ``materialize`` is off.
+    """
+    keep = cut_lineage if materialize else (lambda df: df)
+    cases = keep(cases)
     folds = assign_folds(cases, method, n_rep, n_fold, **fold_options)
-    results = score_tasks(cases, scores, folds, n_fold, grouped)
+    rows = keep(given_score_rows(cases, scores, folds))
+    results = roles_to_columns(evaluate_folds(rows, ["config_id", "rep"], n_fold, grouped))
     return results.withColumnRenamed("test_fold", "fold")
 
 

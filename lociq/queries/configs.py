@@ -53,7 +53,7 @@ def _(spark, folder):
 
 @query(
     "hp_zip",
-    f"{TUNING} SELECT hp_no, eta, gamma, [0.1, 0.5, 1.0]::DOUBLE[][CAST((hp_no - 1) % 3 + 1 AS INTEGER)] AS bandwidth, {r6('base_score', 'base_score')} FROM grid",
+    f"{TUNING} SELECT hp_no, eta, gamma, list_extract([0.1, 0.5, 1.0]::DOUBLE[], (hp_no - 1) % 3 + 1) AS bandwidth, {r6('base_score', 'base_score')} FROM grid",
 )
 def _(spark, folder):
     paired = T.pair_parameters(tuning(spark, folder), C.BANDWIDTHS)

@@ -1 +1,54 @@
+"""Objectives, boosting, forests and reducers."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lociq.functions.draws import uniform
+from lociq.operators import objective as O
+from lociq.queries import query, rounded
+from lociq.queries.loci import kept
+from lociq.queries.sql import KEPT, draw, r6
+
+# Predictions of three tasks, each with its own bandwidth.
+PREDS = f"""{KEPT}, bands(task_id, bandwidth) AS (VALUES (1, 0.1::DOUBLE), (2, 0.5::DOUBLE), (3, 1.0::DOUBLE)),
+preds AS (SELECT task_id, bandwidth, case_id, locus_id, label, 4 * {draw("task_id || '|' || case_id")} - 2 AS pred FROM kept, bands)"""
+
+
+def predictions(spark, folder):
+    bands = F.array(*[F.struct(F.lit(i + 1).alias("task_id"), F.lit(b).alias("bandwidth")) for i, b in enumerate((0.1, 0.5, 1.0))])
+    rows = kept(spark, folder).select("case_id", "locus_id", "label", F.explode(bands).alias("_b")).select("*", "_b.*").drop("_b")
+    return rows.withColumn("pred", 4 * uniform("task_id", "case_id") - 2)
+
+
+@query(
+    "rank_objective",
+    f"""WITH {PREDS}, pairs AS (
+      SELECT a.task_id, a.case_id, a.label, a.bandwidth AS b, abs(a.pred - o.pred) AS d, exp(-pow(a.pred - o.pred, 2) / pow(a.bandwidth, 2)) / (a.bandwidth * sqrt(pi())) AS k
+      FROM preds a JOIN preds o ON a.task_id = o.task_id AND a.locus_id = o.locus_id AND a.label <> o.label),
+    sums AS (SELECT task_id, case_id, CASE WHEN any_value(label) = 1 THEN -1 ELSE 1 END * sum(k) AS grad, 2 / pow(any_value(b), 2) * sum((d + b) * k) AS hess
+      FROM pairs GROUP BY task_id, case_id)
+    SELECT p.task_id, p.case_id, {r6("coalesce(grad, 1 / (1 + exp(-pred)) - label)", "grad")},
+    {r6("coalesce(hess, 1 / (1 + exp(-pred)) * (1 - 1 / (1 + exp(-pred))))", "hess")}
+    FROM preds p LEFT JOIN sums s ON p.task_id = s.task_id AND p.case_id = s.case_id""",
+)
+def _(spark, folder):
+    out = O.rank_objective(predictions(spark, folder), ["task_id"], "bandwidth")
+    return rounded(out.select("task_id", "case_id", "grad", "hess"))
+
+
+@query(
+    "logistic_objective",
+    f"""WITH {PREDS} SELECT task_id, case_id, {r6("1 / (1 + exp(-pred)) - label", "grad")},
+    {r6("1 / (1 + exp(-pred)) * (1 - 1 / (1 + exp(-pred)))", "hess")} FROM preds""",
+)
+def _(spark, folder):
+    return rounded(O.logistic_objective(predictions(spark, folder)).select("task_id", "case_id", "grad", "hess"))
+
+
+@query(
+    "weighted_objective",
+    f"""WITH {PREDS} SELECT task_id, case_id, {r6("CASE WHEN label = 1 THEN 0.5 ELSE 1 END * (pred - label)", "grad")}, 1.0::DOUBLE AS hess FROM preds""",
+)
+def _(spark, folder):
+    return rounded(O.weighted_squared_objective(predictions(spark, folder)).select("task_id", "case_id", "grad", "hess"))
