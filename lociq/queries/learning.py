@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lociq.functions.draws import uniform
+from lociq.functions.draws import hash_bits, uniform
+from lociq.functions.scalars import logit
+from lociq.operators import boost as B
+from lociq.operators import forest as S
+from lociq.operators import metrics as M
 from lociq.operators import objective as O
+from lociq.operators import reduce as R
 from lociq.queries import query, rounded
 from lociq.queries.loci import kept
-from lociq.queries.sql import KEPT, draw, r6
+from lociq.queries.sql import KEPT, bits, draw, r6
+from lociq.sources.fixtures import embedding_features
 
 # Predictions of three tasks, each with its own bandwidth.
 PREDS = f"""{KEPT}, bands(task_id, bandwidth) AS (VALUES (1, 0.1::DOUBLE), (2, 0.5::DOUBLE), (3, 1.0::DOUBLE)),
@@ -52,3 +58,149 @@ def _(spark, folder):
 )
 def _(spark, folder):
     return rounded(O.weighted_squared_objective(predictions(spark, folder)).select("task_id", "case_id", "grad", "hess"))
+
+
+# Twelve tasks on the embeddings: three folds by four parameter points; cut points are the same for every feature.
+CUTS = [-0.2, -0.1, 0.0, 0.1, 0.2]
+POINTS = [
+    {"eta": 0.1, "nrounds": 2, "lambda": 1.0, "max_depth": 2},
+    {"eta": 0.3, "nrounds": 2, "lambda": 0.1, "max_depth": 3, "gamma": 0.1},
+    {"eta": 0.1, "nrounds": 2, "lambda": 10.0, "alpha": 0.5, "scale_pos_weight": 2, "max_depth": 2},
+    {"eta": 0.1, "nrounds": 2, "subsample": 0.85, "colsample_bytree": 0.5, "base_score": 0.4, "max_depth": 3},
+]
+
+
+def boost_tasks(spark, folder):
+    """(tasks with parameter map, members with bins) on the whole embeddings table."""
+    cases = B.binned(embedding_features(spark, folder), [CUTS] * 64)
+    maps = F.array(*[F.create_map(*[F.lit(x) for k, v in p.items() for x in (k, float(v))]) for p in POINTS])
+    fold = F.pmod(hash_bits(1337, "case_id"), F.lit(3)) + 1
+    each = F.explode(F.sequence(F.lit(1), F.lit(12)))
+    rows = cases.withColumn("fold", fold).withColumn("task_id", each)
+    role = F.when(F.pmod(F.col("task_id") - 1, F.lit(3)) + 1 == F.col("fold"), "test").otherwise("train")
+    members = rows.withColumn("role", role).select("task_id", "case_id", "role", "label", "bins")
+    point = (F.floor((F.col("task_id") - 1) / 3) + 1).cast("int")
+    tasks = rows.select("task_id").distinct().withColumn("hp", F.element_at(maps, point))
+    return tasks, members
+
+
+def boosted(spark, folder):
+    tasks, members = boost_tasks(spark, folder)
+    return B.newton_boost(members, B.task_settings(tasks), [CUTS] * 64)
+
+
+_task = "(SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS task_id)"
+_l2 = "CASE (task_id - 1) // 3 WHEN 1 THEN 0.1 WHEN 2 THEN 10.0 ELSE 1.0 END"
+_weight = "CASE WHEN label = 1 AND (task_id - 1) // 3 = 2 THEN 2.0 ELSE 1.0 END"
+_base = "CASE WHEN (task_id - 1) // 3 = 3 THEN 0.4 ELSE 0.5 END"
+
+
+@query(
+    "split_table",
+    f"""WITH e AS (SELECT vec_id AS case_id, CAST(label >= 5 AS INTEGER) AS label, embedding::DOUBLE[] AS x FROM embeddings),
+    t AS (SELECT e.*, task_id, {_weight} * ({_base} - label) AS grad, {_weight} * {_base} * (1 - {_base}) AS hess FROM e, {_task}
+      WHERE (task_id - 1) % 3 + 1 <> {bits("'1337|' || case_id")} % 3 + 1),
+    v AS (SELECT task_id, grad, hess, unnest(range(0, 64)) AS feature, unnest(x) AS val FROM t),
+    k AS (SELECT task_id, feature, len(list_filter({CUTS}::DOUBLE[], lambda c: c < val)) AS bin, sum(grad) AS g, sum(hess) AS h FROM v GROUP BY ALL),
+    s AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY task_id, feature) AS gt, sum(h) OVER (PARTITION BY task_id, feature) AS ht
+      FROM k WINDOW w AS (PARTITION BY task_id, feature ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+    p AS (SELECT *, {_l2} AS l2, CASE WHEN (task_id - 1) // 3 = 2 THEN 0.5 ELSE 0.0 END AS al, CASE WHEN (task_id - 1) // 3 = 1 THEN 0.1 ELSE 0.0 END AS ga FROM s),
+    z AS (SELECT *, (pow(greatest(abs(gl) - al, 0), 2) / (hl + l2) + pow(greatest(abs(gt - gl) - al, 0), 2) / (ht - hl + l2) - pow(greatest(abs(gt) - al, 0), 2) / (ht + l2)) / 2 - ga AS gain
+      FROM p WHERE hl >= 1 AND ht - hl >= 1)
+    SELECT task_id, CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, {r6("gain", "gain")}, {r6("ht", "cover")} FROM z
+    WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY gain DESC, feature, bin) = 1""",
+)
+def _(spark, folder):
+    tasks, members = boost_tasks(spark, folder)
+    settings = B.task_settings(tasks)
+    weight = F.when(F.col("label") == 1, F.col("scale_pos_weight")).otherwise(1.0)
+    train = members.where("role = 'train'").join(settings.select("task_id", "base_score", "scale_pos_weight"), "task_id")
+    train = O.logistic_objective(train.withColumn("pred", logit("base_score")).withColumn("w", weight), weight="w")
+    splits = B.best_splits(B.histograms(train.withColumn("node", F.lit(1).cast("bigint"))), settings)
+    return rounded(splits.select("task_id", "feature", F.col("bin").cast("int").alias("bin"), "gain", "cover"))
+
+
+@query("newton_boost")
+def _(spark, folder):
+    return boosted(spark, folder).scores.select("task_id", "case_id", "role", "label", "margin", "score")
+
+
+@query("newton_boost_metrics")
+def _(spark, folder):
+    return M.evaluate(boosted(spark, folder).scores, ["task_id", "role"], grouped=False)
+
+
+@query("boost_importance")
+def _(spark, folder):
+    return B.split_importance(boosted(spark, folder).splits)
+
+
+def embedding_members(spark, folder):
+    """Embeddings in two tasks: halves by hash, each trained on one half."""
+    cases = embedding_features(spark, folder).withColumn("half", F.pmod(hash_bits(1337, "case_id"), F.lit(2)) + 1)
+    rows = cases.withColumn("task_id", F.explode(F.array(F.lit(1), F.lit(2))))
+    return rows.withColumn("role", F.when(F.col("half") == F.col("task_id"), "test").otherwise("train")).drop("half")
+
+
+# Weights, scores and deflation of both components written out over (task, case, feature) rows.
+PLS = f"""WITH e AS (SELECT vec_id AS case_id, CAST(label >= 5 AS INTEGER) AS label, embedding::DOUBLE[] AS x,
+      {bits("'1337|' || vec_id")} % 2 + 1 AS half FROM embeddings),
+    m AS (SELECT e.*, task_id, half <> task_id AS tr FROM e, (SELECT CAST(unnest([1, 2]) AS INTEGER) AS task_id)),
+    v AS (SELECT task_id, case_id, label, tr, unnest(range(0, 64)) AS f, unnest(x) AS val FROM m),
+    mean AS (SELECT task_id, f, avg(val) AS mu FROM v WHERE tr GROUP BY ALL),
+    ym AS (SELECT task_id, avg(label) AS ym FROM m WHERE tr GROUP BY ALL),
+    c AS (SELECT v.task_id, case_id, tr, f, val - mu AS x, label - ym AS y FROM v JOIN mean USING (task_id, f) JOIN ym USING (task_id)),
+    s1 AS (SELECT task_id, f, sum(x * y) AS s FROM c WHERE tr GROUP BY ALL),
+    w1 AS (SELECT task_id, f, s / sqrt(sum(s * s) OVER (PARTITION BY task_id)) AS w FROM s1),
+    t1 AS (SELECT task_id, case_id, any_value(tr) AS tr, sum(x * w) AS t FROM c JOIN w1 USING (task_id, f) GROUP BY task_id, case_id),
+    p1 AS (SELECT c.task_id, f, sum(x * t) / (SELECT sum(t * t) FROM t1 q WHERE q.tr AND q.task_id = c.task_id) AS p
+      FROM c JOIN t1 USING (task_id, case_id) WHERE c.tr GROUP BY c.task_id, f),
+    d AS (SELECT task_id, case_id, c.tr, f, x - t * p AS x, y FROM c JOIN t1 USING (task_id, case_id) JOIN p1 USING (task_id, f)),
+    s2 AS (SELECT task_id, f, sum(x * y) AS s FROM d WHERE tr GROUP BY ALL),
+    w2 AS (SELECT task_id, f, s / sqrt(sum(s * s) OVER (PARTITION BY task_id)) AS w FROM s2),
+    t2 AS (SELECT task_id, case_id, sum(x * w) AS t FROM d JOIN w2 USING (task_id, f) GROUP BY task_id, case_id)"""
+
+
+@query(
+    "pls_scores",
+    f"""{PLS} SELECT t1.task_id, t1.case_id, {r6("t1.t", "first")}, {r6("t2.t", "second")}
+    FROM t1 JOIN t2 ON t1.task_id = t2.task_id AND t1.case_id = t2.case_id""",
+)
+def _(spark, folder):
+    out = R.pls_scores(embedding_members(spark, folder), 2)
+    return rounded(out.select("task_id", "case_id", F.col("pls")[0].alias("first"), F.col("pls")[1].alias("second")))
+
+
+def one_task(spark, folder):
+    return embedding_members(spark, folder).where("task_id = 1")
+
+
+@query("gbt_scores")
+def _(spark, folder):
+    scored, _ = S.boosted_scores(one_task(spark, folder), {"eta": 0.1, "nrounds": 5, "max_depth": 3, "scale_pos_weight": 2})
+    return scored.select("case_id", "role", "label", "score", "run_time")
+
+
+@query("forest_probability")
+def _(spark, folder):
+    scored, _ = S.forest_scores(one_task(spark, folder), {"num_trees": 20, "mtry": 14, "max_depth": 5})
+    return scored.select("case_id", "role", "label", "score", "run_time")
+
+
+@query("forest_votes")
+def _(spark, folder):
+    hp = {"num_trees": 20, "mtry": 14, "max_depth": 5, "weight_positive_class": 8}
+    scored, _ = S.forest_scores(one_task(spark, folder), hp, votes=True)
+    return scored.select("case_id", "role", "label", "score", "run_time")
+
+
+@query("forest_importance")
+def _(spark, folder):
+    _, found = S.forest_scores(one_task(spark, folder), {"num_trees": 20, "mtry": 14, "max_depth": 5})
+    return S.collect_importance({(1, 1, 1): found})
+
+
+@query("gbt_metrics")
+def _(spark, folder):
+    scored, _ = S.boosted_scores(one_task(spark, folder), {"eta": 0.1, "nrounds": 5, "max_depth": 3})
+    return M.evaluate(scored, ["task_id", "role"], grouped=False)

@@ -9,7 +9,7 @@ N_REP, N_FOLD, SEED = 2, 5, 1337
 
 def r6(expr: str, name: str) -> str:
     """A double rounded like the Spark side."""
-    return f"round({expr}, 6) + 0.0 AS {name}"
+    return f"CAST(round({expr}, 6) + 0.0 AS DOUBLE) AS {name}"
 
 
 def bits(text: str) -> str:
