@@ -51,7 +51,7 @@ def order_cell(x: Column | str, per_e: int = 2048) -> Column:
     """
     x = column(x).cast("double")
     # ln of a double lies within (-745, 710), so the shift keeps the sign apart.
-    size = F.floor(F.log(F.abs(x)) * F.lit(float(per_e))) + F.lit(800 * per_e).cast("bigint")
+    size = F.floor(F.least(F.log(F.abs(x)), F.lit(710.0)) * F.lit(float(per_e))) + F.lit(800 * per_e).cast("bigint")
     bucket = F.when(F.isnan(x), F.lit(2**62)).when(x == 0.0, F.lit(0).cast("bigint")).when(x > 0.0, size).otherwise(-size)
     return F.coalesce(F.when(x.isNotNull(), bucket), F.lit(-(2**62)))
 
