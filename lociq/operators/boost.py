@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lociq.functions.draws import hash_bits, uniform
 from lociq.functions.scalars import logit
+from lociq.operators.joins import join_small
 from lociq.operators.objective import logistic_objective
 from lociq.session import cut_lineage
 
@@ -114,12 +115,12 @@ def best_splits(hist: DataFrame, settings: DataFrame, kept: DataFrame | None = N
 
 
 def descend(rows: DataFrame, splits: DataFrame) -> DataFrame:
-    """Rows to the child of their node's split; rows of unsplit nodes stay."""
+    """Rows to the child of their node's split; rows of unsplit nodes stay. ``splits`` is a written table."""
     chosen = splits.select("task_id", "node", "feature", "bin", "missing_left")
     value = F.col("bins")[F.col("feature")]
     left = F.when(value == -1, F.col("missing_left")).otherwise(value <= F.col("bin"))
     child = F.when(F.col("feature").isNull(), F.col("node")).otherwise(F.col("node") * 2 + (~left).cast("bigint"))
-    return rows.join(chosen, ["task_id", "node"], "left").withColumn("node", child).drop("feature", "bin", "missing_left")
+    return join_small(rows, chosen, ["task_id", "node"], "left", written=True).withColumn("node", child).drop("feature", "bin", "missing_left")
 
 
 def leaf_weights(rows: DataFrame, settings: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def newton_boost(
     limits = settings.agg(F.max("nrounds"), F.max("max_depth")).first()
     n_features = len(cuts)
     start = settings.select("task_id", logit("base_score").alias("pred"), "nrounds", "max_depth", "subsample", "scale_pos_weight")
-    state = members.join(start, "task_id")
+    state = join_small(members, start, ["task_id"])
     all_splits, all_leaves = [], []
     for tree in range(1, int(limits[0]) + 1):
         active = F.col("nrounds") >= tree
@@ -168,7 +169,7 @@ def newton_boost(
             rows = descend(rows, splits)
         leaves = cut_lineage(leaf_weights(rows.where("_used"), settings).withColumn("tree", F.lit(tree)))
         all_leaves.append(leaves)
-        moved = rows.join(leaves.select("task_id", "node", "weight"), ["task_id", "node"], "left")
+        moved = join_small(rows, leaves.select("task_id", "node", "weight"), ["task_id", "node"], "left", written=True)
         step = F.when(active, F.coalesce("weight", F.lit(0.0))).otherwise(0.0)
         state = moved.withColumn("pred", F.col("pred") + step).drop("weight", "node", "grad", "hess", "_used")
     state = cut_lineage(state.drop("bins", "nrounds", "max_depth", "subsample", "scale_pos_weight"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lociq.functions.draws import uniform, uniform_py
 from lociq.operators.loci import keep_positive_loci, locus_summary
 from lociq.operators.prefix import numbered
+from lociq.session import cut_lineage
 
 # Defaults of the fold assignment.
 DEFAULT_SLACK = 0.5
@@ -78,7 +79,9 @@ def grouped_folds(
 ) -> DataFrame:
     """Whole loci to folds under caps on cases and positives: (case, rep, fold)."""
     df = keep_positive_loci(df, locus, label, on_missing)
-    folds = locus_folds(locus_summary(df, locus, label), n_rep, n_fold, slack, seed, locus, draws_per_shape, cells)
+    # Small next to the cases and read by three branches, so written once.
+    loci = cut_lineage(locus_summary(df, locus, label))
+    folds = locus_folds(loci, n_rep, n_fold, slack, seed, locus, draws_per_shape, cells)
     # One row per locus with all its replications, so cases are shuffled once, not once per replication.
     per_locus = folds.groupBy(locus).agg(F.array_sort(F.collect_list(F.struct("rep", "fold"))).alias("_folds"))
     return (

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.operators.joins import join_small
+
 # The default gap in base pairs and the chromosomes clustered by default in the one-hot form.
 DEFAULT_CUTOFF = 50_000
 CHROMOSOMES = [str(i) for i in range(1, 23)] + ["X"]
@@ -67,7 +69,8 @@ def assign_loci(
     A new locus begins where the gap to the previous case of the chromosome is
     strictly larger than ``cutoff``. With ``chroms``, cases elsewhere get an
     empty id. Cases are not sorted or shuffled by chromosome: distinct
-    coordinates shrink to a table of blocks, which joins back by block.
+    coordinates shrink to a table of blocks (written once, as in a fit), and
+    the cases look up their block in it.
     """
     width = gaps_per_block * max(int(cutoff), 1)
     inside = df if chroms is None else df.where(F.col(chrom).isin(list(chroms)))
@@ -77,7 +80,7 @@ def assign_loci(
     number = F.col("_base") + F.size(F.filter("_breaks", lambda b: b <= place))
     locus = F.concat_ws(sep, F.col(chrom).cast("string"), number.cast("string"))
     return (
-        keyed.join(blocks, ["_chrom", "_block"], "left")
+        join_small(keyed, blocks, ["_chrom", "_block"], "left", values_per_row=4 + gaps_per_block)
         .withColumn(out, F.when(F.col("_base").isNotNull(), locus).otherwise(F.lit("")))
         .drop("_chrom", "_block", "_base", "_breaks")
     )

@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from lociq.operators.joins import join_small
+
+# Upper bound on the features per component when judging the size of the model table.
+MODEL_VALUES = 4_000
+
 
 def pls_scores(members: DataFrame, n_components: int, keys: Sequence[str] = ("task_id",), features: str = "features", label: str = "label") -> DataFrame:
     """Scores of the first components for all cases, fitted on the ``train`` members of each task.
@@ -22,6 +27,8 @@ def pls_scores(members: DataFrame, n_components: int, keys: Sequence[str] = ("ta
     """
     keys = list(keys)
     n_columns = F.size(F.col(features))
+    # Numbers a row of the model holds, with room for several thousand features.
+    width = MODEL_VALUES * n_components
     train = members.where("role = 'train'").select(*keys, F.col(features).alias("_x"), F.col(label).cast("double").alias("_y"))
     one = train.withColumn("_v", array_to_vector("_x")).withColumn("_vy", array_to_vector(F.transform("_x", lambda x: x * F.col("_y"))))
     first = one.groupBy(*keys).agg(
@@ -40,7 +47,7 @@ def pls_scores(members: DataFrame, n_components: int, keys: Sequence[str] = ("ta
     ).withColumn("rotations", _next_rotation("xy", "rotations", "loadings"))
     for _ in range(1, n_components):
         # The newest rotation is the tail of the list.
-        rows = train.join(model, keys).withColumn("_c", F.zip_with("_x", "mean", lambda x, m: x - m))
+        rows = join_small(train, model, keys, values_per_row=width).withColumn("_c", F.zip_with("_x", "mean", lambda x, m: x - m))
         newest = F.slice("rotations", F.size("rotations") - F.size("_c") + 1, F.size("_c"))
         rows = rows.withColumn("_t", F.aggregate(F.zip_with("_c", newest, lambda x, r: x * r), F.lit(0.0), lambda a, v: a + v))
         rows = rows.withColumn("_tc", array_to_vector(F.transform("_c", lambda x: x * F.col("_t"))))
@@ -52,7 +59,7 @@ def pls_scores(members: DataFrame, n_components: int, keys: Sequence[str] = ("ta
         loading = F.transform("xt", lambda v: v / F.col("tt"))
         model = passed.select(*keys, "mean", "xy", "rotations", F.concat("loadings", loading).alias("loadings"))
         model = model.withColumn("rotations", _next_rotation("xy", "rotations", "loadings"))
-    joined = members.join(model.select(*keys, "mean", "rotations"), keys)
+    joined = join_small(members, model.select(*keys, "mean", "rotations"), keys, values_per_row=width)
     centred = F.zip_with(features, "mean", lambda x, m: x - m)
     component = lambda a: F.aggregate(
         F.zip_with(centred, F.slice("rotations", a * n_columns + 1, n_columns), lambda x, r: x * r), F.lit(0.0), lambda s, v: s + v

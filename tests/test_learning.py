@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lociq.operators import boost as B
 from lociq.operators import objective as O
+from lociq.operators.joins import salted_join
 
 
 def pair_sums(x, y, group, b):
@@ -107,3 +108,12 @@ def test_boosting_takes_the_rank_objective(spark):
     cuts = B.quantile_cuts(df, 2, 4)
     out = B.newton_boost(B.binned(df, cuts), B.task_settings(tasks), cuts, objective=lambda train: O.rank_objective(train, ["task_id"], 0.5))
     assert out.scores.count() == n and out.splits.count() == 1 and out.scores.select("margin").distinct().count() == 2
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_the_plain_join(spark, how):
+    rows = spark.range(500).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    small = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    want = rows.join(small, "k", how)
+    got = salted_join(rows, small, ["k"], how)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
