@@ -11,10 +11,13 @@ from lociq.operators import forest as S
 from lociq.operators import metrics as M
 from lociq.operators import objective as O
 from lociq.operators import reduce as R
+from lociq.operators.folds import grouped_folds
+from lociq.plans import runner as RUN
 from lociq.queries import query, rounded
 from lociq.queries.loci import kept
 from lociq.queries.sql import KEPT, bits, draw, r6
-from lociq.sources.fixtures import embedding_features
+from lociq.session import cut_lineage
+from lociq.sources.fixtures import cases, embedding_features, given_scores, table
 
 # Predictions of three tasks, each with its own bandwidth.
 PREDS = f"""{KEPT}, bands(task_id, bandwidth) AS (VALUES (1, 0.1::DOUBLE), (2, 0.5::DOUBLE), (3, 1.0::DOUBLE)),
@@ -204,3 +207,38 @@ def _(spark, folder):
 def _(spark, folder):
     scored, _ = S.boosted_scores(one_task(spark, folder), {"eta": 0.1, "nrounds": 5, "max_depth": 3})
     return M.evaluate(scored, ["task_id", "role"], grouped=False)
+
+
+def event_features(spark, folder):
+    """Numbers of every event: value, hour of day, weekday, and the number in its properties (missing for some)."""
+    hour, day = F.hour("ts").cast("double"), F.weekday("ts").cast("double")
+    number = F.get_json_object("props", "$.k").cast("double")
+    kept_number = F.when(number < 80, number)
+    return table(spark, folder, "events").select(F.col("event_id").alias("case_id"), F.array(F.col("value"), hour, day, kept_number).alias("features"))
+
+
+CONFIGS = [
+    (1, "passthrough", "value", "value", None, None, None, None),
+    (2, "XGB", "boosted", "XGB", "events", {"eta": 0.3, "nrounds": 1.0, "max_depth": 2.0, "base_score": 0.5}, None, None),
+    (3, "XGB", "boosted_reduced", "XGB", "events", {"eta": 0.3, "nrounds": 1.0, "max_depth": 1.0}, "counts", 1),
+]
+
+
+@query("run_configurations")
+def _(spark, folder):
+    rows = kept(spark, folder).drop("score")
+    scores = given_scores(cases(spark, folder))
+    configs = spark.createDataFrame(
+        CONFIGS,
+        "config_id int, set_type string, set_name string, method string, matrix string, hp map<string,double>, reducer_matrix string, reducer_components int",
+    )
+    features = event_features(spark, folder)
+    complete = features.withColumn("features", F.slice("features", 1, 3))
+    scorers = {
+        "value": RUN.given(scores.where("set_name = 'value'")),
+        "XGB": RUN.boosted(n_bins=8),
+    }
+    rows = cut_lineage(rows)
+    folds = grouped_folds(rows, 1, 2)
+    results, _ = RUN.run_configurations(configs, rows, folds, scorers, {"events": features, "counts": complete}, 1, 2)
+    return results.drop("hp")
