@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ def run_configurations(
     """
     tasks = cut_lineage(task_table(configs, n_rep, n_fold))
     shape = ["method", "matrix"] + [c for c in ("reducer_matrix", "reducer_components") if c in configs.columns]
-    results, importances = None, {}
+    scored, times, importances = [], [], {}
     for family in configs.select(*shape).distinct().collect():
         scorer = resolve(scorers, family["method"])
         same = [F.col(c).eqNullSafe(F.lit(family[c])) for c in shape]
@@ -116,10 +117,11 @@ def run_configurations(
         if len(shape) > 2 and family["reducer_matrix"] is not None:
             members = with_reduced(members, resolve(matrices, family["reducer_matrix"]).select("case_id", "features"), int(family["reducer_components"]))
         done = scorer(members, mine)
-        measured = roles_to_columns(role_metrics(cut_lineage(done.scores), ["task_id"], grouped), ["task_id"])
-        measured = measured.withColumn("run_time", F.lit(done.seconds).cast("double"))
-        results = measured if results is None else results.unionByName(measured)
+        scored.append(cut_lineage(done.scores))
+        times.append(mine.select("task_id", F.lit(done.seconds).cast("double").alias("run_time")))
         if done.importance is not None:
             key = "_".join(str(family[c]) for c in shape if family[c] is not None)
             importances[key] = done.importance
+    measured = role_metrics(reduce(DataFrame.unionByName, scored), ["task_id"], grouped)
+    results = roles_to_columns(measured, ["task_id"]).join(reduce(DataFrame.unionByName, times), "task_id")
     return write_back(tasks, results), importances
