@@ -1,8 +1,8 @@
 """Near-duplicates by an inverted join of MinHash coordinates, confirmed on full shingle sets.
 
-A document's signature has ``POSTED * WIDTH`` MinHash values. It is posted under
-``POSTED`` coordinates, each the combined value of ``WIDTH`` of them: documents
-whose signatures agree in enough places must share a posting list. Two joins use
+A document's signature has ``VALUES`` MinHash values. It is posted under ``POSTED``
+coordinates, each the combined value of ``WIDTH`` of them, a prefix that documents
+whose signatures agree in enough places must share a value of. Two joins use
 the lists and neither writes out the pairs inside a group:
 
 1. Star: every member of a list is matched with the smallest id of its list.
@@ -11,13 +11,14 @@ the lists and neither writes out the pairs inside a group:
    members of different groups are matched when their sizes allow it and enough
    signature values collide (counted by bit operations in the join condition).
 
-Both keep pairs with ``MATCHES`` equal values or more, and all kept pairs are
-confirmed on the full sets. A pair at a similarity of 0.85 is missed with a
-probability of about 5e-7 (no posted coordinate, or too few matches).
+Both keep pairs with enough equal values (``matches_for``), and all kept pairs are
+confirmed on the full sets. A pair at the threshold itself is missed with a probability
+of at most 2e-6 (at 0.8 and above: no shared coordinate, or too few matches), any nearer pair with less.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,12 @@ from lociq.llm.components import components
 from lociq.llm.text import SPACED, mix, slices, windows, words_of
 from lociq.session import cut_lineage
 
-POSTED, WIDTH = 16, 3
-VALUES = POSTED * WIDTH
-#: Equal signature values that a pair needs, of ``VALUES``; 0.85 gives 41 on average.
-MATCHES = 27
+POSTED, WIDTH, VALUES = 20, 3, 64
+#: Probability that a pair at the threshold has fewer equal values than are asked for.
+MISSED = 1e-6
 
 _SEEDS = mix(np.arange(1, VALUES + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FACTORS = mix(_SEEDS) | np.uint64(1)
 _LANES = [f"s{k}" for k in range(VALUES // 8)]
 _SIGNED = "id long, n_shingles long, whole_a long, whole_b long, " + ", ".join(f"{c} long" for c in _LANES) + ", keys array<long>"
 
@@ -73,10 +74,10 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                 whole = np.zeros((2, part.num_rows), np.uint64)
                 if len(some):
                     for k in range(VALUES):
-                        values[k, some] = np.minimum.reduceat(mix(sets ^ _SEEDS[k]), first[some])
+                        values[k, some] = np.minimum.reduceat((sets ^ _SEEDS[k]) * _FACTORS[k], first[some])
                     for k in range(2):
                         whole[k, some] = np.add.reduceat(mix(sets + _SEEDS[VALUES + k]), first[some])
-                packed = (values & np.uint64(255)).astype(np.uint8).T.copy().view(np.int64)
+                packed = (mix(values) & np.uint64(255)).astype(np.uint8).T.copy().view(np.int64)
                 keys = np.zeros((POSTED, part.num_rows), np.uint64)
                 for j in range(POSTED):
                     for k in range(WIDTH):
@@ -100,10 +101,21 @@ def collisions(a: str, b: str) -> str:
     return f"{VALUES} - ({' + '.join(terms)})"
 
 
+def matches_for(percent: int) -> int:
+    """Equal signature values to ask for: a pair with just ``percent`` % in common has fewer with a probability of ``MISSED`` at most."""
+    p, total, asked = percent / 100, 0.0, 0
+    while asked < VALUES:
+        total += math.comb(VALUES, asked) * p**asked * (1 - p) ** (VALUES - asked)
+        if total > MISSED:
+            break
+        asked += 1
+    return asked
+
+
 def _near(a: str, b: str, percent: int) -> str:
     """SQL: sizes allow the similarity, and enough signature values collide."""
     sizes = f"least({a}.n_shingles, {b}.n_shingles) * 100 >= greatest({a}.n_shingles, {b}.n_shingles) * {percent}"
-    return f"{sizes} AND {collisions(a, b)} >= {MATCHES}"
+    return f"{sizes} AND {collisions(a, b)} >= {matches_for(percent)}"
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -269,17 +270,19 @@ def _result(batch: Batch, gone: np.ndarray) -> pa.Table:
     ends = np.concatenate([[0], np.cumsum(~gone)])[batch.bounds]
     raw = left.tobytes()
     kept = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
-    return pa.table({"id": batch.table.column("id"), "n_bytes": pa.array(np.diff(batch.bounds)), "spans": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), spans), "kept": kept})
+    carried = {n: batch.table.column(n) for n in batch.table.column_names if n not in ("id", "text", "batch")}
+    return pa.table({"id": batch.table.column("id"), **carried, "n_bytes": pa.array(np.diff(batch.bounds)), "spans": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), spans), "kept": kept})
 
 
-def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_bytes, spans, kept) per row: the maximal runs (start, bytes) of bytes covered by a ``DEPTH``-byte string that also starts in a document with a smaller id, and the remaining bytes.
+def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(id, carried columns, n_bytes, spans, kept) per row: the maximal runs (start, bytes) of bytes covered by a ``DEPTH``-byte string that also starts in a document with a smaller id, and the remaining bytes.
 
     A null text is empty. Rows with a null id are compared with nothing and stay
     whole; rows with one id count as one document and don't repeat each other.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    carried = {c: f"c{k}" for k, c in enumerate(carry)}  # names of their own: the steps have columns too
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), *(F.col(c).alias(n) for c, n in carried.items()))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     batches = max(1, math.ceil(total / BATCH_BYTES))
     buckets = max(1, math.ceil(batches / 4))
@@ -315,7 +318,36 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
         shared, hot = batch.shared(replies.filter(pa.array(step == 0)))
         return _result(batch, _repeated(batch, shared, hot, more, replies.filter(pa.array(step == 1))))
 
-    schema = "id long, n_bytes long, spans array<struct<start: long, bytes: long>>, kept binary"
+    kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in carried.items())
+    schema = f"id long, {kinds}n_bytes long, spans array<struct<start: long, bytes: long>>, kept binary"
     found = texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(finish, schema)
-    alone = rows.where("id IS NULL").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr("cast(array() AS array<struct<start: bigint, bytes: bigint>>)").alias("spans"), F.encode("text", "UTF-8").alias("kept"))
-    return found.unionByName(alone).withColumnRenamed("id", id_column)
+    alone = rows.where("id IS NULL").select("id", *carried.values(), F.octet_length("text").cast("long").alias("n_bytes"), F.expr("cast(array() AS array<struct<start: bigint, bytes: bigint>>)").alias("spans"), F.encode("text", "UTF-8").alias("kept"))
+    return found.unionByName(alone).withColumnsRenamed({"id": id_column, **{n: c for c, n in carried.items()}})
+
+
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with the repeated spans cut out of the text.
+
+    A character of which a byte goes, goes. Rows of which nothing but white space is left are dropped; rows that lose nothing are as they were.
+    """
+    others = [c for c in docs.columns if c not in (id_column, text_column)]
+    marked = docs.withColumn("_null", F.col(text_column).isNull())
+    found = repeated_spans(marked, id_column, text_column, [*others, "_null"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for kept, spans, null in zip(batch.column("kept"), batch.column("spans").to_pylist(), batch.column("_null").to_pylist(), strict=True):
+                raw, at, gone, parts = kept.as_buffer().to_pybytes(), 0, 0, []
+                for span in spans:
+                    end = span["start"] - gone
+                    parts.append(raw[at:end].decode("utf-8", "ignore"))
+                    at, gone = end, gone + span["bytes"]
+                text = "".join([*parts, raw[at:].decode("utf-8", "ignore")])
+                texts.append(None if null else text if not spans or text.strip() else "")
+            keep = pa.array([not s or bool(t) for s, t in zip(batch.column("spans").to_pylist(), texts, strict=True)], pa.bool_())
+            columns = [pa.array(texts, pa.string()) if c == text_column else batch.column(c) for c in docs.columns]
+            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(keep)
+
+    kinds = ", ".join(f"`{f.name}` {'bigint' if f.name == id_column else f.dataType.simpleString()}" for f in docs.schema)
+    return found.mapInArrow(run, kinds)
