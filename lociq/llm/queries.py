@@ -100,8 +100,8 @@ ORACLES = {
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
             ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS s FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-        links AS (SELECT both.a, both.b FROM both JOIN n x ON x.doc_id = both.a JOIN n y ON y.doc_id = both.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT pairs.a, pairs.b FROM pairs JOIN n x ON x.doc_id = pairs.a JOIN n y ON y.doc_id = pairs.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id, min(reach.b) = d.doc_id AS kept
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n""",
@@ -120,7 +120,8 @@ ORACLES = {
         FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
     "op9_radix_suffixes": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS i FROM d)),
+        c AS (SELECT doc_id, k, substr(h, 1000 * k + 1, 1098) AS h FROM (SELECT doc_id, h, unnest(range(len(h) // 1000 + 1)) AS k FROM d)),
+        w AS (SELECT doc_id, 500 * k + i AS i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, k, h, unnest(range(len(h) // 2 - 49)) AS i FROM c)),
         f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
         r AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) + 50 AS new FROM w JOIN f ON f.s = w.s WHERE first < doc_id),
         g AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM r),

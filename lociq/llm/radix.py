@@ -330,7 +330,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     A character of which a byte goes, goes. Rows of which nothing but white space is left are dropped; rows that lose nothing are as they were.
     """
-    others = [c for c in docs.columns if c not in (id_column, text_column)]
+    names = docs.columns
+    others = [c for c in names if c not in (id_column, text_column)]
     marked = docs.withColumn("_null", F.col(text_column).isNull())
     found = repeated_spans(marked, id_column, text_column, [*others, "_null"])
 
@@ -346,8 +347,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 text = "".join([*parts, raw[at:].decode("utf-8", "ignore")])
                 texts.append(None if null else text if not spans or text.strip() else "")
             keep = pa.array([not s or bool(t) for s, t in zip(batch.column("spans").to_pylist(), texts, strict=True)], pa.bool_())
-            columns = [pa.array(texts, pa.string()) if c == text_column else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(keep)
+            columns = [pa.array(texts, pa.string()) if c == text_column else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
 
     kinds = ", ".join(f"`{f.name}` {'bigint' if f.name == id_column else f.dataType.simpleString()}" for f in docs.schema)
     return found.mapInArrow(run, kinds)
