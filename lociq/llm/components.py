@@ -17,11 +17,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().toDF("a", "b"))
     labels = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component_id")))
-    while True:
+    while not labels.isEmpty():
         told = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component_id").alias("told"))
         lower = labels.join(told, "id").select("id", F.least("component_id", "told").alias("near"), F.col("component_id").alias("old"))
         jump = labels.select(F.col("id").alias("near"), F.col("component_id").alias("far"))
         after = cut_lineage(lower.join(jump, "near").select("id", F.least("near", "far").alias("component_id"), "old"))
         labels = after.select("id", "component_id")
         if after.where("component_id <> old").isEmpty():
-            return labels
+            break
+    return labels

@@ -2,24 +2,29 @@
 
 A document's signature has ``VALUES`` MinHash values. It is posted under ``POSTED``
 coordinates, each the combined value of ``WIDTH`` of them, a prefix that documents
-whose signatures agree in enough places must share a value of. Two joins use
-the lists and neither writes out the pairs inside a group:
+whose signatures agree in enough places must share a value of. Two passes use
+the posting lists and neither writes out the pairs inside a group:
 
 1. Star: every member of a list is matched with the smallest id of its list.
-   Those confirmed form groups, whatever their size, from one pair a member.
+   Those confirmed form groups, whatever their size, from one pair a member and list.
 2. Rest: lists whose members already are one group are skipped. In the others,
    members of different groups are matched when their sizes allow it and enough
-   signature values collide (counted by bit operations in the join condition).
+   signature values collide, each pair in the first list it shares. Lists are
+   cut into tiles of bounded size, whose pairs are counted, confirmed and united
+   inside a task, so a tile gives fewer links than it has members.
 
-Both keep pairs with enough equal values (``matches_for``), and all kept pairs are
+Both keep pairs with enough equal values (``matches_for``), and all links are
 confirmed on the full sets. A pair at the threshold itself is missed with a probability
-of at most 2e-6 (at 0.8 and above: no shared coordinate, or too few matches), any nearer pair with less.
+of at most 4e-6 (at 0.8 and above: no shared coordinate, too few matches, or a first
+list told wrongly by 24 bits), any nearer pair with less.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,9 @@ MISSED = 1e-6
 _SEEDS = mix(np.arange(1, VALUES + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mix(_SEEDS) | np.uint64(1)
 _LANES = [f"s{k}" for k in range(VALUES // 8)]
+#: Members and shingles of a block of a posting list, on average; a tile is two blocks.
+TILE, TILE_SHINGLES = 1000, 1_000_000
+_TILED = "tile long, at int, id long, n_shingles long, " + ", ".join(f"{c} long" for c in _LANES) + ", label long, side int"
 _SIGNED = "id long, n_shingles long, whole_a long, whole_b long, " + ", ".join(f"{c} long" for c in _LANES) + ", keys array<long>"
 
 
@@ -118,9 +126,8 @@ def _near(a: str, b: str, percent: int) -> str:
     return f"{sizes} AND {collisions(a, b)} >= {matches_for(percent)}"
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. Sets are built once per document in question."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def shingles(docs: DataFrame, size: int) -> DataFrame:
+    """(id, shingles): the sorted distinct fingerprints of each text, one row for each id."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,6 +136,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 raw = sets.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([raw[8 * s : 8 * e] for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["id", "shingles"])
 
+    return docs.dropDuplicates(["id"]).mapInArrow(build, "id long, shingles binary")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. Sets are built once per document in question."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -138,11 +152,94 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = docs.join(wanted, "id", "left_semi").mapInArrow(build, "id long, shingles binary")
+    sets = shingles(docs.join(wanted, "id", "left_semi"), size)
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     return left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").mapInArrow(compare, "a long, b long")
 
 
+def rest_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that unite groups: rows (at, key, id, n_shingles, lanes, label) of all posting lists, with the group of each id."""
+    lists = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
+    lists = lists.where("low < high").select("key", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int").alias("blocks"))
+    tiled = members.join(lists, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.withColumn("tile", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).select("tile", "at", "id", "n_shingles", *_LANES, "label", (F.col("block") - F.col("other")).alias("side"))
+    # Which members have a partner to be confirmed, and then their sets.
+    open_rows = cut_lineage(tiled.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(partial(_in_tiles, percent=percent, kept=None), _TILED))
+    sets = shingles(texts.join(open_rows.select("id").distinct(), "id", "left_semi"), size)
+    return open_rows.join(sets, "id").repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(partial(_in_tiles, percent=percent, kept="shingles"), "a long, b long")
+
+
+def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile: those with a candidate partner (``kept`` None), or the links that unite groups, confirmed on the column ``kept``."""
+    rest: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if table is None or not table.num_rows:
+            continue
+        tile = table.column("tile").to_numpy()
+        edge = np.flatnonzero(np.diff(tile)) + 1
+        whole = table.num_rows if batch is None else int(edge[-1]) if len(edge) else 0
+        rest = table.slice(whole)
+        table = table.slice(0, whole).combine_chunks()
+        first = np.concatenate([[0], edge[edge < whole], [whole]]).astype(np.int64)
+        if not whole:
+            continue
+        lanes = np.stack([table.column(c).to_numpy() for c in _LANES], 1)
+        values = np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, VALUES)
+        n, label, side, at, ids = (table.column(c).to_numpy() for c in ("n_shingles", "label", "side", "at", "id"))
+        found = [np.zeros((0, 2), np.int64)]
+        for x, y in _pairs(first):
+            fits = (label[x] != label[y]) & ((side[x] == 0) | (np.sign(side[x]) != np.sign(side[y]))) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+            x, y = x[fits], y[fits]
+            equal = values[x] == values[y]
+            near = equal.sum(1) >= matches_for(percent)
+            x, y, equal = x[near], y[near], equal[near]
+            lists = equal[:, : POSTED * WIDTH].reshape(-1, POSTED, WIDTH).all(axis=2)
+            mine = lists.argmax(axis=1) == at[x]
+            found.append(np.stack([x[mine], y[mine]], 1))
+        pairs = np.concatenate(found)
+        if kept is None:
+            yield from table.take(pa.array(np.unique(pairs))).to_batches()
+            continue
+        sets, group, links = table.column(kept), {}, []
+        tiles = np.searchsorted(first, pairs[:, 0], "right")
+        for t, x, y in zip(tiles.tolist(), pairs[:, 0].tolist(), pairs[:, 1].tolist(), strict=True):
+            one, two = _root(group, (t, label[x])), _root(group, (t, label[y]))
+            if one != two:
+                a, b = (np.frombuffer(sets[k].as_buffer(), np.uint64) for k in (x, y))
+                both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    group[one] = two
+                    links.append((ids[x], ids[y]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _pairs(first: np.ndarray, limit: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of each run ``first[k]:first[k + 1]``, about ``limit`` at a time."""
+    # The partners of a row are the rows after it in its run.
+    end = np.repeat(first[1:], np.diff(first))
+    many = end - np.arange(len(end)) - 1
+    total = np.cumsum(many)
+    at = 0
+    while at < len(end):
+        before = total[at - 1] if at else 0
+        last = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
+        x = np.repeat(np.arange(at, last), many[at:last])
+        y = np.arange(len(x)) - np.repeat(total[at:last] - many[at:last] - before, many[at:last]) + x + 1
+        if len(x):
+            yield x, y
+        at = last
+
+
+def _root(group: dict, x: tuple) -> tuple:
+    while x in group:
+        if group[x] in group:
+            group[x] = group[group[x]]
+        x = group[x]
+    return x
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) per row: components of documents with ``percent`` % of their shingles in common.
 
@@ -166,12 +263,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     grouped = components(links)
 
     label = F.coalesce("component_id", "id").alias("label")
-    members = classes.join(grouped, "id", "left").select(F.explode("keys").alias("key"), "id", "n_shingles", *_LANES, label)
-    members = cut_lineage(members.join(members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "key", "left_semi"))
-    rest = members.alias("p").join(members.alias("q"), "key").where("p.id < q.id AND p.label <> q.label AND " + _near("p", "q", percent))
-    rest = cut_lineage(rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct())
-    more = cut_lineage(confirm(rest, texts, size, percent))
-    grouped = components(links.union(more))
+    members = classes.join(grouped, "id", "left").select(F.posexplode("keys").alias("at", "key"), "id", "n_shingles", *_LANES, label)
+    links = links.union(cut_lineage(rest_links(members, texts, size, percent)))
+    grouped = components(links)
 
     named = classes.join(grouped, "id", "left").select(*whole, F.coalesce("component_id", "id").alias("component_id"))
     return signed.select("id", *whole).join(named, whole, "left").select(
