@@ -35,17 +35,19 @@ DEPTH = 50
 GRAM = 25
 SIDE = DEPTH - GRAM
 #: Bytes of text of a batch, grams of a part and records of a part, on average.
-BATCH_BYTES, PART_GRAMS, PART_RECORDS = 8 << 20, 2_000_000, 250_000
+BATCH_BYTES, PART_GRAMS, PART_RECORDS = 4 << 20, 1_500_000, 120_000
+#: Bytes of text whose fingerprints are made at a time.
+CHUNK = 1 << 20
 #: A gram in more batches than this is sorted by whole strings.
 HOT_BATCHES = 512
 
 
-def anchors(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place and gram fingerprint of each anchor, and the prefix sums that fingerprints come from."""
-    sums = prefix_sums(codes)
+def anchors(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and gram fingerprint of each anchor of some documents."""
     n = len(codes) - GRAM + 1
     if n < SIDE + 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), sums
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    sums = prefix_sums(codes)
     shift = powers(len(sums), INVERSE)
     grams = mix((sums[GRAM:] - sums[:n]) * shift[:n]) | np.uint64(1)
     # Strings that begin here and end in the same document.
@@ -55,7 +57,7 @@ def anchors(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     least = np.where(whole, least, 0)
     padded = np.concatenate([np.zeros(SIDE, np.uint64), least, np.zeros(SIDE, np.uint64)])
     at = np.flatnonzero(slide(padded, SIDE + 1, np.maximum)[:n] == grams)
-    return at, grams[at], sums
+    return at, grams[at]
 
 
 def slide(x: np.ndarray, size: int, least: np.ufunc) -> np.ndarray:
@@ -76,7 +78,14 @@ class Batch:
         self.ids = table.column("id").to_numpy()
         text = table.column("text")
         self.codes, self.bounds = buffer(text.chunk(0) if text.num_chunks else pa.array([], pa.string()))
-        self.at, self.grams, self.sums = anchors(self.codes, self.bounds)
+        found, row = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))], 0
+        while row < len(self.ids):  # some documents at a time: the tables of a byte are many
+            end = max(row + 1, int(np.searchsorted(self.bounds, self.bounds[row] + CHUNK, "right")) - 1)
+            base = self.bounds[row]
+            at, grams = anchors(self.codes[base : self.bounds[end]], self.bounds[row : end + 1] - base)
+            found.append((at + base, grams))
+            row = end
+        self.at, self.grams = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         self.row = np.searchsorted(self.bounds, self.at, "right") - 1
         self.distinct, self.of = np.unique(self.grams, return_inverse=True)
 
@@ -132,8 +141,9 @@ class Batch:
         starts = starts[starts >= 0]
         row = np.searchsorted(self.bounds, starts, "right") - 1
         starts = starts[starts + DEPTH <= self.bounds[row + 1]]
-        one = span_hashes(self.sums, starts, starts + DEPTH)
-        two = mix(span_hashes(self.sums, starts, starts + GRAM) + mix(span_hashes(self.sums, starts + GRAM, starts + DEPTH)))
+        sums = prefix_sums(self.codes) if len(starts) else np.zeros(1, np.uint64)
+        one = span_hashes(sums, starts, starts + DEPTH)
+        two = mix(span_hashes(sums, starts, starts + GRAM) + mix(span_hashes(sums, starts + GRAM, starts + DEPTH)))
         key, first, of = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_inverse=True) if len(starts) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         row = np.searchsorted(self.bounds, starts, "right") - 1
         return starts, of.ravel(), key, self.ids[row[first]]
