@@ -35,9 +35,9 @@ DEPTH = 50
 GRAM = 25
 SIDE = DEPTH - GRAM
 #: Bytes of text of a batch, grams of a part and records of a part, on average.
-BATCH_BYTES, PART_GRAMS, PART_RECORDS = 4 << 20, 1_500_000, 120_000
+BATCH_BYTES, PART_GRAMS, PART_RECORDS = 2 << 20, 600_000, 50_000
 #: Bytes of text whose fingerprints are made at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: A gram in more batches than this is sorted by whole strings.
 HOT_BATCHES = 512
 
