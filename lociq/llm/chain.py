@@ -84,22 +84,31 @@ def matrix(column: pa.Array, known: np.ndarray) -> Sparse:
     return Sparse(pairs // width, pairs % width, np.log1p(times), len(column), len(known), np.log1p(many)[:, None])
 
 
-def select(row: np.ndarray, found: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The features most unevenly spread over a category (z score), at most ``MAX_FEATURES``, sorted."""
-    names, of = np.unique(found, return_inverse=True)
-    pairs = np.unique(of * np.int64(len(labels)) + row) if len(names) else np.zeros(0, np.int64)
-    of, row = pairs // max(len(labels), 1), pairs % max(len(labels), 1)
-    texts = np.bincount(of, minlength=len(names))
-    best = np.zeros(len(names))
-    for y in labels.T.astype(float):
-        n, p = len(y), y.sum()
-        if 0 < p < n:
-            inside = np.bincount(of, y[row], len(names))
-            share = texts / n
-            z = np.abs(inside / p - (texts - inside) / (n - p)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / p + 1 / (n - p)))
-            best = np.maximum(best, np.where((texts >= MIN_TEXTS) & (texts < n), z, 0))
-    keep = np.argsort(-best, kind="stable")[:MAX_FEATURES]
-    return np.sort(names[keep[best[keep] >= MIN_Z]])
+def select(seen: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """The features most unevenly spread over a category (z score), at most ``MAX_FEATURES``, sorted; ``seen``: (row, feature) of each slice.
+
+    Features are counted a sixteenth at a time, by their high bits, which bounds the memory.
+    """
+    n, chosen, best = len(labels), [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for shard in range(16):
+        inside = [found >> np.uint64(60) == shard for _, found in seen]
+        row = np.concatenate([np.zeros(0, np.int64), *(r[i] for (r, _), i in zip(seen, inside, strict=True))])
+        names, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *(f[i] for (_, f), i in zip(seen, inside, strict=True))]), return_inverse=True)
+        pairs = np.unique(of * np.int64(max(n, 1)) + row)
+        of, row = pairs // max(n, 1), pairs % max(n, 1)
+        texts = np.bincount(of, minlength=len(names))
+        score = np.zeros(len(names))
+        for y in labels.T.astype(float):
+            p = y.sum()
+            if 0 < p < n:
+                hits = np.bincount(of, y[row], len(names))
+                share = texts / n
+                z = np.abs(hits / p - (texts - hits) / (n - p)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / p + 1 / (n - p)))
+                score = np.maximum(score, np.where((texts >= MIN_TEXTS) & (texts < n), z, 0))
+        chosen.append(names[score >= MIN_Z])
+        best.append(score[score >= MIN_Z])
+    names, score = np.concatenate(chosen), np.concatenate(best)
+    return np.sort(names[np.argsort(-score, kind="stable")[:MAX_FEATURES]])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -155,9 +164,10 @@ def learn_chain(sample: DataFrame, categories: list[str]) -> tuple[np.ndarray, l
         seen, done = [], 0
         for part in slices(batch, "text"):
             row, found, _ = features(part.column("text"))
-            seen.append((row + done, found))
+            seen.append(((row + done).astype(np.int32), found))
             done += part.num_rows
-        words = select(*(np.concatenate([s[k] for s in seen]) for k in (0, 1)), labels)
+        words = select(seen, labels)
+        seen.clear()
         parts = [matrix(part.column("text"), words) for part in slices(batch, "text")]
         before = np.cumsum([0, *(x.rows for x in parts)])
         x = Sparse(np.concatenate([x.row + n for x, n in zip(parts, before[:-1], strict=True)]), *(np.concatenate([getattr(x, c) for x in parts]) for c in ("col", "value")), done, len(words), np.concatenate([x.dense for x in parts]))
