@@ -154,14 +154,14 @@ def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
     return (((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def first_digit(key: tuple, table: pa.Table) -> pa.Table:
-    """For one part: which grams of each batch occur in two documents or more, and which in very many batches."""
+def first_digit(key: tuple, table: pa.Table, most: int) -> pa.Table:
+    """For one part: which grams of each batch occur in two documents or more, and which in more than ``most`` batches."""
     grams = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("grams")]
     several = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(g)) for x, g in zip(table.column("several"), grams, strict=True)]
     _, of, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     twice = count > 1
     twice[of[np.concatenate(several).astype(bool)]] = True
-    hot = count > HOT_BATCHES
+    hot = count > most
     cuts = np.cumsum([len(g) for g in grams])[:-1]
     shared, hot = np.split(twice[of], cuts), np.split(hot[of], cuts)
     return pa.table(
@@ -307,8 +307,13 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
         sent = Batch(table).requests(parts)
         return pa.Table.from_pylist([{"batch": key[0].as_py(), **r} for r in sent], pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("grams", pa.binary()), ("several", pa.binary())]))
 
+    most = HOT_BATCHES
+
+    def told_grams(key: tuple, table: pa.Table) -> pa.Table:
+        return first_digit(key, table, most)
+
     grams = texts.groupBy("batch").applyInArrow(send_grams, "batch long, part long, grams binary, several binary")
-    told = cut_lineage(grams.groupBy("part").applyInArrow(first_digit, "batch long, part long, n long, stay long, shared binary, hot binary"))
+    told = cut_lineage(grams.groupBy("part").applyInArrow(told_grams, "batch long, part long, n long, stay long, shared binary, hot binary"))
     more = max(1, math.ceil((told.agg(F.sum("stay")).first()[0] or 0) / PART_RECORDS))
 
     def send_records(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
