@@ -61,11 +61,15 @@ def write_results(df: DataFrame, base: str, label: str, seed: int, by: Sequence[
     return path
 
 
+# Bare text: nothing quoted or trimmed, empty text stays empty, missing values are NA.
+_BARE = {"sep": "\t", "header": True, "quote": "", "emptyValue": "", "nullValue": "NA", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated text with a header, nothing quoted, missing values as NA."""
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("nullValue", "NA").csv(path)
+    df.write.mode("overwrite").options(**_BARE).csv(path)
 
 
 def write_importance(df: DataFrame, path: str, by: Sequence[str] = ("set_type", "config_name")) -> None:
     """Feature importance as tab-separated text, one folder per set type and configuration."""
-    df.write.mode("overwrite").partitionBy(*by).option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    df.write.mode("overwrite").partitionBy(*by).options(**_BARE).csv(path)
