@@ -188,7 +188,9 @@ def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None)
         lanes = np.stack([table.column(c).to_numpy() for c in _LANES], 1)
         values = np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, VALUES)
         n, label, side, at, ids = (table.column(c).to_numpy() for c in ("n_shingles", "label", "side", "at", "id"))
-        found = [np.zeros((0, 2), np.int64)]
+        # Pairs are used as they are found, so only the members of the batch and one block of pairs are in memory.
+        wanted = np.zeros(whole, bool)
+        sets, group, links = None if kept is None else table.column(kept), {}, []
         for x, y in _pairs(first):
             fits = (label[x] != label[y]) & ((side[x] == 0) | (np.sign(side[x]) != np.sign(side[y]))) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
             x, y = x[fits], y[fits]
@@ -197,25 +199,26 @@ def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None)
             x, y, equal = x[near], y[near], equal[near]
             lists = equal[:, : POSTED * WIDTH].reshape(-1, POSTED, WIDTH).all(axis=2)
             mine = lists.argmax(axis=1) == at[x]
-            found.append(np.stack([x[mine], y[mine]], 1))
-        pairs = np.concatenate(found)
-        if kept is None:
-            yield from table.take(pa.array(np.unique(pairs))).to_batches()
-            continue
-        sets, group, links = table.column(kept), {}, []
-        tiles = np.searchsorted(first, pairs[:, 0], "right")
-        for t, x, y in zip(tiles.tolist(), pairs[:, 0].tolist(), pairs[:, 1].tolist(), strict=True):
-            one, two = _root(group, (t, label[x])), _root(group, (t, label[y]))
-            if one != two:
-                a, b = (np.frombuffer(sets[k].as_buffer(), np.uint64) for k in (x, y))
-                both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    group[one] = two
-                    links.append((ids[x], ids[y]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-
-def _pairs(first: np.ndarray, limit: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            x, y = x[mine], y[mine]
+            if sets is None:
+                wanted[x] = wanted[y] = True
+                continue
+            tiles = np.searchsorted(first, x, "right")
+            for t, i, j in zip(tiles.tolist(), x.tolist(), y.tolist(), strict=True):
+                one, two = _root(group, (t, label[i])), _root(group, (t, label[j]))
+                if one != two:
+                    a, b = (np.frombuffer(sets[k].as_buffer(), np.uint64) for k in (i, j))
+                    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+                    if 100 * both >= percent * (len(a) + len(b) - both):
+                        group[one] = two
+                        links.append((ids[i], ids[j]))
+        if sets is None:
+            yield from table.filter(pa.array(wanted)).to_batches()
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _pairs(first: np.ndarray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows of each run ``first[k]:first[k + 1]``, about ``limit`` at a time."""
     # The partners of a row are the rows after it in its run.
     end = np.repeat(first[1:], np.diff(first))
