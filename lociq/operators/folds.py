@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.functions.draws import uniform, uniform_py
@@ -18,8 +18,6 @@ from lociq.session import cut_lineage
 # Defaults of the fold assignment.
 DEFAULT_SLACK = 0.5
 DEFAULT_SEED = 1337
-# At most this many draws per replication and locus shape; beyond it a draw deals several loci.
-DRAWS_PER_SHAPE = 10_000
 
 
 def fold_caps(df: DataFrame, n_fold: int, slack: float = DEFAULT_SLACK, label: str = "label") -> DataFrame:
@@ -73,7 +71,7 @@ def grouped_folds(
     case: str = "case_id",
     locus: str = "locus_id",
     label: str = "label",
-    draws_per_shape: int = DRAWS_PER_SHAPE,
+    loci_per_draw: int = 1,
     cells: int = 4096,
     on_missing: str = "ignore",
 ) -> DataFrame:
@@ -81,7 +79,7 @@ def grouped_folds(
     df = keep_positive_loci(df, locus, label, on_missing)
     # Small next to the cases and read by three branches, so written once.
     loci = cut_lineage(locus_summary(df, locus, label))
-    folds = locus_folds(loci, n_rep, n_fold, slack, seed, locus, draws_per_shape, cells)
+    folds = locus_folds(loci, n_rep, n_fold, slack, seed, locus, loci_per_draw, cells)
     # One row per locus with all its replications, so cases are shuffled once, not once per replication.
     per_locus = folds.groupBy(locus).agg(F.array_sort(F.collect_list(F.struct("rep", "fold"))).alias("_folds"))
     return (
@@ -99,7 +97,7 @@ def locus_folds(
     slack: float = DEFAULT_SLACK,
     seed: int = DEFAULT_SEED,
     locus: str = "locus_id",
-    draws_per_shape: int = DRAWS_PER_SHAPE,
+    loci_per_draw: int = 1,
     cells: int = 4096,
 ) -> DataFrame:
     """(locus, rep, fold) from a locus summary (locus, cases, positives).
@@ -109,28 +107,28 @@ def locus_folds(
     positives. Loci of the same shape (cases, positives) are interchangeable:
     only the table of shapes is walked in order, once per replication, and
     every locus then finds its draw by its random position within its shape.
+
+    Every locus is drawn by itself whatever the number of loci, with time and
+    memory in proportion to the loci of a replication. ``loci_per_draw`` above 1
+    deals that many loci of a shape with each draw, in the proportions of the
+    weights; it is the caller's choice and never follows from the size.
     """
     shapes = loci.groupBy("cases", "positives").agg(F.count(F.lit(1)).alias("loci"))
     plan = with_replications(shapes, n_rep).groupBy("rep").applyInPandas(
-        _dealer(n_fold, slack, seed, draws_per_shape),
+        _dealer(n_fold, slack, seed, loci_per_draw),
         "rep int, cases bigint, positives bigint, step bigint, upto array<bigint>",
     )
     placed = numbered(
         with_replications(loci, n_rep), ["rep", "cases", "positives"], uniform(seed, "rep", locus), locus, cells=cells
     )
-    per_step = _loci_per_step(F.col("group_size"), draws_per_shape)
     at = F.col("position") - 1
-    placed = placed.withColumn("step", F.floor(at / per_step)).withColumn("_at", at - F.col("step") * per_step)
+    placed = placed.withColumn("step", F.floor(at / loci_per_draw)).withColumn("_at", at - F.col("step") * loci_per_draw)
     dealt = placed.join(plan, ["rep", "cases", "positives", "step"])
     fold = F.size(F.filter("upto", lambda n: n <= F.col("_at"))) + 1
     return dealt.select(locus, "rep", fold.cast("int").alias("fold"))
 
 
-def _loci_per_step(size: Column, draws_per_shape: int) -> Column:
-    return F.ceil(size / draws_per_shape)
-
-
-def _dealer(n_fold: int, slack: float, seed: int, draws_per_shape: int) -> Callable:
+def _dealer(n_fold: int, slack: float, seed: int, loci_per_draw: int) -> Callable:
     """Walk the shapes of one replication; the state is two counters per fold."""
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -144,10 +142,9 @@ def _dealer(n_fold: int, slack: float, seed: int, draws_per_shape: int) -> Calla
         rows, drawn = [], 0
         for size, positives, loci in shapes[["cases", "positives", "loci"]].itertuples(index=False):
             unit = np.array([[size], [positives]])
-            per_step = math.ceil(loci / draws_per_shape)
             left, step = int(loci), 0
             while left:
-                batch = min(per_step, left)
+                batch = min(loci_per_draw, left)
                 got = np.zeros(n_fold, dtype=np.int64)
                 while got.sum() < batch:
                     room = (max_cases - used[0]) // size
@@ -160,12 +157,8 @@ def _dealer(n_fold: int, slack: float, seed: int, draws_per_shape: int) -> Calla
                     if not weights.any():
                         weights = (room > 0).astype(float)
                     drawn += 1
-                    need = int(batch - got.sum())
-                    if need == 1:
-                        add = _one_of(weights, uniform_py(seed, rep, "draw", drawn))
-                    else:
-                        rng = np.random.default_rng([seed, rep, drawn])
-                        add = np.minimum(rng.multinomial(need, weights / weights.sum()), room)
+                    need, u = int(batch - got.sum()), uniform_py(seed, rep, "draw", drawn)
+                    add = _one_of(weights, u) if need == 1 else np.minimum(_shares(weights, need, u), room)
                     got += add
                     used += unit * add
                 rows.append((rep, size, positives, step, got.cumsum()))
@@ -182,6 +175,13 @@ def _one_of(weights: np.ndarray, u: float) -> np.ndarray:
     return np.eye(len(weights), dtype=np.int64)[pick]
 
 
+def _shares(weights: np.ndarray, need: int, u: float) -> np.ndarray:
+    """``need`` units dealt in the proportions of the weights: evenly spaced points with one random start."""
+    upto = np.clip(np.ceil(weights.cumsum() / weights.sum() * need - u), 0, need).astype(np.int64)
+    upto[np.flatnonzero(weights)[-1] :] = need
+    return np.diff(upto, prepend=0)
+
+
 def assign_folds(df: DataFrame, method: str, n_rep: int, n_fold: int, **options) -> DataFrame:
     """Fold assignment by method name: ``SNP`` (case by case), ``STRATIFIED`` or ``LOCUS``."""
     methods = {"SNP": shuffled_folds, "STRATIFIED": stratified_folds, "LOCUS": grouped_folds}

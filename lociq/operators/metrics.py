@@ -186,6 +186,13 @@ def locus_gaps(evaluated: DataFrame, overall: DataFrame, keys: Sequence[str], lo
     return inside.join(whole, locus).where(F.col("evaluated") < F.col("members"))
 
 
+def require_whole_loci(df: DataFrame, keys: Sequence[str], locus: str = "locus_id", fold: str = "fold") -> None:
+    """An error when a locus is spread over several folds: ranks inside it would miss members."""
+    torn = df.groupBy(*keys, locus).agg(F.min(fold).alias("low"), F.max(fold).alias("high")).where("low < high").first()
+    if torn is not None:
+        raise ValueError(f"ranks need whole loci, but {torn[locus]} is in folds {torn['low']} to {torn['high']}")
+
+
 def evaluate(
     df: DataFrame,
     keys: Sequence[str],

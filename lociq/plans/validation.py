@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from lociq.operators.analysis import average_results, to_long
 from lociq.operators.folds import assign_folds
 from lociq.operators.loci import DEFAULT_CUTOFF, assign_loci, keep_positive_loci
-from lociq.operators.metrics import evaluate_folds
+from lociq.operators.metrics import evaluate_folds, require_whole_loci
 from lociq.operators.scoring import given_score_rows, roles_to_columns
 from lociq.session import cut_lineage
 
@@ -24,13 +24,14 @@ def validate_scores(
     scores: DataFrame,
     n_rep: int,
     n_fold: int,
-    method: str = "SNP",
-    grouped: bool = True,
+    method: str = "LOCUS",
     materialize: bool = True,
     **fold_options,
 ) -> DataFrame:
     """Train and test metrics per (config, rep, fold) of given scores.
 
+    Ranks within loci are given with ``LOCUS`` folds only, where every locus is
+    evaluated as a whole, which is checked; with the other methods there are areas only.
     Both inputs of several branches, the clustered cases and the scored rows,
     are written once (reliable checkpoint) unless ``materialize`` is off.
     """
@@ -38,6 +39,9 @@ def validate_scores(
     cases = keep(cases)
     folds = assign_folds(cases, method, n_rep, n_fold, **fold_options)
     rows = keep(given_score_rows(cases, scores, folds))
+    grouped = method == "LOCUS"
+    if grouped:
+        require_whole_loci(rows, ["config_id", "rep"])
     results = roles_to_columns(evaluate_folds(rows, ["config_id", "rep"], n_fold, grouped))
     return results.withColumnRenamed("test_fold", "fold")
 

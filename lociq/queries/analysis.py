@@ -84,7 +84,7 @@ def by_method(long):
     return long.withColumn("method", F.when(F.col("config_id") <= 2, "raw").otherwise("hash")).withColumnRenamed("config_id", "hp_no")
 
 
-@query("results_long", f"WITH {PERF} SELECT config_id, rep, fold, metric, {r6('value', 'value')} FROM perf")
+@query("results_long", f"WITH RECURSIVE {PERF} SELECT config_id, rep, fold, metric, {r6('value', 'value')} FROM perf")
 def _(spark, folder):
     return rounded(performance(spark, folder))
 
@@ -95,19 +95,19 @@ _cells = ", ".join(
 )
 
 
-@query("wide_results", f"WITH {PERF} SELECT config_id, {_cells} FROM perf GROUP BY config_id")
+@query("wide_results", f"WITH RECURSIVE {PERF} SELECT config_id, {_cells} FROM perf GROUP BY config_id")
 def _(spark, folder):
     return rounded(A.wide_results(performance(spark, folder), N_REP, N_FOLD, NAMES))
 
 
-@query("fold_suffix", f"WITH {PERF} SELECT DISTINCT metric || '_' || rep || '_' || fold AS slot FROM perf")
+@query("fold_suffix", f"WITH RECURSIVE {PERF} SELECT DISTINCT metric || '_' || rep || '_' || fold AS slot FROM perf")
 def _(spark, folder):
     return performance(spark, folder).select(F.concat_ws("_", "metric", "rep", "fold").alias("slot")).distinct()
 
 
 @query(
     "logit_mean",
-    f"""WITH {LONG} SELECT config_id, metric, {r6(inv_logit(f"avg({logit('value')})"), 'logit_mean')}
+    f"""WITH RECURSIVE {LONG} SELECT config_id, metric, {r6(inv_logit(f"avg({logit('value')})"), 'logit_mean')}
     FROM long WHERE {IS_AREA} GROUP BY config_id, metric""",
 )
 def _(spark, folder):
@@ -115,18 +115,18 @@ def _(spark, folder):
     return rounded(long.groupBy("config_id", "metric").agg(logit_mean("value").alias("logit_mean")))
 
 
-@query("average_results", f"WITH {AVERAGES} SELECT config_id, metric, {r6('average', 'average')}, n_values, n_missing FROM averages")
+@query("average_results", f"WITH RECURSIVE {AVERAGES} SELECT config_id, metric, {r6('average', 'average')}, n_values, n_missing FROM averages")
 def _(spark, folder):
     return rounded(A.average_results(performance(spark, folder)))
 
 
-@query("bootstrap_means", f"WITH {MEANS} SELECT config_id, metric, resample, {r6('average', 'average')} FROM means")
+@query("bootstrap_means", f"WITH RECURSIVE {MEANS} SELECT config_id, metric, resample, {r6('average', 'average')} FROM means")
 def _(spark, folder):
     out = A.bootstrap_means(performance(spark, folder))
     return rounded(out.withColumn("resample", F.col("resample").cast("bigint")))
 
 
-@query("bootstrap_ci", f"WITH {INTERVALS} SELECT config_id, metric, {r6('lower95', 'lower95')}, {r6('upper95', 'upper95')} FROM intervals")
+@query("bootstrap_ci", f"WITH RECURSIVE {INTERVALS} SELECT config_id, metric, {r6('lower95', 'lower95')}, {r6('upper95', 'upper95')} FROM intervals")
 def _(spark, folder):
     return rounded(A.bootstrap_intervals(A.bootstrap_means(performance(spark, folder))))
 
@@ -137,19 +137,19 @@ BEST_AUPVR = _best_sql.format(ctes=PERF, method=METHOD, metric="test_aupvr", ord
 BEST_AVGRANK = _best_sql.format(ctes=PERF, method=METHOD, metric="test_avgrank", order="ASC")
 
 
-@query("best_by_aupvr", f"WITH {BEST_AUPVR} SELECT method, hp_no, {r6('v', 'mean_value')} FROM chosen")
+@query("best_by_aupvr", f"WITH RECURSIVE {BEST_AUPVR} SELECT method, hp_no, {r6('v', 'mean_value')} FROM chosen")
 def _(spark, folder):
     return rounded(A.best_configurations(by_method(performance(spark, folder)), "test_aupvr", largest=True))
 
 
-@query("best_by_avgrank", f"WITH {BEST_AVGRANK} SELECT method, hp_no, {r6('v', 'mean_value')} FROM chosen")
+@query("best_by_avgrank", f"WITH RECURSIVE {BEST_AVGRANK} SELECT method, hp_no, {r6('v', 'mean_value')} FROM chosen")
 def _(spark, folder):
     return rounded(A.best_configurations(by_method(performance(spark, folder)), "test_avgrank", largest=False))
 
 
 @query(
     "rows_of_best",
-    f"""WITH {BEST_AUPVR} SELECT p.config_id AS hp_no, {METHOD} AS method, rep, fold, metric, {r6('value', 'value')} FROM perf p
+    f"""WITH RECURSIVE {BEST_AUPVR} SELECT p.config_id AS hp_no, {METHOD} AS method, rep, fold, metric, {r6('value', 'value')} FROM perf p
     WHERE ({METHOD}, p.config_id) IN (SELECT method, hp_no FROM chosen)""",
 )
 def _(spark, folder):
@@ -171,7 +171,7 @@ def best_bootstrap(spark, folder):
 
 @query(
     "bootstrap_table",
-    f"""WITH {BOOT_BEST} SELECT method, resample, {", ".join(r6(f"max(CASE WHEN metric = 'test_{m}' THEN average END)", m) for m in ("auroc", "aupvr", "avgrank"))}
+    f"""WITH RECURSIVE {BOOT_BEST} SELECT method, resample, {", ".join(r6(f"max(CASE WHEN metric = 'test_{m}' THEN average END)", m) for m in ("auroc", "aupvr", "avgrank"))}
     FROM means GROUP BY method, resample""",
 )
 def _(spark, folder):
@@ -182,7 +182,7 @@ def _(spark, folder):
 
 @query(
     "box_stats",
-    f"""WITH {BOOT_BEST}, b AS (SELECT method, metric, quantile_cont(average, 0.25) AS q1, median(average) AS med, quantile_cont(average, 0.75) AS q3 FROM means GROUP BY method, metric),
+    f"""WITH RECURSIVE {BOOT_BEST}, b AS (SELECT method, metric, quantile_cont(average, 0.25) AS q1, median(average) AS med, quantile_cont(average, 0.75) AS q3 FROM means GROUP BY method, metric),
     x AS (SELECT *, average BETWEEN q1 - 2.5 * (q3 - q1) AND q3 + 2.5 * (q3 - q1) AS inside FROM means JOIN b USING (method, metric))
     SELECT method, metric, {r6('q1', 'q1')}, {r6('med', 'median')}, {r6('q3', 'q3')}, {r6('min(average) FILTER (inside)', 'whisker_low')},
     {r6('max(average) FILTER (inside)', 'whisker_high')}, count(*) FILTER (NOT inside) AS outliers FROM x GROUP BY method, metric, q1, med, q3""",
@@ -196,12 +196,12 @@ def tested(long):
     return A.paired_t(long, reference(averages))
 
 
-@query("paired_t", f"WITH {AVERAGES}, {T_TEST} SELECT config_id, {r6('mean_difference', 'mean_difference')}, {r6('t', 't')}, df FROM tests")
+@query("paired_t", f"WITH RECURSIVE {AVERAGES}, {T_TEST} SELECT config_id, {r6('mean_difference', 'mean_difference')}, {r6('t', 't')}, df FROM tests")
 def _(spark, folder):
     return rounded(tested(performance(spark, folder)))
 
 
-@query("paired_p", f"WITH {AVERAGES}, {P_VALUE} SELECT config_id, {r6('t', 't')}, df, {r6('pvalue', 'pvalue')} FROM pvalues")
+@query("paired_p", f"WITH RECURSIVE {AVERAGES}, {P_VALUE} SELECT config_id, {r6('t', 't')}, df, {r6('pvalue', 'pvalue')} FROM pvalues")
 def _(spark, folder):
     return rounded(A.with_p_value(tested(performance(spark, folder))).select("config_id", "t", "df", "pvalue"))
 
@@ -230,7 +230,7 @@ _final_cols = ", ".join(r6(f"{p}{m}", f"{p}{m}") for p in ("avg_", "lower_95ci_"
 
 @query(
     "final_table",
-    f"""WITH {FINAL}, w AS (SELECT config_id, {_cells} FROM perf GROUP BY config_id)
+    f"""WITH RECURSIVE {FINAL}, w AS (SELECT config_id, {_cells} FROM perf GROUP BY config_id)
     SELECT config_id, set_name, hp_text, {_final_cols}, {r6('pvalue', 'pvalue')}, w.* EXCLUDE (config_id) FROM final JOIN w USING (config_id)""",
 )
 def _(spark, folder):
@@ -244,14 +244,14 @@ PLOT = f"""{FINAL}, plot AS ({" UNION ALL ".join(
 _plot_cols = f"{r6('value', 'value')}, {r6('lower95', 'lower95')}, {r6('upper95', 'upper95')}"
 
 
-@query("plot_long", f"WITH {PLOT} SELECT config_id, set_name, hp_text, metric, {_plot_cols} FROM plot")
+@query("plot_long", f"WITH RECURSIVE {PLOT} SELECT config_id, set_name, hp_text, metric, {_plot_cols} FROM plot")
 def _(spark, folder):
     return rounded(A.plot_rows(final(spark, folder), TEST_NAMES))
 
 
 @query(
     "plot_selection",
-    f"""WITH {PLOT} SELECT config_id, set_name, hp_text, metric, {_plot_cols} FROM plot
+    f"""WITH RECURSIVE {PLOT} SELECT config_id, set_name, hp_text, metric, {_plot_cols} FROM plot
     WHERE set_name NOT IN ('value_published', 'negated') OR contains(hp_text, 'scale_pos_weight=1')""",
 )
 def _(spark, folder):
@@ -261,7 +261,7 @@ def _(spark, folder):
 
 @query(
     "plot_labels",
-    f"""WITH {PLOT} SELECT config_id, replace(set_name, '_published', '') AS set_name, hp_text, metric, {_plot_cols},
+    f"""WITH RECURSIVE {PLOT} SELECT config_id, replace(set_name, '_published', '') AS set_name, hp_text, metric, {_plot_cols},
     CAST(row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'AVGRANK' THEN -value ELSE value END, config_id) AS INTEGER) AS place FROM plot""",
 )
 def _(spark, folder):
@@ -271,7 +271,7 @@ def _(spark, folder):
 SCATTER = f"{AVERAGES}, f AS ({_wide_cols('averages', 'avg_', 'average')})"
 
 
-@query("scatter", f"WITH {SCATTER} SELECT config_id, {r6('avg_test_avgrank', 'avg_test_avgrank')}, {r6('avg_test_aupvr', 'avg_test_aupvr')} FROM f")
+@query("scatter", f"WITH RECURSIVE {SCATTER} SELECT config_id, {r6('avg_test_avgrank', 'avg_test_avgrank')}, {r6('avg_test_aupvr', 'avg_test_aupvr')} FROM f")
 def _(spark, folder):
     wide = A.averages_wide(A.average_results(performance(spark, folder)), NAMES)
     return rounded(A.scatter(wide))
@@ -279,7 +279,7 @@ def _(spark, folder):
 
 @query(
     "scatter_zoom",
-    f"""WITH {SCATTER} SELECT config_id, {r6('avg_test_avgrank', 'avg_test_avgrank')}, {r6('avg_test_aupvr', 'avg_test_aupvr')} FROM f
+    f"""WITH RECURSIVE {SCATTER} SELECT config_id, {r6('avg_test_avgrank', 'avg_test_avgrank')}, {r6('avg_test_aupvr', 'avg_test_aupvr')} FROM f
     WHERE avg_test_avgrank <= 4.75 AND avg_test_aupvr >= 0.4""",
 )
 def _(spark, folder):
@@ -287,14 +287,14 @@ def _(spark, folder):
     return rounded(A.scatter(wide, max_avgrank=4.75, min_aupvr=0.4))
 
 
-@query("distinct_configurations", f"WITH {LONG} SELECT DISTINCT config_id FROM results")
+@query("distinct_configurations", f"WITH RECURSIVE {LONG} SELECT DISTINCT config_id FROM results")
 def _(spark, folder):
     return A.distinct_configurations(results(spark, folder))
 
 
 @query(
     "results_by_set",
-    f"""WITH {LONG} SELECT config_id, rep, fold, 'given' AS set_type, CASE config_id WHEN 1 THEN 'value' WHEN 2 THEN 'negated' ELSE 'hashed' END AS set_name,
+    f"""WITH RECURSIVE {LONG} SELECT config_id, rep, fold, 'given' AS set_type, CASE config_id WHEN 1 THEN 'value' WHEN 2 THEN 'negated' ELSE 'hashed' END AS set_name,
     {", ".join(r6(m, m) for m in RESULT_METRICS)} FROM results""",
 )
 def _(spark, folder):

@@ -121,7 +121,7 @@ def _(spark, folder):
 
 @query(
     "write_back",
-    f"""WITH {RESULTS}, more AS (SELECT CAST(unnest(range(1, {N_REP + 2})) AS INTEGER) AS rep2), nos AS (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS config_id2)
+    f"""WITH RECURSIVE {RESULTS}, more AS (SELECT CAST(unnest(range(1, {N_REP + 2})) AS INTEGER) AS rep2), nos AS (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS config_id2)
     SELECT CAST((config_id2 - 1) * {(N_REP + 1) * N_FOLD} + (rep2 - 1) * {N_FOLD} + test_fold AS BIGINT) AS task_id, config_id2 AS config_id, rep2 AS rep,
     test_fold AS fold, {r6('test_auroc', 'test_auroc')}
     FROM nos, more, fold_nos LEFT JOIN results r ON r.config_id = config_id2 AND r.rep = rep2 AND r.fold = test_fold""",

@@ -7,46 +7,9 @@ from pyspark.sql import functions as F
 from lociq.operators import folds as FO
 from lociq.queries import query
 from lociq.queries.loci import kept
-from lociq.queries.sql import FOLD_NOS, KEPT, N_FOLD, N_REP, REPS, SEED, draw, shuffled
-
-_caps = f"""SELECT count(*) AS cases, CAST(sum(label) AS BIGINT) AS positives,
-  CAST(ceil(1.5 * count(*) / {N_FOLD}) AS BIGINT) AS max_cases,
-  CAST(ceil(1.5 * ceil(1.5 * count(*) / {N_FOLD}) * sum(label) / count(*)) AS BIGINT) AS max_positives FROM kept"""
-
-_zero = "[" + ", ".join(["0"] * N_FOLD) + "]::BIGINT[]"
-_k = f"range(1, {N_FOLD + 1})"
-# Loci of every replication in their order, then one fold drawn at a time with two counters per fold as state.
-GROUPED = f"""WITH RECURSIVE {KEPT}{REPS},
-loci AS (SELECT locus_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS p FROM kept GROUP BY locus_id),
-caps AS ({_caps}),
-ordered AS (
-  SELECT rep, locus_id, n, p, row_number() OVER (
-    PARTITION BY rep ORDER BY n DESC, p DESC, {draw(f"'{SEED}|' || rep || '|' || locus_id")}, locus_id) AS i
-  FROM loci, reps),
-queue AS (
-  SELECT rep, list(n ORDER BY i) AS ns, list(p ORDER BY i) AS ps,
-         list({draw(f"'{SEED}|' || rep || '|draw|' || i")} ORDER BY i) AS us, count(*) AS m,
-         any_value(max_cases) AS mc, any_value(max_positives) AS mp
-  FROM ordered, caps GROUP BY rep),
-walk AS (
-  SELECT rep, CAST(0 AS BIGINT) AS i, 0 AS fold, {_zero} AS c, {_zero} AS q FROM reps
-  UNION ALL
-  SELECT rep, i, CAST(fold AS INTEGER),
-         list_transform({_k}, lambda f: c[f] + CASE WHEN f = fold THEN n ELSE 0 END),
-         list_transform({_k}, lambda f: q[f] + CASE WHEN f = fold THEN p ELSE 0 END)
-  FROM (
-    SELECT *, 1 + len(list_filter({_k}, lambda f: list_sum(w[1:f]) <= u * list_sum(w))) AS fold
-    FROM (
-      SELECT w0.rep, w0.i + 1 AS i, w0.c, w0.q, ns[w0.i + 1] AS n, ps[w0.i + 1] AS p, us[w0.i + 1] AS u,
-             list_transform({_k}, lambda f: CASE WHEN w0.c[f] + ns[w0.i + 1] <= mc AND w0.q[f] + ps[w0.i + 1] <= mp
-               THEN (1 - w0.c[f] / mc) * (1 - w0.q[f] / mp) ELSE 0.0 END) AS w
-      FROM walk w0 JOIN queue USING (rep) WHERE w0.i < m))),
-grouped AS (
-  SELECT k.case_id, k.label, o.locus_id, o.rep, w.fold
-  FROM walk w JOIN ordered o ON o.rep = w.rep AND o.i = w.i JOIN kept k ON k.locus_id = o.locus_id)"""
-
-
-@query("fold_caps", f"WITH {KEPT} {_caps}")
+from lociq.queries.sql import CAPS, FOLD_NOS, GROUPED, KEPT, N_FOLD, N_REP, REPS, shuffled
+
+@query("fold_caps", f"WITH {KEPT} {CAPS}")
 def _(spark, folder):
     return FO.fold_caps(kept(spark, folder), N_FOLD)
 
@@ -75,7 +38,7 @@ def _(spark, folder):
     return FO.assign_folds(kept(spark, folder), "STRATIFIED", N_REP, N_FOLD)
 
 
-@query("grouped_folds", f"{GROUPED} SELECT case_id, rep, fold FROM grouped")
+@query("grouped_folds", f"WITH RECURSIVE {GROUPED} SELECT case_id, rep, fold FROM grouped")
 def _(spark, folder):
     return FO.assign_folds(kept(spark, folder), "LOCUS", N_REP, N_FOLD)
 
@@ -96,7 +59,7 @@ def _(spark, folder):
 
 @query(
     "fold_profile",
-    f"{GROUPED} SELECT rep, fold, count(*) AS cases, CAST(sum(label) AS BIGINT) AS positives FROM grouped GROUP BY rep, fold",
+    f"WITH RECURSIVE {GROUPED} SELECT rep, fold, count(*) AS cases, CAST(sum(label) AS BIGINT) AS positives FROM grouped GROUP BY rep, fold",
 )
 def _(spark, folder):
     cases = kept(spark, folder)
@@ -105,7 +68,7 @@ def _(spark, folder):
 
 @query(
     "fold_checks",
-    f"""{GROUPED}, per AS (SELECT rep, locus_id, count(*) AS n, min(fold) AS lo, max(fold) AS hi FROM grouped GROUP BY rep, locus_id)
+    f"""WITH RECURSIVE {GROUPED}, per AS (SELECT rep, locus_id, count(*) AS n, min(fold) AS lo, max(fold) AS hi FROM grouped GROUP BY rep, locus_id)
     SELECT rep, CAST(sum(n) AS BIGINT) AS cases, CAST(0 AS BIGINT) AS unassigned, min(lo) AS min_fold, max(hi) AS max_fold,
     count(*) FILTER (lo <> hi) AS split_loci FROM per GROUP BY rep""",
 )
@@ -114,7 +77,7 @@ def _(spark, folder):
     return FO.fold_checks(cases, FO.grouped_folds(cases, N_REP, N_FOLD), N_REP)
 
 
-@query("fold_caps_respected", f"""{GROUPED}, prof AS (SELECT rep, fold, count(*) AS n, sum(label) AS p FROM grouped GROUP BY rep, fold)
+@query("fold_caps_respected", f"""WITH RECURSIVE {GROUPED}, prof AS (SELECT rep, fold, count(*) AS n, sum(label) AS p FROM grouped GROUP BY rep, fold)
     SELECT rep, CAST(max(n) AS BIGINT) AS largest_cases, CAST(max(p) AS BIGINT) AS largest_positives,
     max(n) <= any_value(max_cases) AND max(p) <= any_value(max_positives) AS ok FROM prof, caps GROUP BY rep""")
 def _(spark, folder):

@@ -11,7 +11,7 @@ from lociq.operators import scoring as S
 from lociq.plans.validation import validate_scores
 from lociq.queries import query, rounded
 from lociq.queries.loci import kept
-from lociq.queries.sql import AUROC, CASES, KEPT, MEMBERS, METRICS, N_FOLD, N_REP, RESULT_METRICS, RESULTS, SCORES, STEP, TASK, dg, points, r6, ranks
+from lociq.queries.sql import AREA_METRICS, AUROC, CASES, KEPT, METRICS, N_FOLD, N_REP, PLAIN_AREAS, PLAIN_MEMBERS, RESULT_METRICS, RESULTS, SCORES, STEP, TASK, dg, points, r6, ranks
 from lociq.sources.fixtures import cases, given_scores, price_scores, table
 
 PRICES = """items AS (
@@ -27,9 +27,9 @@ def scored(spark, folder):
 
 
 def fold_rows(spark, folder):
-    """Kept cases with scores and plain folds."""
+    """Kept cases with scores and whole-locus folds."""
     rows = kept(spark, folder)
-    return S.given_score_rows(rows, given_scores(cases(spark, folder)), FO.shuffled_folds(rows, N_REP, N_FOLD))
+    return S.given_score_rows(rows, given_scores(cases(spark, folder)), FO.grouped_folds(rows, N_REP, N_FOLD))
 
 
 def results(spark, folder):
@@ -108,7 +108,7 @@ def _(spark, folder):
 
 @query(
     "locus_gaps",
-    f"""WITH {MEMBERS}, one AS (SELECT rep, test_fold, locus_id, count(*) AS evaluated FROM members
+    f"""WITH {PLAIN_MEMBERS}, one AS (SELECT rep, test_fold, locus_id, count(*) AS evaluated FROM members
     WHERE config_id = 1 AND role = 'test' GROUP BY ALL), whole AS (SELECT locus_id, count(*) AS members FROM kept GROUP BY locus_id)
     SELECT rep, test_fold, locus_id, evaluated, members FROM one JOIN whole USING (locus_id) WHERE evaluated < members""",
 )
@@ -150,18 +150,25 @@ _task = ", ".join(TASK)
 
 @query(
     "role_metrics",
-    f"""WITH {RESULTS} SELECT {_task}, {", ".join(r6(m, m) for m in METRICS)} FROM by_role""",
+    f"""WITH RECURSIVE {RESULTS} SELECT {_task}, {", ".join(r6(m, m) for m in METRICS)} FROM by_role""",
 )
 def _(spark, folder):
     members = S.members_by_role(fold_rows(spark, folder), N_FOLD)
     return rounded(S.role_metrics(members)).drop("positives", "negatives")
 
 
-@query("given_scores", f"WITH {RESULTS} SELECT config_id, rep, fold, {', '.join(r6(m, m) for m in RESULT_METRICS)} FROM results")
+@query("given_scores", f"WITH RECURSIVE {RESULTS} SELECT config_id, rep, fold, {', '.join(r6(m, m) for m in RESULT_METRICS)} FROM results")
 def _(spark, folder):
     return rounded(results(spark, folder))
 
 
+@query("given_scores_plain", f"WITH {PLAIN_AREAS} SELECT config_id, rep, fold, {', '.join(r6(m, m) for m in AREA_METRICS)} FROM results")
+def _(spark, folder):
+    """Folds case by case tear loci apart, so there are no ranks."""
+    out = validate_scores(kept(spark, folder), given_scores(cases(spark, folder)), N_REP, N_FOLD, "SNP")
+    return rounded(out.select("config_id", "rep", "fold", *AREA_METRICS))
+
+
 @query("given_scores_single_fold", f"""WITH {KEPT_SCORES}, {points('scored', ['config_id'])}, {ranks('scored', ['config_id'], 'rk')},
     areas AS (SELECT config_id, {AUROC} AS auroc FROM points GROUP BY config_id)
     SELECT config_id, 1 AS rep, 1 AS fold, {r6('auroc', 'train_auroc')}, CAST(NULL AS DOUBLE) AS test_auroc,

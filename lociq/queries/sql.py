@@ -60,13 +60,57 @@ scores AS (
   UNION ALL SELECT 2, 'negated', case_id, -score FROM cases
   UNION ALL SELECT 3, 'hashed', case_id, {draw("CAST(case_id AS VARCHAR)")} FROM cases)"""
 
-MEMBERS = f"""{shuffled()}{FOLD_NOS}{SCORES},
+CAPS = f"""SELECT count(*) AS cases, CAST(sum(label) AS BIGINT) AS positives,
+  CAST(ceil(1.5 * count(*) / {N_FOLD}) AS BIGINT) AS max_cases,
+  CAST(ceil(1.5 * ceil(1.5 * count(*) / {N_FOLD}) * sum(label) / count(*)) AS BIGINT) AS max_positives FROM kept"""
+
+_ZERO = "[" + ", ".join(["0"] * N_FOLD) + "]::BIGINT[]"
+_K = f"range(1, {N_FOLD + 1})"
+# Stands after WITH RECURSIVE: loci of every replication in their order, then one fold drawn at a time with two counters per fold as state.
+GROUPED = f"""{KEPT}{REPS},
+loci AS (SELECT locus_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS p FROM kept GROUP BY locus_id),
+caps AS ({CAPS}),
+ordered AS (
+  SELECT rep, locus_id, n, p, row_number() OVER (
+    PARTITION BY rep ORDER BY n DESC, p DESC, {draw(f"'{SEED}|' || rep || '|' || locus_id")}, locus_id) AS i
+  FROM loci, reps),
+queue AS (
+  SELECT rep, list(n ORDER BY i) AS ns, list(p ORDER BY i) AS ps,
+         list({draw(f"'{SEED}|' || rep || '|draw|' || i")} ORDER BY i) AS us, count(*) AS m,
+         any_value(max_cases) AS mc, any_value(max_positives) AS mp
+  FROM ordered, caps GROUP BY rep),
+walk AS (
+  SELECT rep, CAST(0 AS BIGINT) AS i, 0 AS fold, {_ZERO} AS c, {_ZERO} AS q FROM reps
+  UNION ALL
+  SELECT rep, i, CAST(fold AS INTEGER),
+         list_transform({_K}, lambda f: c[f] + CASE WHEN f = fold THEN n ELSE 0 END),
+         list_transform({_K}, lambda f: q[f] + CASE WHEN f = fold THEN p ELSE 0 END)
+  FROM (
+    SELECT *, 1 + len(list_filter({_K}, lambda f: list_sum(w[1:f]) <= u * list_sum(w))) AS fold
+    FROM (
+      SELECT w0.rep, w0.i + 1 AS i, w0.c, w0.q, ns[w0.i + 1] AS n, ps[w0.i + 1] AS p, us[w0.i + 1] AS u,
+             list_transform({_K}, lambda f: CASE WHEN w0.c[f] + ns[w0.i + 1] <= mc AND w0.q[f] + ps[w0.i + 1] <= mp
+               THEN (1 - w0.c[f] / mc) * (1 - w0.q[f] / mp) ELSE 0.0 END) AS w
+      FROM walk w0 JOIN queue USING (rep) WHERE w0.i < m))),
+grouped AS (
+  SELECT k.case_id, k.label, o.locus_id, o.rep, w.fold
+  FROM walk w JOIN ordered o ON o.rep = w.rep AND o.i = w.i JOIN kept k ON k.locus_id = o.locus_id)"""
+
+
+def _members(folds: str) -> str:
+    """CTE ``members``: the kept cases in every (config, rep, test fold) with their role."""
+    return f"""{folds}{FOLD_NOS}{SCORES},
 members AS (
   SELECT s.config_id, f.rep, t.test_fold, CASE WHEN f.fold = t.test_fold THEN 'test' ELSE 'train' END AS role,
          k.case_id, k.locus_id, k.label, s.score
   FROM kept k JOIN folds f USING (case_id) JOIN scores s USING (case_id), fold_nos t)"""
 
 
+PLAIN_MEMBERS = _members(shuffled())
+# Stands after WITH RECURSIVE.
+MEMBERS = _members(f"{GROUPED}, folds AS (SELECT case_id, rep, fold FROM grouped)")
+
+
 def points(rel: str, keys: Sequence[str], name: str = "points") -> str:
     """CTE of thresholds: p, n at a score, tp, fp at or above it, totals pos, neg."""
     k = ", ".join(keys)
@@ -113,11 +157,19 @@ METRICS = ["auroc", "aupvr_step", "aupvr_dg", "avgrank_all", "avgrank_neg"]
 
 # CTEs up to ``results``: one row per (config, rep, fold) with train and test metrics.
 _picked = ", ".join(f"max(CASE WHEN role = '{r}' THEN {m} END) AS {r}_{m}" for r in ("train", "test") for m in METRICS)
+# ``MEMBERS`` has recursion, so these stand after WITH RECURSIVE.
 RESULTS = f"""{MEMBERS}, {points("members", TASK)}, {dg("points", TASK, "dg")}, {ranks("members", TASK, "rk")},
 areas AS (SELECT {", ".join(TASK)}, {AUROC} AS auroc, {STEP} AS aupvr_step FROM points GROUP BY {", ".join(TASK)}),
 by_role AS (SELECT * FROM areas LEFT JOIN dg USING ({", ".join(TASK)}) LEFT JOIN rk USING ({", ".join(TASK)})),
 results AS (SELECT config_id, rep, test_fold AS fold, {_picked} FROM by_role GROUP BY config_id, rep, test_fold)"""
 
+# The same for plain folds, areas only.
+AREA_METRICS = [f"{r}_{m}" for r in ("train", "test") for m in METRICS[:3]]
+_areas = ", ".join(f"max(CASE WHEN role = '{r}' THEN {m} END) AS {r}_{m}" for r in ("train", "test") for m in METRICS[:3])
+PLAIN_AREAS = f"""{PLAIN_MEMBERS}, {points("members", TASK)}, {dg("points", TASK, "dg")},
+areas AS (SELECT {", ".join(TASK)}, {AUROC} AS auroc, {STEP} AS aupvr_step FROM points GROUP BY {", ".join(TASK)}),
+results AS (SELECT config_id, rep, test_fold AS fold, {_areas} FROM areas LEFT JOIN dg USING ({", ".join(TASK)}) GROUP BY config_id, rep, test_fold)"""
+
 RESULT_METRICS = [f"{r}_{m}" for r in ("train", "test") for m in METRICS]
 LONG = f"""{RESULTS},
 long AS (SELECT * FROM results UNPIVOT INCLUDE NULLS (value FOR metric IN ({", ".join(RESULT_METRICS)})))"""

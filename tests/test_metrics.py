@@ -158,3 +158,10 @@ def test_selection_is_a_substring_test(spark):
 def test_nan_scores_are_replaced_and_counted(spark):
     df = spark.createDataFrame([(float("nan"),), (0.2,)], "score double")
     assert [(r["score"], r["was_nan"]) for r in S.repair_nan_scores(df).collect()] == [(0.5, 1), (0.2, 0)]
+
+
+def test_torn_loci_have_no_ranks(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "b", 1)], "task int, locus_id string, fold int")
+    with pytest.raises(ValueError, match="whole loci"):
+        M.require_whole_loci(rows, ["task"])
+    M.require_whole_loci(rows.where("fold = 1"), ["task"])
