@@ -20,6 +20,10 @@ def _split(members: DataFrame, features: str) -> tuple[DataFrame, DataFrame]:
     return members.where("role = 'train'"), members
 
 
+# Fixed value: the largest depth of a tree in Spark ML.
+DEEPEST = 30
+
+
 def _weighted(train: DataFrame, weight: float) -> DataFrame:
     return train.withColumn("_weight", F.when(F.col("label") == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
 
@@ -53,12 +57,12 @@ def forest_scores(
 
     The score is the mean class-1 probability of the trees, or with ``votes``
     the fraction of trees that vote 1. ``weight_positive_class`` weighs
-    positives in the impurity.
+    positives in the impurity. Without ``max_depth`` trees grow as deep as Spark ML lets them.
     """
     train, everyone = _split(members, features)
     learner = RandomForestClassifier(
         featuresCol=features, labelCol="label", weightCol="_weight", seed=seed,
-        numTrees=int(hp.get("num_trees", 100)), maxDepth=int(hp.get("max_depth", 10)),
+        numTrees=int(hp.get("num_trees", 100)), maxDepth=int(hp.get("max_depth", DEEPEST)),
         featureSubsetStrategy=str(int(hp["mtry"])) if "mtry" in hp else "sqrt",
         subsamplingRate=float(hp.get("sample_fraction", 1.0)), bootstrap=bool(hp.get("replace", True)),
     )

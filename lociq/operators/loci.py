@@ -68,7 +68,7 @@ def assign_loci(
 
     A new locus begins where the gap to the previous case of the chromosome is
     strictly larger than ``cutoff``. With ``chroms``, cases elsewhere get an
-    empty id. Cases are not sorted or shuffled by chromosome: distinct
+    empty id. A null chromosome or coordinate is an error. Cases are not sorted or shuffled by chromosome: distinct
     coordinates shrink to a table of blocks (written once, as in a fit), and
     the cases look up their block in it.
     """
@@ -78,10 +78,12 @@ def assign_loci(
     place = F.col(coord).cast("bigint")
     keyed = df.withColumn("_chrom", F.col(chrom)).withColumn("_block", place - F.pmod(place, F.lit(width)))
     number = F.col("_base") + F.size(F.filter("_breaks", lambda b: b <= place))
+    unplaced = F.raise_error(F.lit("a case without chromosome or coordinate has no locus")).cast("string")
     locus = F.concat_ws(sep, F.col(chrom).cast("string"), number.cast("string"))
+    missing = F.col(chrom).isNull() | place.isNull()
     return (
         join_small(keyed, blocks, ["_chrom", "_block"], "left", values_per_row=4 + gaps_per_block)
-        .withColumn(out, F.when(F.col("_base").isNotNull(), locus).otherwise(F.lit("")))
+        .withColumn(out, F.when(missing, unplaced).when(F.col("_base").isNotNull(), locus).otherwise(F.lit("")))
         .drop("_chrom", "_block", "_base", "_breaks")
     )
 

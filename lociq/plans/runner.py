@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lociq.operators import boost, forest
 from lociq.operators.joins import join_small
+from lociq.operators.metrics import require_whole_loci
 from lociq.operators.reduce import pls_scores
 from lociq.operators.scoring import members_by_role, role_metrics, roles_to_columns
 from lociq.operators.tasks import resolve, task_table, write_back
@@ -99,8 +100,11 @@ def run_configurations(
     ``configs`` has config_id, set_type, set_name, method, matrix, hp and
     optionally reducer_matrix and reducer_components. Results carry the
     configuration's identifiers, train and test metrics, and the run time of
-    the family the task was trained in (NULL for given scores).
+    the family the task was trained in (NULL for given scores). With ``grouped``,
+    folds that tear a locus are an error, as ranks inside it would miss members.
     """
+    if grouped:
+        require_whole_loci(cases.select("case_id", "locus_id").join(folds, "case_id"), ["rep"])
     tasks = cut_lineage(task_table(configs, n_rep, n_fold))
     shape = ["method", "matrix"] + [c for c in ("reducer_matrix", "reducer_components") if c in configs.columns]
     scored, times, importances = [], [], {}

@@ -181,20 +181,20 @@ def one_task(spark, folder):
 @query("gbt_scores")
 def _(spark, folder):
     scored, _ = S.boosted_scores(one_task(spark, folder), {"eta": 0.1, "nrounds": 5, "max_depth": 3, "scale_pos_weight": 2})
-    return scored.select("case_id", "role", "label", "score", "run_time")
+    return scored.select("case_id", "role", "label", "score")
 
 
 @query("forest_probability")
 def _(spark, folder):
     scored, _ = S.forest_scores(one_task(spark, folder), {"num_trees": 20, "mtry": 14, "max_depth": 5})
-    return scored.select("case_id", "role", "label", "score", "run_time")
+    return scored.select("case_id", "role", "label", "score")
 
 
 @query("forest_votes")
 def _(spark, folder):
     hp = {"num_trees": 20, "mtry": 14, "max_depth": 5, "weight_positive_class": 8}
     scored, _ = S.forest_scores(one_task(spark, folder), hp, votes=True)
-    return scored.select("case_id", "role", "label", "score", "run_time")
+    return scored.select("case_id", "role", "label", "score")
 
 
 @query("forest_importance")
@@ -213,8 +213,7 @@ def event_features(spark, folder):
     """Numbers of every event: value, hour of day, weekday, and the number in its properties (missing for some)."""
     hour, day = F.hour("ts").cast("double"), F.weekday("ts").cast("double")
     number = F.get_json_object("props", "$.k").cast("double")
-    kept_number = F.when(number < 80, number)
-    return table(spark, folder, "events").select(F.col("event_id").alias("case_id"), F.array(F.col("value"), hour, day, kept_number).alias("features"))
+    return table(spark, folder, "events").select(F.col("event_id").alias("case_id"), F.array(F.col("value"), hour, day, number).alias("features"))
 
 
 CONFIGS = [
@@ -241,4 +240,4 @@ def _(spark, folder):
     rows = cut_lineage(rows)
     folds = grouped_folds(rows, 1, 2)
     results, _ = RUN.run_configurations(configs, rows, folds, scorers, {"events": features, "counts": complete}, 1, 2)
-    return results.drop("hp")
+    return results.drop("hp", "run_time")

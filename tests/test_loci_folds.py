@@ -96,3 +96,11 @@ def test_loci_without_positive(spark):
     with pytest.raises(ValueError, match="locus b"):
         L.keep_positive_loci(df, on_missing="error")
     assert L.singleton_check(df).first()["ok"] is False
+
+
+def test_a_case_without_coordinate_is_an_error(spark):
+    df = spark.createDataFrame([(1, "1", 5), (2, "1", None), (3, None, 7)], "case_id int, chrom string, coord long")
+    for case in (2, 3):
+        with pytest.raises(Exception, match="without chromosome or coordinate"):
+            L.assign_loci(df.where(f"case_id IN (1, {case})")).collect()
+    assert [r["locus_id"] for r in L.assign_loci(df.where("case_id = 1")).collect()] == ["1_1"]
