@@ -9,14 +9,15 @@ the posting lists and neither writes out the pairs inside a group:
    Those confirmed form groups, whatever their size, from one pair a member and list.
 2. Rest: lists whose members already are one group are skipped. In the others,
    members of different groups are matched when their sizes allow it and enough
-   signature values collide, each pair in the first list it shares. Lists are
+   signature values collide, each pair in the first list it shares by its posting
+   keys, which only members with a candidate carry. Lists are
    cut into tiles of bounded size, whose pairs are counted, confirmed and united
    inside a task, so a tile gives fewer links than it has members.
 
 Both keep pairs with enough equal values (``matches_for``), and all links are
 confirmed on the full sets. A pair at the threshold itself is missed with a probability
-of at most 4e-6 (at 0.8 and above: no shared coordinate, too few matches, or a first
-list told wrongly by 24 bits), any nearer pair with less.
+of at most 2e-6 (at 0.8 and above: no shared coordinate or too few matches), any nearer
+pair with less.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,14 +166,20 @@ def rest_links(members: DataFrame, texts: DataFrame, size: int, percent: int) ->
     tiled = members.join(lists, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.withColumn("tile", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).select("tile", "at", "id", "n_shingles", *_LANES, "label", (F.col("block") - F.col("other")).alias("side"))
-    # Which members have a partner to be confirmed, and then their sets.
-    open_rows = cut_lineage(tiled.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(partial(_in_tiles, percent=percent, kept=None), _TILED))
+    # Which members have a candidate, then which of them in the first list that both are in, by their keys, and then their sets.
+    near = cut_lineage(tiled.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(partial(_in_tiles, percent=percent, kept=None), _TILED))
+    posted = members.join(near.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "key")))["key"].alias("keys"))
+    open_rows = near.join(posted, "id").select(*near.columns, "keys").repartition("tile").sortWithinPartitions("tile", "id")
+    open_rows = cut_lineage(open_rows.mapInArrow(partial(_in_tiles, percent=percent, kept=None), f"{_TILED}, keys array<long>"))
     sets = shingles(texts.join(open_rows.select("id").distinct(), "id", "left_semi"), size)
     return open_rows.join(sets, "id").repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(partial(_in_tiles, percent=percent, kept="shingles"), "a long, b long")
 
 
 def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile: those with a candidate partner (``kept`` None), or the links that unite groups, confirmed on the column ``kept``."""
+    """Rows sorted by tile: those with a candidate partner (``kept`` None), or the links that unite groups, confirmed on the column ``kept``.
+
+    Rows with ``keys`` are matched in the first list that both are in, others in every list.
+    """
     rest: pa.Table | None = None
     for batch in chain(batches, [None]):
         table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
@@ -188,18 +196,18 @@ def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None)
         lanes = np.stack([table.column(c).to_numpy() for c in _LANES], 1)
         values = np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, VALUES)
         n, label, side, at, ids = (table.column(c).to_numpy() for c in ("n_shingles", "label", "side", "at", "id"))
+        keys = pc.list_flatten(table.column("keys")).to_numpy().reshape(-1, POSTED) if "keys" in table.column_names else None
         # Pairs are used as they are found, so only the members of the batch and one block of pairs are in memory.
         wanted = np.zeros(whole, bool)
         sets, group, links = None if kept is None else table.column(kept), {}, []
         for x, y in _pairs(first):
             fits = (label[x] != label[y]) & ((side[x] == 0) | (np.sign(side[x]) != np.sign(side[y]))) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
             x, y = x[fits], y[fits]
-            equal = values[x] == values[y]
-            near = equal.sum(1) >= matches_for(percent)
-            x, y, equal = x[near], y[near], equal[near]
-            lists = equal[:, : POSTED * WIDTH].reshape(-1, POSTED, WIDTH).all(axis=2)
-            mine = lists.argmax(axis=1) == at[x]
-            x, y = x[mine], y[mine]
+            near = (values[x] == values[y]).sum(1) >= matches_for(percent)
+            x, y = x[near], y[near]
+            if keys is not None:
+                mine = (keys[x] == keys[y]).argmax(axis=1) == at[x]
+                x, y = x[mine], y[mine]
             if sets is None:
                 wanted[x] = wanted[y] = True
                 continue
