@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One row of each group of near-duplicates: of the smallest id. Null and repeated ids are rows like others."""
     return minhash.deduplicated(docs, size=SHINGLE, percent=SIMILAR)
 
 
@@ -33,10 +33,11 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than 5 % is in a window of a benchmark item."""
-    found = wu_manber.occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = wu_manber.contamination(found).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Rows of which less than 5 % is in a window of a benchmark item, each judged by its own text whatever its id."""
+    numbered = minhash.numbered(docs)
+    found = wu_manber.occurrences(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("_row",))
+    gone = wu_manber.contamination(found, carry=("_row",)).where("contaminated").select("_row")
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

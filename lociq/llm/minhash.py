@@ -284,8 +284,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number ``_row``, from a table that doesn't change between its readers."""
+    return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; of repeated rows with one id, all stay."""
-    found = near_duplicates(docs, id_column, text_column, size, percent)
-    gone = found.where(F.col("component_id") != F.col(id_column)).select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
+    """One row of each group of near-duplicates: the first by id (nulls last), then by row. Rows are told apart by number, so ids may be null or repeated.
+
+    Rows without words (empty, null) are copies of nothing and all stay.
+    """
+    rows = numbered(docs)
+    found = near_duplicates(rows, "_row", text_column, size, percent)
+    named = found.select("_row", "component_id").join(rows.select("_row", F.col(id_column).alias("id")), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)

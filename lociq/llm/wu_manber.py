@@ -126,16 +126,17 @@ def parts_of(benchmark: DataFrame, limit: int = PART_BYTES) -> Iterator[list[tup
     yield part
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WINDOW, limit: int = PART_BYTES) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WINDOW, limit: int = PART_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_words, spans, items) per row: hit word runs (first, words) sorted and merged, and the sorted item ids that occur.
 
     Words are lower-cased (A-Z) letters, digits and non-ASCII characters. Rows
-    with a null or empty text have no words; the id may be null or repeated. Items with a null item_id or text count for nothing.
+    with a null or empty text have no words; the id may be null or repeated. Long columns in ``carry`` come along. Items with a null item_id or text count for nothing.
     """
     spans = "array<struct<first: long, words: long>>"
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"row long, id {kind}, n_words long, spans {spans}, items array<long>"
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    kept = [f"carried{k}" for k in range(len(carry))]
+    schema = f"row long, id {kind}, n_words long, spans {spans}, items array<long>" + "".join(f", {c} long" for c in kept)
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), *(F.col(c).alias(k) for c, k in zip(carry, kept, strict=True)))
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     several = items.agg(F.sum(F.octet_length("text")) > limit).first()[0]
     # A row's number joins the parts; it is made from a table that doesn't change between them.
@@ -155,16 +156,16 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id"
                         seen[row].update(numbers)
                     some = range(part.num_rows)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("row"), part.column("id"), pa.array(n), pa.array([[{"first": a, "words": b - a} for a, b in merged(runs[r])] if r in runs else [] for r in some], pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))), pa.array([sorted(seen[r]) if r in seen else [] for r in some], pa.list_(pa.int64()))],
-                        names=["row", "id", "n_words", "spans", "items"],
+                        [part.column("row"), part.column("id"), pa.array(n), pa.array([[{"first": a, "words": b - a} for a, b in merged(runs[r])] if r in runs else [] for r in some], pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))), pa.array([sorted(seen[r]) if r in seen else [] for r in some], pa.list_(pa.int64())), *(part.column(c) for c in kept)],
+                        names=["row", "id", "n_words", "spans", "items", *kept],
                     )
 
         now = texts.mapInArrow(run, schema)
         found = now if found is None else found.unionByName(now)
     if several:
-        found = found.groupBy("row", "id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = found.groupBy("row", "id", "n_words", *kept).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         found = found.withColumn("spans", _merge("spans"))
-    return found.select(F.col("id").alias(id_column), "n_words", "spans", "items")
+    return found.select(F.col("id").alias(id_column), "n_words", "spans", "items", *(F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)))
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -186,10 +187,10 @@ def _merge(column: str):
     return F.expr(f"aggregate(array_sort({column}), cast(array() AS array<struct<first: bigint, words: bigint>>), {step})")
 
 
-def contamination(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of ``occurrences``: 5 % of the words or more are hit."""
+def contamination(found: DataFrame, id_column: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *carry, n_words, n_hit, n_items, items_sha256, contaminated) of ``occurrences``: 5 % of the words or more are hit."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
     digest = F.sha2(F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ","), 256)
-    return found.select(id_column, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256")).withColumn(
+    return found.select(id_column, *carry, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256")).withColumn(
         "contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words")
     )

@@ -317,3 +317,27 @@ def test_pipeline_stages(spark):
     assert kept == {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").distinct().collect()}
     assert len(kept) > 0.6 * len(before)
     assert not radix.repeated_spans(docs).where(F.size("spans") > 0).where("n_bytes > 100000").count()
+
+
+def test_stages_go_by_row(spark, tmp_path):
+    """Both removing stages against brute force, with null and repeated ids."""
+    base, other = prose(21, 200).split(), prose(22, 60)
+    near, item = " ".join([*base[:50], "odd", *base[51:]]), prose(23, 40)
+    rows = [(None, " ".join(base)), (7, near), (7, near), (7, other), (None, near), (3, " ".join(base)), (3, item), (None, item), (8, None), (None, None), (None, other), (9, "few words"), (9, "few words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = []
+    for _, t in rows:
+        w = spaced(t)
+        sets.append(frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[k : k + 5]) for k in range(len(w) - 4))))
+    group = list(range(len(rows)))
+    for _ in rows:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if x and 100 * len(x & y) >= 80 * len(x | y):
+                    group[a] = group[b] = min(group[a], group[b])
+    key = lambda k: (rows[k][0] is None, rows[k][0] or 0, k)
+    want = [rows[min((k for k in range(len(rows)) if group[k] == g), key=key)] for g in set(group)]
+    plain = lambda found: sorted(map(repr, map(tuple, found)))
+    assert plain(corpus_pipeline.near_duplicates(spark, docs, "").collect()) == plain(want)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert plain(corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == plain(r for r in rows if r[1] != item)
