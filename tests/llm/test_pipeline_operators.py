@@ -341,3 +341,17 @@ def test_stages_go_by_row(spark, tmp_path):
     assert plain(corpus_pipeline.near_duplicates(spark, docs, "").collect()) == plain(want)
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert plain(corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == plain(r for r in rows if r[1] != item)
+
+
+def test_main_texts_at_any_partitions(spark):
+    """Two lines of the site and four of the page, on hosts of a few pages: the same texts at 1, 8 and more partitions than rows."""
+    rows = [(k, f"http://h{k // 6}/p/{k:03}", "<p>site</p>" + "".join(f"<p>own {k} {j}</p>" for j in range(4)) + "<p>foot</p>") for k in range(18)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    try:
+        for n in ("1", "8", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            assert {r.page_id: r.text for r in html_diff.main_texts(pages).collect()} == {k: " ".join(f"own {k} {j}" for j in range(4)) for k in range(18)}, n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
