@@ -355,3 +355,23 @@ def test_main_texts_at_any_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_main_texts_do_not_depend_on_partitions(spark):
+    """80 % boilerplate, copies and near copies without article elements, at 1, 8 and more partitions than rows."""
+    page = lambda body: "".join(f"<p>site {k}</p>" for k in range(8)) + "".join(f"<p>{x}</p>" for x in body)
+    bodies = [[f"own {k}", f"text {k}"] for k in range(12)]
+    long = [f"line {k}" for k in range(30)]
+    bodies += [long, long, [*long[:29], "edited"], long, ["after", "them"]]
+    rows = [(k, f"http://h/p/{k:03}", page(b)) for k, b in enumerate(bodies)]
+    rows += [(100 + k, f"http://g/{k}", "".join(f"<p>menu {j}</p>" for j in range(40)) + f"<p>only {k}</p>") for k in range(3)]
+    want = {k: " ".join(b) for k, b in enumerate(bodies)} | {100 + k: f"only {k}" for k in range(3)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    try:
+        for n in ("1", "8", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            assert {r.page_id: r.text for r in html_diff.main_texts(pages).collect()} == want, n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
