@@ -375,3 +375,22 @@ def test_main_texts_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><div class='article-header'><h1>Title</h1></div><p>x</p></article>", ["Title", "x"]),
+        ("<article><h2 class='section-header'>Part</h2><h3 class='comments'>Word</h3><p id='related-work'>Work</p></article>", ["Part", "Word", "Work"]),
+        ("<article><div class='ad'>buy</div><div class='big comments'>c</div><div class='share-bar'>s</div><form class=x>f</form><p>x</p></article>", ["x"]),
+        ("<body><form id='page'><div>menu</div><article><p>x</p></article></form></body>", ["x"]),
+        ("<body><form id='page'><nav>menu</nav><p>x</p><p>y</p></form></body>", ["x", "y"]),
+        ("<p>x</p><form><p>y</p></form>", ["x"]),
+        ("<form><aside><article>other</article></aside><article>x</article></form>", ["x"]),
+        ("<div class='article-header'>h</div><p>x</p>", ["x"]),
+    ],
+)
+def test_marked_names_inside_an_article(page, want):
+    lines = html_diff.lines_of(page)
+    article = any(x.inside for x in lines)
+    assert [x.text for x in lines if x.inside or (x.inside is None and not article)] == want
