@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import chain, decision_list, html_diff, lattice, minhash, packing, radix, token_cache, warc, wu_manber
+from lociq.llm import bag_search, chain, conversation_trie, decision_list, html_diff, lattice, minhash, owner_trie, packing, radix, token_cache, warc, wu_manber
 from lociq.session import use_checkpoint_folder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -82,7 +82,24 @@ def op10_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(made.drop("ids"), TOKEN_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_minhash_join, op3_subword_lattice, op4_digest_cache, op5_decision_list, op6_page_differencing, op7_classifier_chain, op8_wu_manber, op9_radix_suffixes, op10_sum_of_squares)}
+def op11_bag_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return bag_search.ranked_search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_vertical_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of the conversations with shared heads."""
+    turns = conversation_trie.turns_in_order(_table(spark, folder, "conversations"))
+    return conversation_trie.prefix_nodes(conversation_trie.with_shared_heads(turns)).drop("path")
+
+
+def op13_owner_tries(spark: SparkSession, folder: str) -> DataFrame:
+    """The row that stays of all with the same text, for every document."""
+    found = owner_trie.exact_copies(_table(spark, folder, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_minhash_join, op3_subword_lattice, op4_digest_cache, op5_decision_list, op6_page_differencing, op7_classifier_chain, op8_wu_manber, op9_radix_suffixes, op10_sum_of_squares, op11_bag_search, op12_vertical_bitmaps, op13_owner_tries)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -132,4 +149,34 @@ ORACLES = {
         kept AS (SELECT doc_id, string_agg(x, '' ORDER BY o) AS x FROM (SELECT * FROM gaps UNION ALL SELECT * FROM tails) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(x)) AS kept_sha256
         FROM d JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN total ON total.doc_id = d.doc_id""",
+    "op11_bag_search": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        q AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+        c AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+        f AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+        v AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(c.n) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY t),
+        s AS (SELECT item_id, doc_id, CAST(sum(q.q * v.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * f.n * c.n) // c.l))))) AS BIGINT) AS score
+            FROM f JOIN q USING (t) JOIN v USING (t), c GROUP BY ALL HAVING score > 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op12_vertical_bitmaps": """
+        WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+            sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, count(*) AS many, conv_id - conv_id % 100 AS base,
+            xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]), lambda x, b:
+                list_reduce(list_prepend(xor(x, b), range(8)), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 6 AS h FROM o GROUP BY conv_id),
+        e AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.many, 0)) AS taken FROM c LEFT JOIN c b ON b.conv_id = c.base),
+        t AS (SELECT e.conv_id, p, k, chars FROM e JOIN o ON o.conv_id = e.base AND p <= h UNION ALL SELECT e.conv_id, taken + p - h, k, chars FROM e JOIN o ON o.conv_id = e.conv_id AND p > h),
+        a AS (SELECT conv_id, p AS d, string_agg(k, '' ORDER BY p) OVER (PARTITION BY conv_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS path, chars FROM t UNION ALL SELECT conv_id, 0, '', 0 FROM e),
+        m AS (SELECT conv_id, d, sha256(path) AS path, sha256(substr(path, 1, 64 * (d - 1))) AS above, chars, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM a),
+        n AS (SELECT path, any_value(d) AS depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+            coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM m GROUP BY path),
+        kids AS (SELECT above AS path, count(*) AS n FROM n WHERE depth > 0 GROUP BY above),
+        below AS (SELECT DISTINCT x.path AS top, y.path AS path FROM m x JOIN m y ON x.conv_id = y.conv_id AND y.d >= x.d),
+        s AS (SELECT top, count(*) FILTER (kids.n IS NULL) AS leaves, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved FROM below JOIN n USING (path) LEFT JOIN kids USING (path) GROUP BY top)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM n JOIN s ON s.top = n.path LEFT JOIN kids ON kids.path = n.path LEFT JOIN n p ON p.path = n.above AND n.depth > 0""",
+    "op13_owner_tries": f"""
+        WITH d AS (SELECT doc_id, sha256({_LOWER}) AS s FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY s) AS kept, s AS text_sha256 FROM d""",
 }
