@@ -22,10 +22,15 @@ def uniform(*parts: Column | str | int) -> Column:
     return hash_bits(*parts) / F.lit(SPAN)
 
 
+def hash_bits_py(*parts: object) -> int:
+    """The same bits inside a Python task."""
+    text = "|".join(str(p) for p in parts)
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
 def uniform_py(*parts: object) -> float:
     """The same draw inside a Python task."""
-    text = "|".join(str(p) for p in parts)
-    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16) / SPAN
+    return hash_bits_py(*parts) / SPAN
 
 
 def _text(part: Column | str | int) -> Column:

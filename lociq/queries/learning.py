@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociq.functions.draws import hash_bits, uniform
-from lociq.functions.scalars import logit
 from lociq.operators import boost as B
 from lociq.operators import forest as S
 from lociq.operators import metrics as M
 from lociq.operators import objective as O
 from lociq.operators import reduce as R
+from lociq.operators.cuts import exact_quantiles
 from lociq.operators.folds import grouped_folds
 from lociq.plans import runner as RUN
 from lociq.queries import query, rounded
+from lociq.queries.boosting import bins_sql, boost_sql, cuts_sql, settings_sql
 from lociq.queries.loci import kept
-from lociq.queries.sql import KEPT, bits, draw, r6
+from lociq.queries.sql import AUROC, KEPT, STEP, bits, dg, draw, points, r6
 from lociq.session import cut_lineage
 from lociq.sources.fixtures import cases, embedding_features, given_scores, table
 
@@ -63,6 +64,17 @@ def _(spark, folder):
     return rounded(O.weighted_squared_objective(predictions(spark, folder)).select("task_id", "case_id", "grad", "hess"))
 
 
+# The features of an event in SQL.
+EVENT_VALUES = "[value, hour(ts)::DOUBLE, ((dayofweek(ts) + 6) % 7)::DOUBLE, CAST(json_extract_string(props, '$.k') AS DOUBLE)]"
+
+
+def event_features(spark, folder):
+    """Numbers of every event: value, hour of day, weekday, and the number in its properties (missing for some)."""
+    hour, day = F.hour("ts").cast("double"), F.weekday("ts").cast("double")
+    number = F.get_json_object("props", "$.k").cast("double")
+    return table(spark, folder, "events").select(F.col("event_id").alias("case_id"), F.array(F.col("value"), hour, day, number).alias("features"))
+
+
 # Twelve tasks on the embeddings: three folds by four parameter points; cut points are the same for every feature.
 CUTS = [-0.2, -0.1, 0.0, 0.1, 0.2]
 POINTS = [
@@ -73,69 +85,87 @@ POINTS = [
 ]
 
 
-def boost_tasks(spark, folder):
-    """(tasks with parameter map, members with bins) on the whole embeddings table."""
-    cases = B.binned(embedding_features(spark, folder), [CUTS] * 64)
-    maps = F.array(*[F.create_map(*[F.lit(x) for k, v in p.items() for x in (k, float(v))]) for p in POINTS])
+def boost_tasks(spark, folder, points=POINTS):
+    """(tasks with parameter map, cases with bins, members) on the whole embeddings table: three folds for each point."""
+    rows = B.binned(embedding_features(spark, folder), [CUTS] * 64)
+    maps = F.array(*[F.create_map(*[F.lit(x) for k, v in p.items() for x in (k, float(v))]) for p in points])
+    tasks = spark.range(1, 3 * len(points) + 1).select(F.col("id").cast("int").alias("task_id"))
     fold = F.pmod(hash_bits(1337, "case_id"), F.lit(3)) + 1
-    each = F.explode(F.sequence(F.lit(1), F.lit(12)))
-    rows = cases.withColumn("fold", fold).withColumn("task_id", each)
+    each = rows.select("case_id", fold.alias("fold"), F.explode(F.sequence(F.lit(1), F.lit(3 * len(points)))).alias("task_id"))
     role = F.when(F.pmod(F.col("task_id") - 1, F.lit(3)) + 1 == F.col("fold"), "test").otherwise("train")
-    members = rows.withColumn("role", role).select("task_id", "case_id", "role", "label", "bins")
     point = (F.floor((F.col("task_id") - 1) / 3) + 1).cast("int")
-    tasks = rows.select("task_id").distinct().withColumn("hp", F.element_at(maps, point))
-    return tasks, members
+    return tasks.withColumn("hp", F.element_at(maps, point)), rows, each.select("task_id", "case_id", role.alias("role"))
+
 
+def boosted(spark, folder, points=POINTS):
+    tasks, rows, members = boost_tasks(spark, folder, points)
+    return B.newton_boost(rows, members, B.task_settings(tasks), [CUTS] * 64)
 
-def boosted(spark, folder):
-    tasks, members = boost_tasks(spark, folder)
-    return B.newton_boost(members, B.task_settings(tasks), [CUTS] * 64)
 
+def boosted_sql(points, rounds, depth):
+    """CTEs of the tasks above: settings, rows and all trees."""
+    return f"""WITH settings AS MATERIALIZED ({settings_sql(points, 3)}),
+    e AS (SELECT vec_id AS case_id, CAST(label >= 5 AS INTEGER) AS label, embedding::DOUBLE[] AS x FROM embeddings),
+    rows AS MATERIALIZED (SELECT task_id, case_id, NULL AS locus_id, CASE WHEN (task_id - 1) % 3 = {bits("'1337|' || case_id")} % 3 THEN 'test' ELSE 'train' END AS role, label,
+      {bins_sql("x", f"list_transform(range(64), lambda i: {CUTS}::DOUBLE[])")} AS bins FROM e, settings),
+    {boost_sql("rows", "settings", 64, rounds, depth)}"""
 
-_task = "(SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS task_id)"
-_l2 = "CASE (task_id - 1) // 3 WHEN 1 THEN 0.1 WHEN 2 THEN 10.0 ELSE 1.0 END"
-_weight = "CASE WHEN label = 1 AND (task_id - 1) // 3 = 2 THEN 2.0 ELSE 1.0 END"
-_base = "CASE WHEN (task_id - 1) // 3 = 3 THEN 0.4 ELSE 0.5 END"
+
+BOOSTED = boosted_sql(POINTS, 2, 3)
+# Root splits alone, without sampling.
+ROOTS = [{k: v for k, v in p.items() if k not in ("subsample", "colsample_bytree")} | {"nrounds": 1, "max_depth": 1} for p in POINTS]
+IMPORTANCE_SQL = f"""task_id, feature, {r6("sum(gain) / sum(sum(gain)) OVER t", "gain")}, {r6("sum(cover) / sum(sum(cover)) OVER t", "cover")},
+    {r6("count(*) / sum(count(*)) OVER t", "frequency")}"""
 
 
 @query(
     "split_table",
-    f"""WITH e AS (SELECT vec_id AS case_id, CAST(label >= 5 AS INTEGER) AS label, embedding::DOUBLE[] AS x FROM embeddings),
-    t AS (SELECT e.*, task_id, {_weight} * ({_base} - label) AS grad, {_weight} * {_base} * (1 - {_base}) AS hess FROM e, {_task}
-      WHERE (task_id - 1) % 3 + 1 <> {bits("'1337|' || case_id")} % 3 + 1),
-    v AS (SELECT task_id, grad, hess, unnest(range(0, 64)) AS feature, unnest(x) AS val FROM t),
-    k AS (SELECT task_id, feature, len(list_filter({CUTS}::DOUBLE[], lambda c: c < val)) AS bin, sum(grad) AS g, sum(hess) AS h FROM v GROUP BY ALL),
-    s AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY task_id, feature) AS gt, sum(h) OVER (PARTITION BY task_id, feature) AS ht
-      FROM k WINDOW w AS (PARTITION BY task_id, feature ORDER BY bin ROWS UNBOUNDED PRECEDING)),
-    p AS (SELECT *, {_l2} AS l2, CASE WHEN (task_id - 1) // 3 = 2 THEN 0.5 ELSE 0.0 END AS al, CASE WHEN (task_id - 1) // 3 = 1 THEN 0.1 ELSE 0.0 END AS ga FROM s),
-    z AS (SELECT *, (pow(greatest(abs(gl) - al, 0), 2) / (hl + l2) + pow(greatest(abs(gt - gl) - al, 0), 2) / (ht - hl + l2) - pow(greatest(abs(gt) - al, 0), 2) / (ht + l2)) / 2 - ga AS gain
-      FROM p WHERE hl >= 1 AND ht - hl >= 1)
-    SELECT task_id, CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, {r6("gain", "gain")}, {r6("ht", "cover")} FROM z
-    WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY gain DESC, feature, bin) = 1""",
+    f"""{boosted_sql(ROOTS, 1, 1)} SELECT task_id, CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, {r6("gain", "gain")}, {r6("cover", "cover")} FROM b_splits""",
+)
+def _(spark, folder):
+    splits = boosted(spark, folder, ROOTS).splits
+    return rounded(splits.select("task_id", F.col("feature").cast("int").alias("feature"), F.col("bin").cast("int").alias("bin"), "gain", "cover"))
+
+
+@query(
+    "boost_splits",
+    f"""{BOOSTED} SELECT task_id, CAST(tree AS INTEGER) AS tree, node, feature, CAST(bin AS BIGINT) AS bin, {r6("gain", "gain")}, {r6("cover", "cover")} FROM b_splits""",
 )
 def _(spark, folder):
-    tasks, members = boost_tasks(spark, folder)
-    settings = B.task_settings(tasks)
-    weight = F.when(F.col("label") == 1, F.col("scale_pos_weight")).otherwise(1.0)
-    train = members.where("role = 'train'").join(settings.select("task_id", "base_score", "scale_pos_weight"), "task_id")
-    train = O.logistic_objective(train.withColumn("pred", logit("base_score")).withColumn("w", weight), weight="w")
-    splits = B.best_splits(B.histograms(train.withColumn("node", F.lit(1).cast("bigint"))), settings)
-    return rounded(splits.select("task_id", "feature", F.col("bin").cast("int").alias("bin"), "gain", "cover"))
+    return rounded(boosted(spark, folder).splits.drop("missing_left"))
+
+
+@query("newton_boost", f"{BOOSTED} SELECT task_id, case_id, role, label, {r6('margin', 'margin')}, {r6('score', 'score')} FROM b_scores")
+def _(spark, folder):
+    return rounded(boosted(spark, folder).scores.select("task_id", "case_id", "role", "label", "margin", "score"))
 
 
-@query("newton_boost")
+@query(
+    "newton_boost_metrics",
+    f"""{BOOSTED}, {points("b_scores", ["task_id", "role"])}, {dg("points", ["task_id", "role"], "dg")},
+    areas AS (SELECT task_id, role, {AUROC} AS auroc, {STEP} AS aupvr_step, CAST(max(pos) AS BIGINT) AS positives, CAST(max(neg) AS BIGINT) AS negatives FROM points GROUP BY task_id, role)
+    SELECT task_id, role, {r6("auroc", "auroc")}, {r6("aupvr_step", "aupvr_step")}, {r6("aupvr_dg", "aupvr_dg")}, positives, negatives FROM areas LEFT JOIN dg USING (task_id, role)""",
+)
 def _(spark, folder):
-    return boosted(spark, folder).scores.select("task_id", "case_id", "role", "label", "margin", "score")
+    return rounded(M.evaluate(boosted(spark, folder).scores, ["task_id", "role"], grouped=False))
 
 
-@query("newton_boost_metrics")
+@query("boost_importance", f"{BOOSTED} SELECT {IMPORTANCE_SQL} FROM b_splits GROUP BY task_id, feature WINDOW t AS (PARTITION BY task_id)")
 def _(spark, folder):
-    return M.evaluate(boosted(spark, folder).scores, ["task_id", "role"], grouped=False)
+    return rounded(B.split_importance(boosted(spark, folder).splits))
 
 
-@query("boost_importance")
+@query(
+    "quantile_cuts",
+    f"""WITH e AS (SELECT embedding::DOUBLE[] AS x FROM embeddings), {cuts_sql("e", 64, 16)},
+    events_x AS (SELECT {EVENT_VALUES} AS x FROM events), {cuts_sql("events_x", 4, 16, name="more")}
+    SELECT 'embeddings' AS source, CAST(f - 1 AS INTEGER) AS feature, CAST(i AS INTEGER) AS i, v AS cut FROM cuts_q
+    UNION ALL SELECT 'events', CAST(f - 1 AS INTEGER), CAST(i AS INTEGER), v FROM more_q""",
+)
 def _(spark, folder):
-    return B.split_importance(boosted(spark, folder).splits)
+    found = {"embeddings": exact_quantiles(embedding_features(spark, folder), 64, 16), "events": exact_quantiles(event_features(spark, folder), 4, 16)}
+    rows = [(s, f, i + 1, v) for s, features in found.items() for f, values in enumerate(features) for i, v in enumerate(values) if v is not None]
+    return spark.createDataFrame(rows, "source string, feature int, i int, cut double")
 
 
 def embedding_members(spark, folder):
@@ -209,13 +239,6 @@ def _(spark, folder):
     return M.evaluate(scored, ["task_id", "role"], grouped=False)
 
 
-def event_features(spark, folder):
-    """Numbers of every event: value, hour of day, weekday, and the number in its properties (missing for some)."""
-    hour, day = F.hour("ts").cast("double"), F.weekday("ts").cast("double")
-    number = F.get_json_object("props", "$.k").cast("double")
-    return table(spark, folder, "events").select(F.col("event_id").alias("case_id"), F.array(F.col("value"), hour, day, number).alias("features"))
-
-
 CONFIGS = [
     (1, "passthrough", "value", "value", None, None, None, None),
     (2, "XGB", "boosted", "XGB", "events", {"eta": 0.3, "nrounds": 1.0, "max_depth": 2.0, "base_score": 0.5}, None, None),

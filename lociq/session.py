@@ -48,3 +48,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     use_checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that a job wrote to the shared folder for itself and no longer reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

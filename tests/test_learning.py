@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociq.operators import boost as B
+from lociq.operators import cuts as C
 from lociq.operators import objective as O
 from lociq.operators.joins import salted_join
 
@@ -77,7 +78,8 @@ def grow(x, y, train, p, cuts):
     return margin
 
 
-def test_boosting_equals_plain_loops(spark):
+@pytest.mark.parametrize("block", [256, 1])
+def test_boosting_equals_plain_loops(spark, block):
     rng = np.random.default_rng(5)
     n, cuts = 120, [-0.5, 0.0, 0.5]
     x = rng.normal(size=(n, 3))
@@ -87,10 +89,10 @@ def test_boosting_equals_plain_loops(spark):
         {"eta": 0.3, "nrounds": 2, "lambda": 1.0, "gamma": 0.0, "max_depth": 2, "base_score": 0.4},
         {"eta": 0.1, "nrounds": 1, "lambda": 5.0, "gamma": 0.2, "max_depth": 1, "base_score": 0.5},
     ]
-    rows = [(t, i, "train" if (i + t) % 3 else "test", int(y[i]), [None if np.isnan(v) else float(v) for v in x[i]]) for t in (0, 1) for i in range(n)]
-    df = spark.createDataFrame(rows, "task_id int, case_id int, role string, label int, features array<double>")
+    df = spark.createDataFrame([(i, int(y[i]), [None if np.isnan(v) else float(v) for v in x[i]]) for i in range(n)], "case_id int, label int, features array<double>")
+    members = spark.createDataFrame([(t, i, "train" if (i + t) % 3 else "test") for t in (0, 1) for i in range(n)], "task_id int, case_id int, role string")
     tasks = spark.createDataFrame([(t, {k: float(v) for k, v in p.items()}) for t, p in enumerate(points)], "task_id int, hp map<string,double>")
-    out = B.newton_boost(B.binned(df, [cuts] * 3), B.task_settings(tasks), [cuts] * 3)
+    out = B.newton_boost(B.binned(df, [cuts] * 3), members, B.task_settings(tasks), [cuts] * 3, block_tasks=block)
     got = out.scores.toPandas().sort_values(["task_id", "case_id"])
     for t, p in enumerate(points):
         train = np.array([(i + t) % 3 != 0 for i in range(n)])
@@ -102,12 +104,58 @@ def test_boosting_equals_plain_loops(spark):
 def test_boosting_takes_the_rank_objective(spark):
     rng = np.random.default_rng(9)
     n = 90
-    rows = [(1, i, f"l{i // 5}", "train" if i // 5 % 3 else "test", int(i % 5 == 0), [float(v) for v in rng.normal(size=2) + (i % 5 == 0)]) for i in range(n)]
-    df = spark.createDataFrame(rows, "task_id int, case_id int, locus_id string, role string, label int, features array<double>")
-    tasks = spark.createDataFrame([(1, {"nrounds": 1.0, "max_depth": 1.0, "eta": 1.0, "min_child_weight": 0.1})], "task_id int, hp map<string,double>")
+    df = spark.createDataFrame([(i, f"l{i // 5}", int(i % 5 == 0), [float(v) for v in rng.normal(size=2) + (i % 5 == 0)]) for i in range(n)], "case_id int, locus_id string, label int, features array<double>")
+    members = spark.createDataFrame([(t, i, "train" if i // 5 % 3 else "test") for t in (1, 2, 3) for i in range(n)], "task_id int, case_id int, role string")
+    hp = {"nrounds": 1.0, "max_depth": 1.0, "eta": 1.0, "min_child_weight": 0.1}
+    tasks = spark.createDataFrame([(1, {**hp, "bandwidth": 0.5}), (2, hp), (3, {**hp, "bandwidth": 2.0})], "task_id int, hp map<string,double>")
     cuts = B.quantile_cuts(df, 2, 4)
-    out = B.newton_boost(B.binned(df, cuts), B.task_settings(tasks), cuts, objective=lambda train: O.rank_objective(train, ["task_id"], 0.5))
-    assert out.scores.count() == n and out.splits.count() == 1 and out.scores.select("margin").distinct().count() == 2
+    cases = B.binned(df, cuts)
+    out = B.newton_boost(cases, members, B.task_settings(tasks), cuts)
+    first = {r.task_id: r for r in out.splits.collect()}
+    assert out.scores.count() == 3 * n and len(first) == 3 and out.scores.where("task_id = 1").select("margin").distinct().count() == 2
+    # Only tasks with a bandwidth use pairs: the gradient sums of the root are those of each objective alone.
+    cover = {t: O.rank_objective(df.join(members.where(f"task_id = {t} AND role = 'train'"), "case_id").withColumn("pred", F.lit(0.0)), ["task_id"], b).agg(F.sum("hess")).first()[0] for t, b in ((1, 0.5), (3, 2.0))}
+    assert first[1].cover == pytest.approx(cover[1]) and first[3].cover == pytest.approx(cover[3]) and first[2].cover == pytest.approx(60 * 0.25)
+    given = B.newton_boost(cases, members, B.task_settings(tasks), cuts, objective=lambda train: O.rank_objective(train, ["task_id"], 0.5))
+    assert [r.cover for r in given.splits.collect()] == [pytest.approx(cover[1])] * 3
+
+
+def test_state_does_not_grow_with_tasks_times_features(spark, tmp_path):
+    def written(width, tasks):
+        df = spark.range(400).select(F.col("id").alias("case_id"), (F.col("id") % 2).cast("int").alias("label"), F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: F.xxhash64("id", k).cast("double")).alias("features"))
+        members = df.select("case_id", F.explode(F.sequence(F.lit(1), F.lit(tasks))).alias("task_id"), F.lit("train").alias("role"))
+        points = spark.range(1, tasks + 1).select(F.col("id").cast("int").alias("task_id"), F.create_map(F.lit("nrounds"), F.lit(1.0), F.lit("max_depth"), F.lit(1.0)).alias("hp"))
+        cuts, sizes = [[0.0]] * width, []
+        keep, boost_written = B.discard, B._written
+
+        def count(table, path):
+            out = boost_written(table, path)
+            sizes.append(sum(f.stat().st_size for f in __import__("pathlib").Path(path).glob("*.parquet")))
+            return out
+
+        B._written, B.discard = count, lambda *_: None
+        try:
+            B.newton_boost(B.binned(df, cuts), members, B.task_settings(points), cuts)
+        finally:
+            B._written, B.discard = boost_written, keep
+        return sum(sizes)
+
+    narrow, wide, many, both = written(2, 2), written(100, 2), written(2, 40), written(100, 40)
+    assert both < 1.2 * (wide + many - narrow)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_exact_quantiles(spark, parts):
+    rng = np.random.default_rng(1)
+    n = 3_000
+    x = np.stack([rng.normal(size=n), np.exp(rng.normal(size=n) * 40), 1e6 + rng.random(n) * 1e-6, rng.integers(0, 3, n), np.full(n, -0.0), np.where(rng.random(n) < 0.5, np.nan, -rng.random(n)), np.full(n, np.nan)], 1)
+    x[:10, 0], x[10:20, 0] = np.inf, -np.inf
+    rows = [([None if np.isnan(v) and i % 2 else float(v) for v in r],) for i, r in enumerate(x)] + [(None,)]
+    got = C.exact_quantiles(spark.createDataFrame(rows, "features array<double>").repartition(parts), 7, 8)
+    for f in range(7):
+        v = np.sort(x[~np.isnan(x[:, f]), f])
+        assert got[f] == [float(v[-(-i * len(v) // 8) - 1]) if len(v) else None for i in range(1, 8)]
+    assert C.exact_quantiles(spark.createDataFrame([], "features array<double>"), 2, 4) == [[None] * 3] * 2
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
