@@ -73,6 +73,22 @@ def table_alignment(left: DataFrame, right: DataFrame, key: str = "case_id", lab
     )
 
 
+def require_rows(cases: DataFrame, tables: Mapping[str, DataFrame], key: str = "case_id") -> None:
+    """An error when a case has no row, or several, in one of the tables: an inner join would lose or repeat it.
+
+    All tables are counted by key in one pass; rows of other keys are allowed.
+    """
+    stacked = cases.select(key).distinct().withColumn("_t", F.lit(-1))
+    for k, table in enumerate(tables.values()):
+        stacked = stacked.unionByName(table.select(key).withColumn("_t", F.lit(k)))
+    counts = [F.count_if(F.col("_t") == k).alias(f"n{k}") for k in range(len(tables))]
+    per_key = stacked.groupBy(key).agg(F.count_if(F.col("_t") == -1).alias("asked"), *counts).where("asked = 1")
+    worst = per_key.agg(*[F.count_if(F.col(f"n{k}") != 1).alias(f"n{k}") for k in range(len(tables))]).first()
+    wrong = [f"{name} for {worst[k]} cases" for k, name in enumerate(tables) if worst[k]]
+    if wrong:
+        raise ValueError(f"not one row of {', '.join(wrong)}")
+
+
 def table_sizes(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows per table and whether all tables have the same number."""
     counts = None

@@ -72,12 +72,19 @@ def tuning_grid(balance: DataFrame, values: dict[str, list] = TUNING_GRID) -> Da
     return hyperparameter_grid(balance, lists).select("hp_no", "hp")
 
 
-def objective_grid(balance: DataFrame) -> DataFrame:
-    """Tuning with the default objective, then the same points with a recycled bandwidth."""
-    points = tuning_grid(balance, OBJECTIVE_GRID)
+def objective_grid(balance: DataFrame, values: dict[str, list] = OBJECTIVE_GRID, bandwidths: list[dict] = BANDWIDTHS, how: str = "recycle") -> DataFrame:
+    """Tuning with the default objective, then the same points with the rank objective and a recycled (or crossed) bandwidth.
+
+    Numbered configurations (config_id, set_type, set_name, method, hp_no, hp); the bandwidth is a parameter like the others.
+    """
+    points = tuning_grid(balance, values)
     plain = points.withColumn("set_name", F.lit("main_XGB"))
-    ranked = pair_parameters(points, BANDWIDTHS).withColumn("set_name", F.lit("main_XGB_custom"))
-    return concat_configurations([plain, ranked])
+    paired = pair_parameters(points, bandwidths, how=how)
+    if how == "product":
+        paired = paired.withColumn("hp_no", (F.col("hp_no") - 1) * len(bandwidths) + F.array_position(F.array(*[F.lit(float(b["bandwidth"])) for b in bandwidths]), F.col("bandwidth")))
+    ranked = paired.select("hp_no", F.map_concat("hp", F.create_map(F.lit("bandwidth"), F.col("bandwidth"))).alias("hp"), F.lit("main_XGB_custom").alias("set_name"))
+    both = concat_configurations([plain, ranked]).withColumn("set_type", F.lit("XGB")).withColumn("method", F.lit("XGB"))
+    return order_configurations(both)
 
 
 def comparison(balance: DataFrame, families: list[dict] = COMPARISON) -> DataFrame:

@@ -9,11 +9,10 @@ from lociq.queries.sql import bits, draw
 
 
 def settings_sql(points: Sequence[dict], tasks_per_point: int) -> str:
-    """SELECT of one row of settings for each task; task ids run from 1, ``tasks_per_point`` for each point."""
+    """SELECT of one row of settings for each task; task ids run from 1, ``tasks_per_point`` for each point. A text is an expression."""
     names = [n for n in DEFAULTS if n != "lambda"]
-    rows = ", ".join(
-        f"({k}, {', '.join(str(float(p.get(n, DEFAULTS[n]))) for n in [*names, 'lambda'])}, {float(p['bandwidth']) if 'bandwidth' in p else 'NULL'})" for k, p in enumerate(points)
-    )
+    text = lambda v: v if isinstance(v, str) else str(float(v))
+    rows = ", ".join(f"({k}, {', '.join(text(p.get(n, DEFAULTS[n])) for n in [*names, 'lambda'])}, {p.get('bandwidth', 'NULL')})" for k, p in enumerate(points))
     columns = ", ".join(f"{c}::DOUBLE AS {c}" for c in [*names, "l2", "bandwidth"])
     return f"SELECT CAST(k * {tasks_per_point} + i AS INTEGER) AS task_id, {columns} FROM (VALUES {rows}) v(k, {', '.join(names)}, l2, bandwidth), (SELECT unnest(range(1, {tasks_per_point + 1})) AS i)"
 

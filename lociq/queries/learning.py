@@ -12,11 +12,15 @@ from lociq.operators import objective as O
 from lociq.operators import reduce as R
 from lociq.operators.cuts import exact_quantiles
 from lociq.operators.folds import grouped_folds
+from lociq.operators.quality import class_balance
+from lociq.operators.scoring import METRICS
 from lociq.plans import runner as RUN
+from lociq.plans.configurations import objective_grid
+from lociq.plans.tuning import tune
 from lociq.queries import query, rounded
 from lociq.queries.boosting import bins_sql, boost_sql, cuts_sql, settings_sql
 from lociq.queries.loci import kept
-from lociq.queries.sql import AUROC, KEPT, STEP, bits, dg, draw, points, r6
+from lociq.queries.sql import AUROC, KEPT, STEP, bits, dg, draw, grouped, points, r6, ranks
 from lociq.session import cut_lineage
 from lociq.sources.fixtures import cases, embedding_features, given_scores, table
 
@@ -246,8 +250,35 @@ CONFIGS = [
 ]
 
 
-@query("run_configurations")
-def _(spark, folder):
+# One replication of two folds of the kept events, with their features.
+EVENTS = f"""{grouped(1, 2)},
+    ev AS MATERIALIZED (SELECT k.case_id, k.locus_id, k.label, g.fold, k.score AS value, {EVENT_VALUES} AS x FROM kept k JOIN grouped g ON g.case_id = k.case_id JOIN events ON event_id = k.case_id)"""
+_role = "CASE WHEN fold = (task_id - 1) % 2 + 1 THEN 'test' ELSE 'train' END AS role"
+# From scored members (task_id, case_id, locus_id, role, label, score) to one row of metrics for each task.
+_picked = ", ".join(r6(f"max(CASE WHEN role = '{r}' THEN {m} END)", f"{r}_{m}") for r in ("train", "test") for m in METRICS)
+MEASURED = f"""{points("members", ["task_id", "role"])}, {dg("points", ["task_id", "role"], "dg")}, {ranks("members", ["task_id", "role"], "rk")},
+    areas AS (SELECT task_id, role, {AUROC} AS auroc, {STEP} AS aupvr_step FROM points GROUP BY task_id, role),
+    measured AS (SELECT task_id, {_picked} FROM areas LEFT JOIN dg USING (task_id, role) LEFT JOIN rk USING (task_id, role) GROUP BY task_id)"""
+_points = [c[5] for c in CONFIGS]
+_listed = ", ".join(
+    f"({c}, '{t}', '{n}', '{m}', {'NULL' if x is None else repr(x)}, {'NULL' if r is None else repr(r)}, {'NULL' if k is None else k})" for c, t, n, m, x, _, r, k in CONFIGS
+)
+RUNS = f"""WITH RECURSIVE {EVENTS}, {cuts_sql("ev", 4, 8, name="c2")}, set2 AS MATERIALIZED ({settings_sql([_points[1]], 2)}),
+    rows2 AS MATERIALIZED (SELECT task_id, case_id, locus_id, {_role}, label, {bins_sql("x", "cuts")} AS bins FROM ev, set2, c2), {boost_sql("rows2", "set2", 4, 1, 2, "b2")},
+    pv AS (SELECT v AS variant, case_id, label, fold <> v AS tr, unnest([1, 2, 3]) AS f, unnest(x[1:3]) AS z FROM ev, (SELECT unnest([1, 2]) AS v)),
+    pm AS (SELECT variant, f, avg(z) AS mu, avg(label) AS ym FROM pv WHERE tr GROUP BY variant, f),
+    ps AS (SELECT variant, f, any_value(mu) AS mu, sum((z - mu) * (label - ym)) AS s FROM pv JOIN pm USING (variant, f) WHERE tr GROUP BY variant, f),
+    pw AS (SELECT variant, f, mu, s / sqrt(sum(s * s) OVER (PARTITION BY variant)) AS w FROM ps),
+    pt AS (SELECT variant, case_id, sum((z - mu) * w ORDER BY f) AS t FROM pv JOIN pw USING (variant, f) GROUP BY variant, case_id),
+    ev3 AS MATERIALIZED (SELECT variant, ev.* REPLACE (list_append(x, t) AS x) FROM ev JOIN pt USING (case_id)), {cuts_sql("ev3", 5, 8, name="c3")}, set3 AS MATERIALIZED ({settings_sql([_points[2]], 2)}),
+    rows3 AS MATERIALIZED (SELECT task_id, case_id, locus_id, {_role}, label, {bins_sql("x", "cuts")} AS bins FROM ev3 JOIN set3 ON task_id = variant, c3), {boost_sql("rows3", "set3", 5, 1, 1, "b3")},
+    members AS (SELECT task_id, case_id, locus_id, {_role}, label, value AS score FROM ev, (SELECT CAST(unnest([1, 2]) AS INTEGER) AS task_id)
+      UNION ALL SELECT task_id + 2, case_id, locus_id, role, label, score FROM b2_scores UNION ALL SELECT task_id + 4, case_id, locus_id, role, label, score FROM b3_scores),
+    {MEASURED}, listed(config_id, set_type, set_name, method, matrix, reducer_matrix, reducer_components) AS (VALUES {_listed}),
+    tasks AS (SELECT listed.*, 1 AS rep, CAST(fold AS INTEGER) AS fold, CAST(fold AS INTEGER) AS fold_index, CAST((config_id - 1) * 2 + fold AS BIGINT) AS task_id FROM listed, (SELECT unnest([1, 2]) AS fold))"""
+
+
+def run_all(spark, folder):
     rows = kept(spark, folder).drop("score")
     scores = given_scores(cases(spark, folder))
     configs = spark.createDataFrame(
@@ -261,6 +292,58 @@ def _(spark, folder):
         "XGB": RUN.boosted(n_bins=8),
     }
     rows = cut_lineage(rows)
-    folds = grouped_folds(rows, 1, 2)
-    results, _ = RUN.run_configurations(configs, rows, folds, scorers, {"events": features, "counts": complete}, 1, 2)
-    return results.drop("hp", "run_time")
+    folds = cut_lineage(grouped_folds(rows, 1, 2))
+    return RUN.run_configurations(configs, rows, folds, scorers, {"events": features, "counts": complete}, 1, 2)
+
+
+@query("run_configurations", f"{RUNS} SELECT tasks.*, measured.* EXCLUDE (task_id), 0::BIGINT AS nan_scores FROM tasks JOIN measured USING (task_id)")
+def _(spark, folder):
+    results, _ = run_all(spark, folder)
+    return rounded(results.drop("hp", "run_time"))
+
+
+@query(
+    "importance_long",
+    f"""{RUNS}, found AS (SELECT {IMPORTANCE_SQL} FROM (SELECT * REPLACE (task_id + 2 AS task_id) FROM b2_splits UNION ALL SELECT * REPLACE (task_id + 4 AS task_id) FROM b3_splits)
+      GROUP BY task_id, feature WINDOW t AS (PARTITION BY task_id))
+    SELECT config_id, set_type, set_name, rep, fold, feature, gain AS importance, cover, frequency FROM found JOIN tasks USING (task_id)""",
+)
+def _(spark, folder):
+    return rounded(run_all(spark, folder)[1])
+
+
+# Two grid points with the default objective, and the same with the rank objective and a bandwidth each.
+TUNED_VALUES = {"eta": [0.3], "nrounds": [2], "lambda": [1.0, 5.0], "min_child_weight": [0.5], "max_depth": [2]}
+TUNED_BANDWIDTHS = [{"bandwidth": 0.5}, {"bandwidth": 2.0}]
+_grid = [{"eta": 0.3, "nrounds": 2, "lambda": x, "min_child_weight": 0.5, "max_depth": 2, "base_score": "(SELECT fp FROM bal)"} for x in (1.0, 5.0)]
+TUNING = f"""WITH RECURSIVE {EVENTS}, bal AS (SELECT sum(label) / count(*) AS fp FROM kept), {cuts_sql("ev", 4, 8)},
+    settings AS MATERIALIZED ({settings_sql([*_grid, *[p | b for p, b in zip(_grid, TUNED_BANDWIDTHS, strict=True)]], 2)}),
+    rows AS MATERIALIZED (SELECT task_id, case_id, locus_id, {_role}, label, {bins_sql("x", "cuts")} AS bins FROM ev, settings, cuts), {boost_sql("rows", "settings", 4, 2, 2)},
+    members AS (SELECT * FROM b_scores), {MEASURED},
+    tuned AS (SELECT CASE WHEN task_id <= 4 THEN 'main_XGB' ELSE 'main_XGB_custom' END AS set_name, CAST((task_id - 1) // 2 % 2 + 1 AS BIGINT) AS hp_no, CAST((task_id - 1) % 2 + 1 AS INTEGER) AS fold,
+      bandwidth, base_score, measured.* EXCLUDE (task_id) FROM measured JOIN settings USING (task_id))"""
+
+
+def tuned(spark, folder):
+    rows = cut_lineage(kept(spark, folder).drop("score"))
+    configs = cut_lineage(objective_grid(class_balance(rows), TUNED_VALUES, TUNED_BANDWIDTHS))
+    return tune(configs, rows, cut_lineage(grouped_folds(rows, 1, 2)), event_features(spark, folder), 1, 2, n_bins=8)
+
+
+@query("tune_rank_objective", f"{TUNING} SELECT * REPLACE ({r6('base_score', 'base_score')}) FROM tuned")
+def _(spark, folder):
+    measures = [f"{r}_{m}" for r in ("train", "test") for m in METRICS]
+    return rounded(tuned(spark, folder).results.select("set_name", "hp_no", "fold", F.col("hp")["bandwidth"].alias("bandwidth"), F.col("hp")["base_score"].alias("base_score"), *measures))
+
+
+@query(
+    "tune_rank_best",
+    f"""{TUNING}, means AS (SELECT set_name, hp_no, avg(test_aupvr_dg) AS a, avg(test_avgrank_neg) AS r FROM tuned GROUP BY ALL),
+    picks AS (SELECT 'aupvr' AS measure, set_name, hp_no, a AS mean_value, row_number() OVER (PARTITION BY set_name ORDER BY a DESC, hp_no) AS i FROM means
+      UNION ALL SELECT 'avgrank', set_name, hp_no, r, row_number() OVER (PARTITION BY set_name ORDER BY r, hp_no) FROM means)
+    SELECT measure, set_name, hp_no, CAST(round(mean_value, 4) AS DOUBLE) AS mean_value FROM picks WHERE i = 1""",
+)
+def _(spark, folder):
+    out = tuned(spark, folder)
+    both = out.best_aupvr.withColumn("measure", F.lit("aupvr")).unionByName(out.best_avgrank.withColumn("measure", F.lit("avgrank")))
+    return rounded(both.select("measure", "set_name", "hp_no", "mean_value"), 4)

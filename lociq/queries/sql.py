@@ -60,16 +60,24 @@ scores AS (
   UNION ALL SELECT 2, 'negated', case_id, -score FROM cases
   UNION ALL SELECT 3, 'hashed', case_id, {draw("CAST(case_id AS VARCHAR)")} FROM cases)"""
 
-CAPS = f"""SELECT count(*) AS cases, CAST(sum(label) AS BIGINT) AS positives,
-  CAST(ceil(1.5 * count(*) / {N_FOLD}) AS BIGINT) AS max_cases,
-  CAST(ceil(1.5 * ceil(1.5 * count(*) / {N_FOLD}) * sum(label) / count(*)) AS BIGINT) AS max_positives FROM kept"""
-
-_ZERO = "[" + ", ".join(["0"] * N_FOLD) + "]::BIGINT[]"
-_K = f"range(1, {N_FOLD + 1})"
-# Stands after WITH RECURSIVE: loci of every replication in their order, then one fold drawn at a time with two counters per fold as state.
-GROUPED = f"""{KEPT}{REPS},
+
+
+def caps(n_fold: int) -> str:
+    return f"""SELECT count(*) AS cases, CAST(sum(label) AS BIGINT) AS positives,
+  CAST(ceil(1.5 * count(*) / {n_fold}) AS BIGINT) AS max_cases,
+  CAST(ceil(1.5 * ceil(1.5 * count(*) / {n_fold}) * sum(label) / count(*)) AS BIGINT) AS max_positives FROM kept"""
+
+
+CAPS = caps(N_FOLD)
+
+
+def grouped(n_rep: int, n_fold: int) -> str:
+    """CTEs ending in ``grouped``. Stands after WITH RECURSIVE: loci of every replication in their order, then one fold drawn at a time with two counters per fold as state."""
+    zero = "[" + ", ".join(["0"] * n_fold) + "]::BIGINT[]"
+    k = f"range(1, {n_fold + 1})"
+    return f"""{KEPT}, reps AS (SELECT CAST(unnest(range(1, {n_rep + 1})) AS INTEGER) AS rep),
 loci AS (SELECT locus_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS p FROM kept GROUP BY locus_id),
-caps AS ({CAPS}),
+caps AS ({caps(n_fold)}),
 ordered AS (
   SELECT rep, locus_id, n, p, row_number() OVER (
     PARTITION BY rep ORDER BY n DESC, p DESC, {draw(f"'{SEED}|' || rep || '|' || locus_id")}, locus_id) AS i
@@ -80,16 +88,16 @@ queue AS (
          any_value(max_cases) AS mc, any_value(max_positives) AS mp
   FROM ordered, caps GROUP BY rep),
 walk AS (
-  SELECT rep, CAST(0 AS BIGINT) AS i, 0 AS fold, {_ZERO} AS c, {_ZERO} AS q FROM reps
+  SELECT rep, CAST(0 AS BIGINT) AS i, 0 AS fold, {zero} AS c, {zero} AS q FROM reps
   UNION ALL
   SELECT rep, i, CAST(fold AS INTEGER),
-         list_transform({_K}, lambda f: c[f] + CASE WHEN f = fold THEN n ELSE 0 END),
-         list_transform({_K}, lambda f: q[f] + CASE WHEN f = fold THEN p ELSE 0 END)
+         list_transform({k}, lambda f: c[f] + CASE WHEN f = fold THEN n ELSE 0 END),
+         list_transform({k}, lambda f: q[f] + CASE WHEN f = fold THEN p ELSE 0 END)
   FROM (
-    SELECT *, 1 + len(list_filter({_K}, lambda f: list_sum(w[1:f]) <= u * list_sum(w))) AS fold
+    SELECT *, 1 + len(list_filter({k}, lambda f: list_sum(w[1:f]) <= u * list_sum(w))) AS fold
     FROM (
       SELECT w0.rep, w0.i + 1 AS i, w0.c, w0.q, ns[w0.i + 1] AS n, ps[w0.i + 1] AS p, us[w0.i + 1] AS u,
-             list_transform({_K}, lambda f: CASE WHEN w0.c[f] + ns[w0.i + 1] <= mc AND w0.q[f] + ps[w0.i + 1] <= mp
+             list_transform({k}, lambda f: CASE WHEN w0.c[f] + ns[w0.i + 1] <= mc AND w0.q[f] + ps[w0.i + 1] <= mp
                THEN (1 - w0.c[f] / mc) * (1 - w0.q[f] / mp) ELSE 0.0 END) AS w
       FROM walk w0 JOIN queue USING (rep) WHERE w0.i < m))),
 grouped AS (
@@ -97,6 +105,9 @@ grouped AS (
   FROM walk w JOIN ordered o ON o.rep = w.rep AND o.i = w.i JOIN kept k ON k.locus_id = o.locus_id)"""
 
 
+GROUPED = grouped(N_REP, N_FOLD)
+
+
 def _members(folds: str) -> str:
     """CTE ``members``: the kept cases in every (config, rep, test fold) with their role."""
     return f"""{folds}{FOLD_NOS}{SCORES},
