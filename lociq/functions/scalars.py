@@ -41,13 +41,12 @@ def logit_mean(x: Column | str, eps: float | None = None) -> Column:
     return inv_logit(F.avg(logit(x, eps)))
 
 
-def order_cell(x: Column | str, per_e: int = 2048) -> Column:
-    """Coarse order-preserving bucket of a double.
+def order_code(x: Column | str, per_e: int = 1 << 42) -> Column:
+    """Order-preserving whole number of a double, of 54 bits and a sign.
 
-    ``x <= y`` implies ``order_cell(x) <= order_cell(y)``. Buckets are ``1/per_e``
-    wide on the log scale, so a large group splits into thousands of buckets
-    that can be ordered apart. NULL comes first and NaN last, like in Spark's
-    own ordering; the bucket itself is never NULL.
+    ``x <= y`` implies ``order_code(x) <= order_code(y)``. Codes are ``1/per_e``
+    apart on the log scale, so at most some thousand neighbouring doubles share one. NULL comes first and
+    NaN last, like in Spark's own ordering; the code itself is never NULL.
     """
     x = column(x).cast("double")
     # ln of a double lies within (-745, 710), so the shift keeps the sign apart.

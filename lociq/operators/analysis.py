@@ -19,6 +19,8 @@ from lociq.functions.student import two_sided_p
 # Metrics averaged on the logit scale, and the number of resamples.
 LOGIT_METRICS = r"auroc|aupvr"
 RESAMPLES = 1000
+# Resamples made from one copy of the values.
+BLOCK = 50
 
 
 def to_long(results: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -61,29 +63,27 @@ def bootstrap_means(
     """Mean of every resample: (keys, metric, resample, average).
 
     Values are ordered by (rep, fold) and resample b draws position j by a hash
-    of (seed, keys, b, j), so all metrics of a configuration share their draws.
+    of (seed, keys, b, j), so all metrics of a configuration share their draws. A block of resamples shares one copy of
+    the values: positions are drawn once for all metrics, and what is shuffled does not grow with the resamples of a block.
     """
     order = [c for c in ("hp_no", "rep", "fold") if c in long.columns and c not in keys]
     usable = F.when(F.col("metric").rlike(LOGIT_METRICS), logit(F.when(F.col("metric").rlike(LOGIT_METRICS), F.col("value")), eps)).otherwise(F.col("value"))
-    gathered = (
+    lists = (
         long.where(F.col("value").isNotNull())
         .groupBy(*keys, "metric")
         .agg(F.array_sort(F.collect_list(F.struct(*order, usable.alias("v")))).alias("_s"))
-        .withColumn("_s", F.col("_s.v"))
+        .select(*keys, "metric", F.col("_s.v").alias("_s"), F.size("_s").alias("_n"))
     )
-    resamples = gathered.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))).repartition(
-        *keys, "metric", "resample"
-    )
-    n = F.size("_s")
-    total = F.aggregate(
-        F.sequence(F.lit(1), n),
-        F.lit(0.0),
-        lambda acc, j: acc + F.element_at("_s", (F.pmod(hash_bits(seed, *keys, "resample", j), n) + 1).cast("int")),
-    )
-    mean = total / n
-    return resamples.select(
-        *keys, "metric", "resample", F.when(F.col("metric").rlike(LOGIT_METRICS), inv_logit(mean)).otherwise(mean).alias("average")
+    # Metrics with as many values have the same draws, so they go side by side.
+    side_by_side = lists.groupBy(*keys, "_n").agg(F.collect_list(F.struct("metric", "_s")).alias("_m"))
+    blocks = F.sequence(F.lit(0), F.lit(n_resamples - 1), F.lit(BLOCK))
+    dealt = side_by_side.withColumn("_first", F.explode(blocks)).repartition(*keys, "_n", "_first")
+    each = dealt.withColumn("resample", F.explode(F.sequence("_first", F.least(F.col("_first") + BLOCK - 1, F.lit(n_resamples - 1)))))
+    drawn = each.withColumn("_at", F.transform(F.sequence(F.lit(1), F.col("_n")), lambda j: (F.pmod(hash_bits(seed, *keys, "resample", j), F.col("_n")) + 1).cast("int")))
+    means = drawn.select(*keys, "resample", "_n", "_at", F.explode("_m").alias("_z")).select(
+        *keys, F.col("_z")["metric"].alias("metric"), "resample", (F.aggregate("_at", F.lit(0.0), lambda acc, k: acc + F.element_at(F.col("_z")["_s"], k)) / F.col("_n")).alias("_mean")
     )
+    return means.select(*keys, "metric", "resample", F.when(F.col("metric").rlike(LOGIT_METRICS), inv_logit("_mean")).otherwise(F.col("_mean")).alias("average"))
 
 
 def bootstrap_intervals(means: DataFrame, keys: Sequence[str] = ("config_id",), level: float = 0.95) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.functions.draws import uniform, uniform_py
+from lociq.operators import joins
+from lociq.operators.joins import join_sized
 from lociq.operators.loci import keep_positive_loci, locus_summary
 from lociq.operators.prefix import numbered
 from lociq.session import cut_lineage
@@ -82,9 +84,11 @@ def grouped_folds(
     folds = locus_folds(loci, n_rep, n_fold, slack, seed, locus, loci_per_draw, cells)
     # One row per locus with all its replications, so cases are shuffled once, not once per replication.
     per_locus = folds.groupBy(locus).agg(F.array_sort(F.collect_list(F.struct("rep", "fold"))).alias("_folds"))
+    largest = loci.agg(F.max("cases")).first()[0] or 0
+    if largest > joins.HEAVY_ROWS:
+        per_locus = per_locus.join(loci.select(locus, F.col("cases").alias("_size")), locus)
     return (
-        df.select(case, locus)
-        .join(per_locus, locus)
+        join_sized(df.select(case, locus), per_locus, [locus], "_size", most=largest)
         .select(case, F.explode("_folds").alias("_f"))
         .select(case, F.col("_f.rep").alias("rep"), F.col("_f.fold").alias("fold"))
     )

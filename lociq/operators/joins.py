@@ -12,6 +12,8 @@ from lociq.session import cut_lineage
 # Up to this many values (rows x columns, array items counted) a table is broadcast.
 BROADCAST_VALUES = 4_000_000
 SALTS = 64
+# Rows of a key beyond which it is salted.
+HEAVY_ROWS = 1_000_000
 
 
 def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", values_per_row: int = 0, written: bool = False) -> DataFrame:
@@ -36,6 +38,24 @@ def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_sized(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], size: str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """Join ``rows`` with a table that has one row per key and says in ``size`` how many rows the key has.
+
+    No key is heavy where ``most``, the rows of a key at most (all rows if it is not given), is within ``HEAVY_ROWS``. Otherwise
+    keys with more rows than that, which are fewer than all rows / ``HEAVY_ROWS`` and so are broadcast, are
+    salted: their rows go to ``SALTS`` places, where their row of ``per_key`` is repeated. For inner and left joins.
+    """
+    keys = list(keys)
+    if (rows.count() if most is None else most) <= HEAVY_ROWS:
+        return rows.join(per_key.drop(size), keys, how)
+    heavy = per_key.where(F.col(size) > HEAVY_ROWS).select(*keys, F.lit(True).alias("_heavy"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in _plain(rows)]), F.lit(SALTS)).cast("int")
+    spread = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_heavy"), salt).otherwise(0)).drop("_heavy")
+    salts = F.when(F.col(size) > HEAVY_ROWS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = per_key.withColumn("_salt", F.explode(salts)).drop(size)
+    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def _plain(df: DataFrame) -> list[str]:
     """Columns that can be hashed cheaply: no arrays, maps or vectors."""
     return [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "vector"))]

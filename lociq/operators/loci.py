@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociq.operators.joins import join_small
+from lociq.operators import joins
+from lociq.operators.joins import join_sized, join_small
+from lociq.session import cut_lineage
 
 # The default gap in base pairs and the chromosomes clustered by default in the one-hot form.
 DEFAULT_CUTOFF = 50_000
@@ -107,7 +109,8 @@ def locus_members(df: DataFrame, locus: str = "locus_id", case: str = "case_id",
 
     There is no list per locus, so a locus of any size stays spread out.
     """
-    return df.select(locus, case).join(locus_summary(df, locus, label), locus)
+    counts = locus_summary(df, locus, label).withColumn("_size", F.col("cases"))
+    return join_sized(df.select(locus, case), counts, [locus], "_size")
 
 
 def loci_without_positive(df: DataFrame, locus: str = "locus_id", label: str = "label") -> DataFrame:
@@ -126,8 +129,10 @@ def keep_positive_loci(df: DataFrame, locus: str = "locus_id", label: str = "lab
         return df
     if on_missing != "drop":
         raise ValueError(f"on_missing must be drop, error or ignore, not {on_missing}")
-    good = df.where(F.col(label) == 1).select(locus).distinct()
-    return df.join(good, locus, "left_semi")
+    if df.count() <= joins.HEAVY_ROWS:
+        return df.join(df.where(F.col(label) == 1).select(locus).distinct(), locus, "left_semi")
+    good = cut_lineage(locus_summary(df, locus, label).where(F.col("positives") > 0).select(locus, F.col("cases").alias("_size")))
+    return join_sized(df, good, [locus], "_size").select(*df.columns)
 
 
 def singleton_check(df: DataFrame, locus: str = "locus_id", label: str = "label") -> DataFrame:

@@ -14,8 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociq.functions.scalars import order_cell, reciprocal_span
-from lociq.operators.prefix import CELL, before_cell, no_null
+from lociq.functions.scalars import reciprocal_span
+from lociq.operators.joins import join_sized
+from lociq.operators.prefix import CELL, before_cell, heavy_cells, no_null, score_cells
 
 
 def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -26,7 +27,7 @@ def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score", label
     counts = df.where(no_null(keys)).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
         F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n")
     )
-    return counts.withColumn(CELL, order_cell("score"))
+    return score_cells(counts, keys, heavy_cells(df, keys, score))
 
 
 def _quoted(keys: Sequence[str]) -> list[str]:
@@ -175,8 +176,8 @@ def within_locus_rank(df: DataFrame, keys: Sequence[str], locus: str = "locus_id
     where = [*keys, locus]
     points = threshold_counts(df, where, score, label)
     size = F.col("p") + F.col("n")
-    ranks = points.select(*where, F.col("score").alias(score), (F.col("tp") + F.col("fp") - (size - 1) / 2.0).alias("locus_rank"))
-    return df.join(ranks, [*where, score])
+    ranks = points.select(*where, F.col("score").alias(score), (F.col("tp") + F.col("fp") - (size - 1) / 2.0).alias("locus_rank"), size.alias("_size"))
+    return join_sized(df, ranks, [*where, score], "_size")
 
 
 def locus_gaps(evaluated: DataFrame, overall: DataFrame, keys: Sequence[str], locus: str = "locus_id") -> DataFrame:
@@ -222,7 +223,7 @@ def fold_points(df: DataFrame, keys: Sequence[str], n_fold: int, score: str = "s
     hits = {"p": f"`{label}`", "n": f"1 - `{label}`"}
     tallies = [F.expr(f"sum(CASE WHEN `{fold}` = {k} THEN CAST({hits[c]} AS BIGINT) ELSE 0L END)").alias(f"{c}{k}") for c in "pn" for k in folds]
     counts = df.where(no_null(keys)).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(*tallies)
-    counts = counts.withColumn(CELL, order_cell("score"))
+    counts = score_cells(counts, keys, heavy_cells(df, keys, score))
     cells = counts.groupBy(*keys, CELL).agg(*[F.sum(c).alias(c) for c in columns])
     offsets = before_cell(cells, keys, columns, descending=True)
     joined = counts.selectExpr("*", *_upto(keys, columns)).join(offsets, [*keys, CELL])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lociq.functions.kernel import REACH, TERMS, WIDTH, kernel_sums, local_fields
+from lociq.operators import joins
+from lociq.operators.joins import join_sized
 from lociq.operators.prefix import CELL, before_cell, no_null
 
 # Cells a bin is cut into for its running moments.
@@ -95,13 +97,15 @@ def rank_objective(
     fields = near.withColumn("fields", _fields(F.expr("transform(_bins, s -> _bin - s)"), F.flatten("_moments"))).drop("_bins", "_moments")
 
     sums_of = lower.join(fields, in_bin).withColumn("_k", _sums("u", "fields", "own", "lower"))
-    per_point = sums_of.select(*where, "_x", "n0", "n1", "_k.*")
+    per_point, n_rows = sums_of.select(*where, "_x", "n0", "n1", "_k.*"), df.count()
+    if n_rows > joins.HEAVY_ROWS:
+        per_point = per_point.join(points.select(*where, "_x", (F.col("c0") + F.col("c1")).alias("_size")), [*where, "_x"])
     other = {c: F.when(F.col(label) == 1, F.col(f"{c}0")).otherwise(F.col(f"{c}1")) for c in ("n", "a", "s")}
     sign = F.when(F.col(label) == 1, -1.0).otherwise(1.0)
     p = 1.0 / (1.0 + F.exp(-F.col(pred)))
     root = F.sqrt(F.pi())
     paired = other["n"] > 0
-    out = base.join(per_point, [*where, "_x"])
+    out = join_sized(base, per_point, [*where, "_x"], "_size", most=n_rows)
     return out.select(
         *df.columns,
         F.when(paired, sign * other["a"] / (b * root)).otherwise(p - F.col(label)).alias("grad"),

@@ -130,7 +130,7 @@ def test_state_does_not_grow_with_tasks_times_features(spark, tmp_path):
 
         def count(table, path):
             out = boost_written(table, path)
-            sizes.append(sum(f.stat().st_size for f in __import__("pathlib").Path(path).glob("*.parquet")))
+            sizes.append(sum(f.stat().st_size for f in __import__("pathlib").Path(path.removeprefix("file:")).glob("*.parquet")))
             return out
 
         B._written, B.discard = count, lambda *_: None

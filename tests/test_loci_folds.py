@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lociq.operators import folds as FO
+from lociq.operators import joins as J
 from lociq.operators import loci as L
 
 
@@ -104,3 +105,31 @@ def test_a_case_without_coordinate_is_an_error(spark):
         with pytest.raises(Exception, match="without chromosome or coordinate"):
             L.assign_loci(df.where(f"case_id IN (1, {case})")).collect()
     assert [r["locus_id"] for r in L.assign_loci(df.where("case_id = 1")).collect()] == ["1_1"]
+
+
+def largest_share(df):
+    """The greatest share of rows in one partition."""
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+@pytest.mark.parametrize("heavy, most", [(1_000_000, 1.0), (100, 0.2)])
+def test_heavy_keys_are_spread(spark, monkeypatch, heavy, most):
+    monkeypatch.setattr(J, "HEAVY_ROWS", heavy)
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        df = table(spark, 6_000, 2_000)
+        kept = L.keep_positive_loci(df)
+        members = L.locus_members(df)
+        folds = FO.grouped_folds(df, 1, 2)
+        for got in (kept, members, folds):
+            assert got.count() == df.join(df.where("label = 1").select("locus_id").distinct(), "locus_id", "left_semi").count() if got is kept else 6_000
+            share = largest_share(got)
+            assert share < most and (heavy == 100 or share > 0.3)
+        assert FO.fold_checks(df, folds, 1).first()["split_loci"] == 0
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)

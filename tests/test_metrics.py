@@ -6,10 +6,11 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from lociq.functions.scalars import logit_mean, order_cell, reciprocal_span
+from lociq.functions.scalars import logit_mean, order_code, reciprocal_span
 from lociq.functions.student import incomplete_beta
 from lociq.operators import analysis as A
 from lociq.operators import metrics as M
+from lociq.operators import prefix as P
 from lociq.operators import scoring as S
 
 FOUR = [(1, "a", 1, 0.9), (2, "a", 0, 0.8), (3, "a", 1, 0.8), (4, "a", 0, 0.1)]
@@ -99,10 +100,10 @@ def test_locus_gaps(spark):
     assert M.locus_gaps(df, df, ["t"]).count() == 0
 
 
-def test_order_cell_keeps_the_order(spark):
+def test_order_code_keeps_the_order(spark):
     values = [-math.inf, -1e300, -2.0, -1.9, -1e-300, 0.0, 5e-324, 1e-9, 0.5, 0.50001, 1.0, 3.0, 1e308, math.inf, math.nan]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, v double")
-    cells = [r["c"] for r in rows.select("i", order_cell("v").alias("c")).orderBy("i").collect()]
+    cells = [r["c"] for r in rows.select("i", order_code("v").alias("c")).orderBy("i").collect()]
     assert cells == sorted(cells) and None not in cells
 
 
@@ -165,3 +166,45 @@ def test_torn_loci_have_no_ranks(spark):
     with pytest.raises(ValueError, match="whole loci"):
         M.require_whole_loci(rows, ["task"])
     M.require_whole_loci(rows.where("fold = 1"), ["task"])
+
+
+def scattered(n):
+    """A million and tiny differences, numbers of all sizes, and a few at one place."""
+    return [1e6 + k * 1e-7 for k in range(n)] + [10.0 ** (k * 600 / n - 300) * (-1) ** k for k in range(n)] + [0.0, 5.0, -5.0]
+
+
+@pytest.mark.parametrize("heavy", [50, 1_000_000])
+def test_score_cells_are_small_and_in_order(spark, monkeypatch, heavy):
+    monkeypatch.setattr(P, "HEAVY_CELL", heavy)
+    n = 3_000
+    df = spark.createDataFrame([(t, x) for t in (1, 2) for x in scattered(n)], "t int, score double")
+    got = P.score_cells(df, ["t"], P.heavy_cells(df, ["t"])).orderBy("t", "score").toPandas()
+    assert len(got) == len(df.toPandas())
+    for _, one in got.groupby("t"):
+        cells = one[P.CELL].to_list()
+        assert cells == sorted(cells)
+        near = one[(one.score >= 1e6) & (one.score < 1e6 + 1)]
+        if heavy == 50:
+            assert one.groupby(P.CELL).size().max() <= 50 and near[P.CELL].nunique() > 100
+        else:
+            assert near[P.CELL].nunique() == 1
+
+
+def test_metrics_do_not_depend_on_the_cells(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.array(scattered(400))
+    pdf = pd.DataFrame({"case_id": range(len(x)), "locus_id": np.where(rng.random(len(x)) < 0.5, "hot", "l"), "label": rng.integers(0, 2, len(x)), "score": x, "t": 1})
+    df = spark.createDataFrame(pdf)
+    want = M.evaluate(df, ["t"]).first()
+    monkeypatch.setattr(P, "HEAVY_CELL", 5)
+    got = M.evaluate(df, ["t"]).first()
+    assert all(a == pytest.approx(b, abs=1e-12) for a, b in zip(got, want, strict=True))
+
+
+def test_resamples_in_blocks_of_any_size(spark, monkeypatch):
+    rows = [(c, 1, f, m, 0.1 * f + 0.05 * c) for c in (1, 2) for f in range(1, 8) for m in ("test_aupvr", "test_avgrank")] + [(1, 1, 9, "test_avgrank", 3.0)]
+    long = long_rows(spark, rows)
+    want = sorted(map(tuple, A.bootstrap_means(long, 23).collect()))
+    assert len(want) == 2 * 2 * 23
+    monkeypatch.setattr(A, "BLOCK", 7)
+    assert sorted(map(tuple, A.bootstrap_means(long, 23).collect())) == want

@@ -131,7 +131,7 @@ def test_published_lists(spark):
     assert configs.count() == 14 and C.comparison(balance, C.COMPARISON_NEWER).count() == 3
     assert C.tuning_grid(balance).count() == 4608
     both = C.objective_grid(balance)
-    assert both.count() == 2 * 2304 and both.where("bandwidth IS NULL").count() == 2304
+    assert both.count() == 2 * 2304 and both.where("hp['bandwidth'] IS NULL").count() == 2304
     tasks = T.task_table(configs, 200, 10)
     assert tasks.agg(F.min("task_id"), F.max("task_id"), F.count_distinct("task_id")).first() == (1, 28_000, 28_000)
 
