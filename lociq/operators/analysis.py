@@ -113,12 +113,15 @@ def paired_t(long: DataFrame, reference: DataFrame, metric: str = "test_aupvr",
     """Paired t-test on the logit scale of every configuration against the reference one.
 
     ``reference`` has one row with ``config_id``. Pairs are matched by (rep, fold).
-    t is NULL with fewer than two values, with a missing value, or without spread.
+    t is NULL with fewer than two values, with a missing value, with a fold that only one of the two has, or without spread.
     """
     values = long.where(F.col("metric") == metric).select(config, "rep", "fold", logit("value", eps).alias("x"))
     base = values.join(reference.select(config), config, "left_semi").select("rep", "fold", F.col("x").alias("x0"))
     others = values.join(reference.select(config), config, "left_anti")
-    diffs = others.join(base, ["rep", "fold"]).withColumn("d", F.col("x0") - F.col("x"))
+    # Folds of either side without a partner stay, with a missing difference.
+    folds = base.select("rep", "fold", F.col("x0"), F.lit(True).alias("_in"))
+    wanted = others.select(config).distinct().crossJoin(F.broadcast(folds))
+    diffs = others.join(wanted, [config, "rep", "fold"], "full_outer").withColumn("d", F.col("x0") - F.col("x"))
     n = F.count(F.lit(1))
     complete = (n > 1) & (F.count("d") == n) & (F.stddev_samp("d") > 0)
     return diffs.groupBy(config).agg(

@@ -1,30 +1,41 @@
 """Categories to 0/1 columns, imputation and model matrices.
 
 The set of output columns depends on the data, so encoding takes two passes:
-the distinct values are gathered first (one aggregate), then every row is
+the distinct values of all category columns are gathered first (one aggregate for all), then every row is
 projected without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A column per value only makes sense for few values; more than this is an error, never a silent cut.
-MAX_VALUES = 10_000
 
+def dictionary(df: DataFrame, cols: Mapping[str, str | None]) -> DataFrame:
+    """(column, value): distinct values of several columns in one pass; a separator beside the name makes it a list of tokens.
+
+    Values collapse before the shuffle. NULL is no value, and empty text is no token.
+    """
+
+    def values(col: str, sep: str | None) -> Column:
+        tokens = F.array(F.col(col).cast("string")) if sep is None else F.filter(F.split(col, _literal(sep)), lambda t: t != "")
+        return F.transform(F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isNotNull()), lambda t: F.struct(F.lit(col).alias("column"), t.alias("value")))
+
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string")
+    return df.select(F.explode(F.concat(*[values(c, sep) for c, sep in cols.items()])).alias("_v")).select("_v.*").distinct()
 
-def categories(df: DataFrame, col: str, sep: str | None = None) -> list[str]:
-    """Sorted distinct values (or distinct tokens between separators) of a column."""
-    values = df.select(F.col(col).cast("string").alias("v")) if sep is None else df.select(F.explode(F.split(col, _literal(sep))).alias("v"))
-    found = values.where(F.col("v").isNotNull() & ((F.col("v") != "") | F.lit(sep is None))).distinct().limit(MAX_VALUES + 1).collect()
-    if len(found) > MAX_VALUES:
-        raise ValueError(f"column {col} has more than {MAX_VALUES} values; use encode_long")
-    return sorted(r["v"] for r in found)
+
+def categories(df: DataFrame, cols: Mapping[str, str | None]) -> dict[str, list[str]]:
+    """Sorted distinct values of each column: as many as there will be output columns, as their names are needed here."""
+    found: dict[str, list[str]] = {c: [] for c in cols}
+    for row in dictionary(df, cols).collect():
+        found[row["column"]].append(row["value"])
+    return {c: sorted(v) for c, v in found.items()}
 
 
 def _literal(sep: str) -> str:
@@ -38,7 +49,7 @@ def binary_encode(df: DataFrame, col: str, sep: str = ",", prefix: str | None =
     ``integrate`` replaces the source column by the new ones; otherwise only
     ``keys`` and the new columns are returned.
     """
-    tokens = list(tokens) if tokens is not None else categories(df, col, sep)
+    tokens = list(tokens) if tokens is not None else categories(df, {col: sep})[col]
     parts = F.split(col, _literal(sep))
     made = [F.coalesce(F.array_contains(parts, t), F.lit(False)).cast("int").alias(f"{prefix or ''}{t}") for t in tokens]
     return _with_columns(df, col, made, integrate, keys)
@@ -46,7 +57,7 @@ def binary_encode(df: DataFrame, col: str, sep: str = ",", prefix: str | None =
 
 def one_hot_encode(df: DataFrame, col: str, prefix: str | None = None, integrate: bool = False, values: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """One 0/1 column per value of a category, in sorted order."""
-    values = list(values) if values is not None else categories(df, col)
+    values = list(values) if values is not None else categories(df, {col: None})[col]
     made = [F.coalesce(F.col(col).cast("string") == v, F.lit(False)).cast("int").alias(f"{prefix or ''}{v}") for v in values]
     return _with_columns(df, col, made, integrate, keys)
 
@@ -91,24 +102,28 @@ def numeric_vector(df: DataFrame, label: str = "label", keys: Sequence[str] = ("
 
 
 def model_matrix(df: DataFrame, label: str = "label", keys: Sequence[str] = ("case_id",), out: str = "features") -> tuple[DataFrame, list[str]]:
-    """Model matrix without intercept, as a sparse-or-dense vector, with its column names.
+    """Model matrix without intercept, as a vector, with its column names. One aggregate finds the values of all category columns.
 
     Numbers are kept. Without an intercept the first category column keeps an
     indicator for every value and the later ones drop their first value.
     """
-    inputs, names, first = df, [], True
-    for field in df.schema.fields:
-        if field.name == label or field.name in keys:
-            continue
-        if field.dataType.simpleString() != "string":
+    fields = [f for f in df.schema.fields if f.name != label and f.name not in keys]
+    found = categories(df, {f.name: None for f in fields if f.dataType.simpleString() == "string"})
+    parts, names, first = [], [], True
+    for field in fields:
+        if field.name not in found:
             names.append(field.name)
+            parts.append(F.array(F.coalesce(F.col(field.name).cast("double"), F.lit(float("nan")))))
             continue
-        values = categories(df, field.name)
-        values, first = (values if first else values[1:]), False
-        inputs = inputs.select("*", *[(F.col(field.name) == v).cast("int").alias(f"{field.name}{v}") for v in values])
+        values, first = (found[field.name] if first else found[field.name][1:]), False
         names.extend(f"{field.name}{v}" for v in values)
-    made = VectorAssembler(inputCols=names, outputCol=out, handleInvalid="keep").transform(inputs)
-    return made.select(*keys, label, out), names
+        parts.append(_indicators(field.name, values))
+    return df.select(*keys, label, array_to_vector(F.concat(*parts)).alias(out)), names
+
+
+def _indicators(col: str, values: Sequence[str]) -> Column:
+    """One array for all values; a row without the category has no indicator at all, as a missing number has no value."""
+    return F.transform(F.array(*[F.lit(v) for v in values]).cast("array<string>"), lambda v: F.coalesce((F.col(col) == v).cast("double"), F.lit(float("nan"))))
 
 
 def combine_matrices(base: DataFrame, reduced: DataFrame, key: str = "case_id", base_col: str = "features", reduced_col: str = "reduced", out: str = "features") -> DataFrame:

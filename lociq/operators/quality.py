@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 MAX_LEVELS = 64
 
 
-def feature_quality(df: DataFrame, cols: Sequence[str] | None = None, max_levels: int = MAX_LEVELS) -> DataFrame:
+def feature_quality(df: DataFrame, cols: Sequence[str] | None = None, max_levels: int = MAX_LEVELS, matrix: bool = False) -> DataFrame:
     """Per feature: NaN count, NULL count, levels of a category column, and the verdict.
 
-    All columns are measured in one aggregate; category columns are the text ones.
+    All columns are measured in one aggregate. Category columns are the text ones and, in a
+    ``matrix``, those of whole numbers.
     """
     types = dict(df.dtypes)
     cols = list(cols or df.columns)
     measured = []
     for c in cols:
-        text, real = types[c] == "string", types[c] in ("double", "float")
+        text = types[c] == "string" or (matrix and types[c] in ("tinyint", "smallint", "int", "bigint"))
+        real = types[c] in ("double", "float")
         measured += [
             (F.count(F.when(F.isnan(c), 1)) if real else F.lit(0).cast("bigint")).alias(f"nan_{c}"),
             F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{c}"),

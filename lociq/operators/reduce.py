@@ -5,61 +5,34 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
+from lociq.operators.cuts import matrix
 from lociq.operators.joins import join_small
 
-# Upper bound on the features per component when judging the size of the model table.
-MODEL_VALUES = 4_000
+# Groups that the partial sums of a task's rows are first added up in, and bytes of sums a Spark task holds.
+GROUPS, HELD_BYTES = 256, 64 << 20
 
 
 def pls_scores(members: DataFrame, n_components: int, keys: Sequence[str] = ("task_id",), features: str = "features", label: str = "label") -> DataFrame:
     """Scores of the first components for all cases, fitted on the ``train`` members of each task.
 
-    One pass over the training rows gives means and X'y; each component then
-    takes one pass for its loading. A pass is an aggregate per task of vector
-    sums; what passes on is one row per task. Adds ``pls`` ARRAY<DOUBLE>.
+    One pass over the training rows adds up X'X, X'y and the sums of x and y of each task, in two steps so that
+    no task's sums meet in one place from everywhere; components follow from these small matrices, and a
+    second pass projects all members. Adds ``pls`` ARRAY<DOUBLE>.
     """
     keys = list(keys)
+    train = members.where("role = 'train'").select(*keys, F.col(features).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"))
+    kinds = ", ".join(f"`{k}` {t}" for k, t in train.dtypes[: len(keys)])
+    sums = train.mapInArrow(lambda b: _sums(b, keys), f"{kinds}, part int, sums binary")
+    sums = sums.groupBy(*keys, "part").applyInArrow(lambda t: _added(t, keys), f"{kinds}, sums binary")
+    model = sums.groupBy(*keys).applyInArrow(lambda t: _fitted(_added(t, keys), keys, n_components), f"{kinds}, mean array<double>, rotations array<double>")
     n_columns = F.size(F.col(features))
-    # Numbers a row of the model holds, with room for several thousand features.
-    width = MODEL_VALUES * n_components
-    train = members.where("role = 'train'").select(*keys, F.col(features).alias("_x"), F.col(label).cast("double").alias("_y"))
-    one = train.withColumn("_v", array_to_vector("_x")).withColumn("_vy", array_to_vector(F.transform("_x", lambda x: x * F.col("_y"))))
-    first = one.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("_y").alias("sy"),
-        vector_to_array(Summarizer.mean(F.col("_v"))).alias("mean"),
-        vector_to_array(Summarizer.metrics("sum").summary(F.col("_vy"))["sum"]).alias("xy"),
-    )
-    # X'y of centred data: sum of x*y minus mean(x) * sum(y).
-    model = first.select(
-        *keys,
-        "mean",
-        F.zip_with("xy", "mean", lambda a, m: a - m * F.col("sy")).alias("xy"),
-        F.array().cast("array<double>").alias("rotations"),
-        F.array().cast("array<double>").alias("loadings"),
-    ).withColumn("rotations", _next_rotation("xy", "rotations", "loadings"))
-    for _ in range(1, n_components):
-        # The newest rotation is the tail of the list.
-        rows = join_small(train, model, keys, values_per_row=width).withColumn("_c", F.zip_with("_x", "mean", lambda x, m: x - m))
-        newest = F.slice("rotations", F.size("rotations") - F.size("_c") + 1, F.size("_c"))
-        rows = rows.withColumn("_t", F.aggregate(F.zip_with("_c", newest, lambda x, r: x * r), F.lit(0.0), lambda a, v: a + v))
-        rows = rows.withColumn("_tc", array_to_vector(F.transform("_c", lambda x: x * F.col("_t"))))
-        passed = rows.groupBy(*keys).agg(
-            F.sum(F.col("_t") * F.col("_t")).alias("tt"),
-            vector_to_array(Summarizer.metrics("sum").summary(F.col("_tc"))["sum"]).alias("xt"),
-            *[F.first(c).alias(c) for c in ("mean", "xy", "rotations", "loadings")],
-        )
-        loading = F.transform("xt", lambda v: v / F.col("tt"))
-        model = passed.select(*keys, "mean", "xy", "rotations", F.concat("loadings", loading).alias("loadings"))
-        model = model.withColumn("rotations", _next_rotation("xy", "rotations", "loadings"))
-    joined = join_small(members, model.select(*keys, "mean", "rotations"), keys, values_per_row=width)
+    width = members.select(F.max(n_columns)).first()[0] or 0
+    joined = join_small(members, model, keys, values_per_row=width * (n_components + 1))
     centred = F.zip_with(features, "mean", lambda x, m: x - m)
     component = lambda a: F.aggregate(
         F.zip_with(centred, F.slice("rotations", a * n_columns + 1, n_columns), lambda x, r: x * r), F.lit(0.0), lambda s, v: s + v
@@ -67,23 +40,57 @@ def pls_scores(members: DataFrame, n_components: int, keys: Sequence[str] = ("ta
     return joined.withColumn("pls", F.array(*[component(a) for a in range(n_components)])).drop("mean", "rotations")
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _next_rotation(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Append the rotation of the next component: centred features times it give the scores."""
-
-    def extend(xy, rotations, loadings):
-        size = len(xy)
-        r, p = np.reshape(rotations, (-1, size)), np.reshape(loadings, (-1, size))
-        # X'y after deflation: each earlier score takes away its loading times its share of y.
-        w = np.array(xy, dtype=float)
-        for rot, load in zip(r, p):
-            w = w - load * (rot @ xy)
-        norm = np.linalg.norm(w)
-        w = w / norm if norm else w
-        new = w.copy()
-        for rot, load in zip(r, p):
-            new = new - (load @ w) * rot
-        return np.concatenate([r.ravel(), new])
-
-    for xy, rotations, loadings in batches:
-        yield pd.Series([extend(np.asarray(a), np.asarray(b), np.asarray(c)) for a, b, c in zip(xy, rotations, loadings)])
+def _sums(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Partial sums (n, y, x, x y, x x') of each key."""
+    held: dict[tuple, np.ndarray] = {}
+    part = TaskContext.get().partitionId() % GROUPS
+
+    def rows() -> pa.RecordBatch:
+        names = [*keys, "part", "sums"]
+        columns = [pa.array([k[i] for k in held], kinds[i]) for i in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=names)
+
+    kinds: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kinds = [batch.schema.field(k).type for k in keys]
+        x = matrix(batch.column("x"), len(batch.column("x").flatten()) // batch.num_rows)
+        y = batch.column("y").to_numpy()
+        for key, at in batch.select(keys).to_pandas().groupby(keys, sort=False).indices.items():
+            one, v = x[at], y[at]
+            new = np.concatenate([[len(at), v.sum()], one.sum(0), one.T @ v, (one.T @ one).ravel()])
+            key = tuple(k.item() if hasattr(k, "item") else k for k in (key if isinstance(key, tuple) else (key,)))
+            held[key] = held[key] + new if key in held else new
+        if sum(v.nbytes for v in held.values()) > HELD_BYTES:
+            yield rows()
+            held = {}
+    if held:
+        yield rows()
+
+
+def _added(table: pa.Table, keys: list[str]) -> pa.Table:
+    """The sums of one key, added up."""
+    total = sum(np.frombuffer(v.as_buffer(), np.float64) for v in table.column("sums"))
+    return table.select(keys).slice(0, 1).append_column("sums", pa.array([total.tobytes()], pa.binary()))
+
+
+def _fitted(table: pa.Table, keys: list[str], n_components: int) -> pa.Table:
+    """Means and rotations from the sums of one key: centred features times a rotation give a component's scores."""
+    sums = np.frombuffer(table.column("sums")[0].as_buffer(), np.float64)
+    size = int(round(np.sqrt(len(sums) - 1))) - 1
+    n, sy, sx, xy, xx = sums[0], sums[1], sums[2 : 2 + size], sums[2 + size : 2 + 2 * size], sums[2 + 2 * size :].reshape(size, size)
+    mean = sx / n
+    xy, xx = xy - mean * sy, xx - n * np.outer(mean, mean)
+    rotations, loadings, left = [], [], xy.copy()
+    for _ in range(n_components):
+        norm = np.linalg.norm(left)
+        rotation = left / norm if norm else left.copy()
+        for r, p in zip(rotations, loadings, strict=True):
+            rotation = rotation - (p @ rotation) * r
+        spread = rotation @ xx @ rotation
+        loading = xx @ rotation / spread if spread > 0 else np.zeros(size)
+        left = left - loading * (rotation @ xy)
+        rotations.append(rotation)
+        loadings.append(loading)
+    return table.select(keys).append_column("mean", pa.array([mean])).append_column("rotations", pa.array([np.concatenate(rotations)]))

@@ -36,4 +36,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from lociq.queries import analysis, configs, features, folds, learning, loci, metrics  # noqa: F401
+    from lociq.queries import analysis, configs, features, folds, learning, loci, metrics, sources  # noqa: F401

@@ -149,6 +149,15 @@ def _(spark, folder):
     return Q.feature_quality(df)
 
 
+@query(
+    "feature_quality_matrix",
+    """SELECT 'p_partkey' AS feature, 0::BIGINT AS nan_count, 0::BIGINT AS null_count, count(DISTINCT p_partkey) AS levels, count(DISTINCT p_partkey) <= 64 AS ok FROM part
+    UNION ALL SELECT 'p_size', 0, 0, count(DISTINCT p_size), count(DISTINCT p_size) <= 64 FROM part""",
+)
+def _(spark, folder):
+    return Q.feature_quality(table(spark, folder, "part").select("p_partkey", "p_size"), matrix=True)
+
+
 @query(
     "missing_values",
     f"WITH {LABELLED} SELECT count(*) FILTER (quality IS NULL) + count(*) FILTER (toxic IS NULL) AS missing, count(quality) = count(*) AS ok FROM lab",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lociq.operators.quality import union_coordinates
@@ -50,6 +51,11 @@ def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def read_results(spark: SparkSession, base: str) -> DataFrame:
+    """All results under ``base``, with label, seed and set type from their paths."""
+    return spark.read.option("basePath", base).parquet(base)
+
+
 def result_path(base: str, label: str, seed: int) -> str:
     return f"{base}/label={label}/seed={seed}"
 
@@ -65,11 +71,17 @@ def write_results(df: DataFrame, base: str, label: str, seed: int, by: Sequence[
 _BARE = {"sep": "\t", "header": True, "quote": "", "emptyValue": "", "nullValue": "NA", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+def _bare(df: DataFrame) -> DataFrame:
+    """The table, or an error at the first text that a bare field cannot hold."""
+    refused = lambda c: F.raise_error(F.concat(F.lit(f"a tab or line break in column {c}: "), F.col(c))).cast("string")
+    return df.withColumns({c: F.when(F.col(c).rlike("[\\t\\r\\n]"), refused(c)).otherwise(F.col(c)) for c, t in df.dtypes if t == "string"})
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
-    """Tab-separated text with a header, nothing quoted, missing values as NA."""
-    df.write.mode("overwrite").options(**_BARE).csv(path)
+    """Tab-separated text with a header, nothing quoted, missing values as NA; a text with a tab or line break is an error."""
+    _bare(df).write.mode("overwrite").options(**_BARE).csv(path)
 
 
 def write_importance(df: DataFrame, path: str, by: Sequence[str] = ("set_type", "config_name")) -> None:
     """Feature importance as tab-separated text, one folder per set type and configuration."""
-    df.write.mode("overwrite").partitionBy(*by).options(**_BARE).csv(path)
+    _bare(df).write.mode("overwrite").partitionBy(*by).options(**_BARE).csv(path)

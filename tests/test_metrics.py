@@ -145,6 +145,15 @@ def test_missing_values_are_counted_and_block_the_t_test(spark):
     assert A.with_p_value(A.paired_t(long, best)).first()["pvalue"] is None
 
 
+def test_a_fold_without_a_partner_blocks_the_t_test(spark):
+    best = spark.createDataFrame([(1,)], "config_id int")
+    full = [(c, 1, f, "test_aupvr", 0.3 + f / 10 + c / 100 * f) for c in (1, 2, 3) for f in range(1, 5)]
+    for drop in ((1, 1, 2), (2, 1, 2)):
+        long = long_rows(spark, [r for r in full if r[:3] != drop])
+        t = {r["config_id"]: r["t"] for r in A.paired_t(long, best).collect()}
+        assert t[2] is None and (t[3] is None) == (drop[0] == 1)
+
+
 def test_first_configuration_wins_a_tie(spark):
     rows = [(c, 1, 1, "test_aupvr", 0.5) for c in (3, 1, 2)]
     long = long_rows(spark, rows).withColumnRenamed("config_id", "hp_no").withColumn("method", F.lit("m"))

@@ -79,6 +79,19 @@ def test_tsv_is_plain(spark, tmp_path):
     assert lines(tmp_path / "i" / "set_type=XGB" / "config_name=main") == ["feature\tgain", "3\t0.5"]
 
 
+def test_a_tab_in_a_text_is_refused(spark, tmp_path):
+    for text in ("a\tb", "a\nb", "a\rb"):
+        with pytest.raises(Exception, match="a tab or line break in column hp"):
+            IO.write_tsv(spark.createDataFrame([(1, text)], "id int, hp string"), str(tmp_path / "t"))
+
+
+def test_values_of_all_columns_in_one_pass(spark):
+    df = spark.createDataFrame([("x,y", "a", 1), ("y,,z", None, 2), (None, "", 3)], "tokens string, kind string, n int")
+    assert E.categories(df, {"tokens": ",", "kind": None}) == {"tokens": ["x", "y", "z"], "kind": ["", "a"]}
+    many = spark.range(12_000).select(F.col("id").alias("case_id"), F.lit(0).alias("label"), F.col("id").cast("string").alias("kind"))
+    assert len(E.categories(many, {"kind": None})["kind"]) == 12_000
+
+
 def test_binary_encoding_of_token_lists(spark):
     df = spark.createDataFrame([(1, "ARID3A,ATF1,ATF2"), (2, "ARID3A"), (3, None)], "case_id int, tf string")
     out = E.binary_encode(df, "tf", ",", "tf_", integrate=True).orderBy("case_id")
