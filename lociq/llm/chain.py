@@ -180,8 +180,8 @@ def learn_chain(sample: DataFrame, categories: list[str]) -> tuple[np.ndarray, l
     return np.frombuffer(made["words"], np.uint64), [np.frombuffer(w, np.float64) for w in made["chain"]]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_column: str = "doc_id", text_column: str = "text", limit: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` with a probability ``p_<category>`` for each category, in the chain's order.
+def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_column: str = "doc_id", text_column: str = "text", limit: int = MAX_LABELLED, prefix: str = "p_") -> DataFrame:
+    """``docs`` with a probability ``p_<category>`` (or another ``prefix``) for each category, in the chain's order; columns of these names are replaced.
 
     ``categories``: name and SQL condition over the label table, from which the chain
     learns; rows whose condition or id is null are not learned from, and of
@@ -189,13 +189,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_
     probability of a text without words. Repeated rows and null ids come through as they are.
     """
     names = list(categories)
+    new = [f"{prefix}{n}" for n in names]
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in {n.lower() for n in new}])
     marks = labels.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(*[F.max(F.expr(f"cast({sql} AS int)")).alias(n) for n, sql in categories.items()]).dropna(subset=names)
     texts = docs.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     # The ids are drawn first, so that only the texts of the sample move.
     drawn = texts.select("id").join(marks, "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(limit)
     words, chain = learn_chain(texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]), names)
     sent = docs.sparkSession.sparkContext.broadcast((words, chain))
-    added = pa.schema([(f"p_{n}", pa.float64()) for n in names])
+    added = pa.schema([(n, pa.float64()) for n in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chain = sent.value

@@ -21,7 +21,6 @@ from lociq.session import cut_lineage
 FEATURES = ["n_words", "symbol_pct", "dup_line_pct", "repeat_pct", "distinct_pct", "mean_word_chars_pct"]
 #: Grid lines per doubling of a feature.
 STEPS = 8
-MAX_RULES, MAX_CONDITIONS = 8, 3
 MIN_PRECISION, MIN_COVERED = 0.9, 5
 
 _SPACE = "' \\t\\n\\u000B\\f\\r'"
@@ -125,13 +124,20 @@ def best_condition(counts: dict[str, dict[int, tuple[int, int]]], used: tuple[Co
 
 
 def learn(labelled: DataFrame) -> list[Rule]:
-    """Rules for rows with ``rejected`` from a table (part, rejected, features); part < 2 grows, 2 prunes. A table without rejected rows gives none."""
+    """Rules for rows with ``rejected`` from a table (part, rejected, features); part < 2 grows, 2 prunes. A table without rejected rows gives none.
+
+    Conditions are added as long as one gains. What a rule covers that fails pruning is set aside, and covering goes
+    on until a rule covers fewer than ``MIN_COVERED`` rejected rows where it grew.
+    """
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES:
+    aside: list[str] = []
+    while True:
         left = labelled.where(" AND ".join(f"NOT ({r.sql()})" for r in rules)) if rules else labelled
+        growing = left.where("part < 2")
+        growing = growing.where(" AND ".join(f"NOT ({a})" for a in aside)) if aside else growing
         conditions: tuple[Condition, ...] = ()
-        while len(conditions) < MAX_CONDITIONS:
-            grown = left.where("part < 2")
+        while True:
+            grown = growing
             grown = grown.where(" AND ".join(c.sql() for c in conditions)) if conditions else grown
             cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.expr(_cell(f)).alias("cell")) for f in FEATURES]))
             found = grown.select("rejected", cells.alias("x")).groupBy("x.feature", "x.cell").agg(F.sum(F.col("rejected").cast("long")).alias("p"), F.sum((~F.col("rejected")).cast("long")).alias("n"))
@@ -142,7 +148,8 @@ def learn(labelled: DataFrame) -> list[Rule]:
             if best is None:
                 break
             conditions = (*conditions, best[1])
-        if not conditions:
+        whole = " AND ".join(c.sql() for c in conditions)
+        if not conditions or growing.where(whole).where("rejected").limit(MIN_COVERED).count() < MIN_COVERED:
             break
         heads = [" AND ".join(c.sql() for c in conditions[: k + 1]) for k in range(len(conditions))]
         sums = [F.sum(F.expr(f"cast({h} AND {'NOT ' * (not hit)}rejected AS bigint)")).alias(f"c{k}_{int(hit)}") for k, h in enumerate(heads) for hit in (True, False)]
@@ -150,7 +157,8 @@ def learn(labelled: DataFrame) -> list[Rule]:
         scored = [(tested[f"c{k}_1"] or 0, tested[f"c{k}_0"] or 0, k) for k in range(len(heads))]
         p, n, k = max(scored, key=lambda x: ((x[0] - x[1]) / (x[0] + x[1]) if x[0] + x[1] else -2, -x[2]))
         if p < MIN_COVERED or p < MIN_PRECISION * (p + n):
-            break
+            aside.append(whole)
+            continue
         rules.append(Rule(conditions[: k + 1], p, n))
     return rules
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.components import components
-from lociq.llm.text import SPACED, mix, slices, windows, words_of
+from lociq.llm.text import SPACED, mix, release, slices, unused, windows, words_of
 from lociq.session import cut_lineage
 
 POSTED, WIDTH, VALUES = 20, 3, 64
@@ -221,9 +221,12 @@ def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None)
                         group[one] = two
                         links.append((ids[i], ids[j]))
         if sets is None:
-            yield from table.filter(pa.array(wanted)).to_batches()
+            # Only the rows that go on are copied; a slice of them at a time is handed on.
+            yield from table.take(pa.array(np.flatnonzero(wanted))).to_batches(max_chunksize=1000)
         else:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        del table, lanes, values, sets
+        release()
 
 
 def _pairs(first: np.ndarray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -284,9 +287,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number ``_row``, from a table that doesn't change between its readers."""
-    return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number, from a table that doesn't change between its readers, and the name of that column, which the table had not."""
+    name = unused(docs.columns, "_row")
+    return cut_lineage(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
@@ -294,8 +298,9 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Rows without words (empty, null) are copies of nothing and all stay.
     """
-    rows = numbered(docs)
-    found = near_duplicates(rows, "_row", text_column, size, percent)
-    named = found.select("_row", "component_id").join(rows.select("_row", F.col(id_column).alias("id")), "_row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row"))["_row"].alias("_row"))
-    return rows.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)
+    rows, number = numbered(docs)
+    plain = rows.select(F.col(number).alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    found = near_duplicates(plain, "row", "text", size, percent)
+    named = found.select("row", "component_id").join(plain.select("row", "id"), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias(number))
+    return rows.join(first.select(number), number, "left_semi").select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.text import slices
+from lociq.llm.text import slices, unused
 from lociq.llm.tokens import encoder
 from lociq.session import cut_lineage
 
@@ -95,8 +95,11 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_column: str = "length
     """``rows`` with ``sequence_id`` and ``offset``: every row placed whole, without gaps from offset 0.
 
     Lengths must be between 1 and the capacity. Other columns, nulls and repeated
-    rows come through as they are; an empty table stays empty.
+    rows come through as they are; columns named like the two new ones are replaced; an empty table stays empty.
+    Blocks with more than half of their pieces in open bins are not dealt again: their bins can hardly be filled better.
     """
+    rows = rows.select(*[c for c in rows.columns if c.lower() not in ("sequence_id", "offset")])
+    is_open, dealt_at, block_of = (unused(rows.columns, n) for n in ("_open", "_dealt", "_block"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     names = rows.columns
     rows, done, turn = cut_lineage(rows), None, 0
@@ -106,6 +109,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_column: str = "length
         base = turn << 56  # a function is pickled when it is given to Spark, so each turn has its own
 
         def run(key: tuple, table: pa.Table) -> pa.Table:
+            table = table.sort_by(dealt_at)
             length = table.column(length_column).to_numpy().astype(np.int64)
             if len(length) and not 1 <= length.min() <= length.max() <= capacity:
                 raise ValueError(f"lengths must be from 1 to {capacity}")
@@ -116,18 +120,18 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_column: str = "length
             bins, offsets, gaps = sum_of_squares(length, capacity)
             ids = base + (key[0].as_py() << 20) + bins
             table = table.select(names).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
-            return table.append_column("_open", pa.array(gaps[bins] > 0))
+            return table.append_column(is_open, pa.array(gaps[bins] > 0))
 
         # Rows are checkpointed, so their numbers don't change when a task runs again.
-        dealt = rows.withColumn("_dealt", F.xxhash64(F.monotonically_increasing_id(), F.lit(turn))).withColumn("_block", F.pmod("_dealt", F.lit(blocks)))
-        placed = cut_lineage(dealt.groupBy("_block").applyInArrow(run, f"{kinds}, sequence_id long, offset long, _open boolean"))
-        left = placed.where("_open").count()
+        dealt = rows.withColumn(dealt_at, F.xxhash64(F.monotonically_increasing_id(), F.lit(turn))).withColumn(block_of, F.pmod(dealt_at, F.lit(blocks)))
+        placed = cut_lineage(dealt.groupBy(block_of).applyInArrow(run, f"{kinds}, sequence_id long, offset long, `{is_open}` boolean"))
+        left = placed.where(F.col(is_open)).count()
         if blocks == 1 or 2 * left > n:
-            placed = placed.drop("_open")
+            placed = placed.drop(is_open)
             return placed if done is None else done.unionByName(placed)
-        closed = placed.where("NOT _open").drop("_open")
+        closed = placed.where(~F.col(is_open)).drop(is_open)
         done = closed if done is None else done.unionByName(closed)
-        rows, turn = placed.where("_open").select(*names), turn + 1
+        rows, turn = placed.where(F.col(is_open)).select(*names), turn + 1
 
 
 def sequences(packed: DataFrame) -> DataFrame:

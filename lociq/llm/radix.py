@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.text import INVERSE, buffer, mix, powers, prefix_sums, span_hashes
+from lociq.llm.text import INVERSE, buffer, mix, powers, prefix_sums, release, span_hashes, unused
 from lociq.session import cut_lineage, use_checkpoint_folder
 
 DEPTH = 50
@@ -38,6 +38,8 @@ SIDE = DEPTH - GRAM
 BATCH_BYTES, PART_GRAMS, PART_RECORDS = 2 << 20, 600_000, 50_000
 #: Bytes of text whose fingerprints are made at a time.
 CHUNK = 1 << 18
+#: Buckets of the table of texts at most (Spark refuses more than 100,000); further batches share them.
+MAX_BUCKETS = 20_000
 #: A gram in more batches than this is sorted by whole strings.
 HOT_BATCHES = 512
 
@@ -295,7 +297,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), *(F.col(c).alias(n) for c, n in carried.items()))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     batches = max(1, math.ceil(total / BATCH_BYTES))
-    buckets = max(1, math.ceil(batches / 4))
+    buckets = min(MAX_BUCKETS, max(1, math.ceil(batches / 4)))
     parts = max(1, math.ceil(total * 2 / (SIDE + 2) / PART_GRAMS))
     name = f"radix_{uuid.uuid4().hex}"
     dealt = rows.where("id IS NOT NULL").withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)))
@@ -305,6 +307,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     def send_grams(key: tuple, table: pa.Table) -> pa.Table:
         sent = Batch(table).requests(parts)
+        release()
         return pa.Table.from_pylist([{"batch": key[0].as_py(), **r} for r in sent], pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("grams", pa.binary()), ("several", pa.binary())]))
 
     most = HOT_BATCHES
@@ -319,6 +322,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def send_records(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         batch = Batch(table)
         sent = _ask(batch, *batch.shared(replies), more)
+        release()
         return pa.Table.from_pylist([{"batch": key[0].as_py(), **r} for r in sent], pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("whole", pa.bool_()), ("grams", pa.binary()), ("around", pa.binary()), ("ids", pa.binary())]))
 
     records = texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(send_records, "batch long, part long, whole boolean, grams binary, around binary, ids binary")
@@ -331,7 +335,9 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
         batch = Batch(table)
         step = replies.column("step").to_numpy()
         shared, hot = batch.shared(replies.filter(pa.array(step == 0)))
-        return _result(batch, _repeated(batch, shared, hot, more, replies.filter(pa.array(step == 1))))
+        out = _result(batch, _repeated(batch, shared, hot, more, replies.filter(pa.array(step == 1))))
+        release()
+        return out
 
     kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in carried.items())
     schema = f"id long, {kinds}n_bytes long, spans array<struct<start: long, bytes: long>>, kept binary"
@@ -347,13 +353,15 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     names = docs.columns
     others = [c for c in names if c not in (id_column, text_column)]
-    marked = docs.withColumn("_null", F.col(text_column).isNull())
-    found = repeated_spans(marked, id_column, text_column, [*others, "_null"])
+    inner = [f"in{k}" for k in range(len(names))]
+    empty = unused(names, "_null")
+    # Spans and remaining bytes get names of their own, too.
+    found = repeated_spans(docs.withColumn(empty, F.col(text_column).isNull()).withColumnsRenamed(dict(zip(names, inner, strict=True))), inner[names.index(id_column)], inner[names.index(text_column)], [*(inner[names.index(c)] for c in others), empty])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for kept, spans, null in zip(batch.column("kept"), batch.column("spans").to_pylist(), batch.column("_null").to_pylist(), strict=True):
+            for kept, spans, null in zip(batch.column("kept"), batch.column("spans").to_pylist(), batch.column(empty).to_pylist(), strict=True):
                 raw, at, gone, parts = kept.as_buffer().to_pybytes(), 0, 0, []
                 for span in spans:
                     end = span["start"] - gone
@@ -362,7 +370,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 text = "".join([*parts, raw[at:].decode("utf-8", "ignore")])
                 texts.append(None if null else text if not spans or text.strip() else "")
             keep = pa.array([not s or bool(t) for s, t in zip(batch.column("spans").to_pylist(), texts, strict=True)], pa.bool_())
-            columns = [pa.array(texts, pa.string()) if c == text_column else batch.column(c) for c in names]
+            columns = [pa.array(texts, pa.string()) if c == text_column else batch.column(i) for c, i in zip(names, inner, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
 
     kinds = ", ".join(f"`{f.name}` {'bigint' if f.name == id_column else f.dataType.simpleString()}" for f in docs.schema)
