@@ -16,9 +16,12 @@ SHINGLE, SIMILAR = 5, 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't find toxic."""
-    judged = chain.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), CATEGORIES)
-    return judged.where(F.col("p_toxic") < TOXIC).select(*docs.columns)
+    """Documents that the classifier chain doesn't find toxic. Null ids, null and empty texts and repeated rows are judged like others; without labels, and from an empty table, nothing goes."""
+    prefix = "p_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    judged = chain.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), CATEGORIES, prefix=prefix)
+    return judged.where(F.col(f"{prefix}toxic") < TOXIC).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,21 +30,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that an earlier document has; documents of which nothing is left go."""
+    """Texts without the strings that an earlier document has; documents of which nothing is left go.
+
+    Rows with a null id are compared with nothing, rows with one id don't repeat each other, null texts stay null; an empty table stays empty.
+    """
     left = radix.without_repeats(docs)
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of which less than 5 % is in a window of a benchmark item, each judged by its own text whatever its id."""
-    numbered = minhash.numbered(docs)
-    found = wu_manber.occurrences(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("_row",))
-    gone = wu_manber.contamination(found, carry=("_row",)).where("contaminated").select("_row")
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    rows, number = minhash.numbered(docs)
+    found = wu_manber.occurrences(rows.select("doc_id", "text", F.col(number).alias("row_number")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("row_number",))
+    gone = wu_manber.contamination(found, carry=("row_number",)).where("contaminated").select(F.col("row_number").alias(number))
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of at most ``TOKEN_LIMIT`` tokens."""
+    """Pieces of all documents and their places in sequences of at most ``TOKEN_LIMIT`` tokens. Null and empty texts are a closing token; repeated rows and null ids are packed like others; an empty table gives none."""
     return packing.pack(packing.pieces(docs, WORD_BPE, TOKEN_LIMIT, with_ids=False).drop("ids"), TOKEN_LIMIT)
 
 
