@@ -23,6 +23,7 @@ pair with less.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lociq.llm.components import components
 from lociq.llm.text import SPACED, mix, release, slices, unused, windows, words_of
-from lociq.session import cut_lineage
+from lociq.session import cut_lineage, use_checkpoint_folder
 
 POSTED, WIDTH, VALUES = 20, 3, 64
 #: Probability that a pair at the threshold has fewer equal values than are asked for.
@@ -289,8 +290,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """The rows with a number, from a table that doesn't change between its readers, and the name of that column, which the table had not."""
-    name = unused(docs.columns, "_row")
-    return cut_lineage(docs.withColumn(name, F.monotonically_increasing_id())), name
+    name, spark = unused(docs.columns, "_row"), docs.sparkSession
+    # Compressed columns: texts are most of the table, and its readers need different ones.
+    path = f"{use_checkpoint_folder(spark).rstrip('/')}/numbered-{uuid.uuid4()}"
+    docs.withColumn(name, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path), name
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
