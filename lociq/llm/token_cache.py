@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lociq.llm.text import SLICE, slices
 from lociq.llm.tokens import digest_of, encoder
+from lociq.session import cut_lineage
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -57,13 +58,14 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_column: str = "
     spark, version = docs.sparkSession, digest_of(tokenizer)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("content_digest", content_digest("text", words))
     known = stored(spark, cache).where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
-    # Of each digest one id, and whether several rows have both: only of those must texts move to pick one.
+    # Of each digest one id, and whether several rows have both: only where there are such, texts move once more to pick one.
     pairs = rows.groupBy("content_digest", "id").agg(F.count("*").alias("n"))
     first = pairs.groupBy("content_digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("m"))
-    missing = first.join(known, "content_digest", "left_anti").select(F.col("content_digest").alias("digest"), F.col("m")["id"].alias("wanted"), (F.col("m")["n"] > 1).alias("several"))
-    chosen = rows.join(missing, F.expr("content_digest = digest AND id <=> wanted")).select("content_digest", "text", "several")
-    once = chosen.where("several").groupBy("content_digest").agg(F.first("text").alias("text"))
-    chosen = chosen.where("NOT several").select("content_digest", "text").unionByName(once)
+    missing = cut_lineage(first.join(known, "content_digest", "left_anti").select(F.col("content_digest").alias("digest"), F.col("m")["id"].alias("wanted"), (F.col("m")["n"] > 1).alias("several")))
+    pick = lambda some: rows.join(missing.where(some), F.expr("content_digest = digest AND id <=> wanted"), "left_semi").select("content_digest", "text")
+    chosen = pick("NOT several")
+    if not missing.where("several").isEmpty():
+        chosen = chosen.unionByName(pick("several").groupBy("content_digest").agg(F.first("text").alias("text")))
     counted(chosen, tokenizer, words).dropDuplicates(["content_digest"]).withColumn("tokenizer_digest", F.lit(version)).select("content_digest", "tokenizer_digest", "n_tokens").write.mode("append").parquet(cache)
     # Runs that raced may have stored a digest twice, with one count.
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.first("n_tokens").alias("n_tokens"))
