@@ -3,7 +3,8 @@
 A word's probability is the sum, over all ways to cut it into pieces of an existing
 vocabulary (single bytes always among them), of the product of the pieces'
 probabilities: a forward recursion in log space, for many words of one length at
-once. The vocabulary's own scores give the first weights; expectation-maximisation on the
+once, and strip by strip for a word too long for that, of which only the pieces that
+occur in it and one number a byte are held. The vocabulary's own scores give the first weights; expectation-maximisation on the
 training words refines them. A text is its words, each with a word mark in
 front, and one end; its probability is their product.
 
@@ -13,6 +14,8 @@ their number) are sent to all tasks, the others are joined, and are too rare to
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.text import SPACED, buffer, mix, prefix_sums, slices, span_hashes, words_of
+from lociq.llm.text import SPACED, buffer, lengths, mix, prefix_sums, slices, span_hashes, words_of
 from lociq.session import cut_lineage
 
 #: At most so many words are sent to all tasks: those with a share of the tokens of at least one in this number.
@@ -29,8 +32,10 @@ ROUNDS = 2
 #: Weight of the vocabulary's own scores against the corpus, in pieces.
 PRIOR = 1000.0
 MARK = "▁".encode()
-#: Distinct words that a task gathers before it sends their counts.
-GATHERED = 400_000
+#: Distinct words, and their bytes, that a task gathers before it sends their counts.
+GATHERED, GATHERED_BYTES = 400_000, 64 << 20
+#: Places (byte, length of a piece) of the words of a block; a word with more goes by strips of so many bytes.
+CELLS, STRIP = 1_000_000, 4096
 SMOOTH = 0.1
 
 
@@ -74,15 +79,22 @@ class Pieces:
         return out
 
 
-def lattices(words: pa.Array, pieces: Pieces, cells: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of words of one length: their rows, and the piece that ends at byte j + 1 and has k + 1 bytes, as (word, j, k)."""
-    marked = pa.array([MARK + w for w in words.to_pylist()], pa.binary())
+def is_long(words: pa.Array, pieces: Pieces, cells: int) -> np.ndarray:
+    """Whether a word has more places than a block may have."""
+    n = lengths(words) + len(MARK)
+    return n * np.minimum(n, pieces.longest) > cells
+
+
+def lattices(words: pa.Array, pieces: Pieces, cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of words of one length: their rows, and the piece that ends at byte j + 1 and has k + 1 bytes, as (word, j, k). Without the long words."""
+    short = np.flatnonzero(~is_long(words, pieces, cells))
+    marked = pa.array([MARK + w for w in words.take(pa.array(short)).to_pylist()], pa.binary())
     codes, bounds = buffer(marked)
     sums = prefix_sums(codes)
     length = np.diff(bounds)
     order = np.argsort(length, kind="stable")
     cut = np.flatnonzero(np.diff(length[order], prepend=-1))
-    for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+    for a, b in zip(cut, np.append(cut[1:], len(order))[: len(cut)], strict=True):
         n = int(length[order[a]])
         wide = min(n, pieces.longest)
         step = max(1, cells // (n * wide))
@@ -94,7 +106,53 @@ def lattices(words: pa.Array, pieces: Pieces, cells: int = 1_000_000) -> Iterato
             begin = bounds[rows][:, None] + start[ok][None, :]
             end = bounds[rows][:, None] + (np.broadcast_to(np.arange(n)[:, None], start.shape)[ok] + 1)[None, :]
             arcs[:, ok] = pieces.find(span_hashes(sums, begin.ravel(), end.ravel())).reshape(len(rows), -1)
-            yield rows, arcs
+            yield short[rows], arcs
+
+
+class LongWord:
+    """The lattice of one word, made anew for each strip of end positions."""
+
+    def __init__(self, word: bytes, pieces: Pieces, strip: int = STRIP):
+        self.sums, self.pieces, self.strip = prefix_sums(np.frombuffer(MARK + word, np.uint8)), pieces, strip
+        self.n = len(self.sums) - 1
+
+    def strips(self) -> range:
+        """Where the strips begin."""
+        return range(0, self.n, self.strip)
+
+    def arcs(self, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, piece) of the pieces that end in the strip at ``at``, by end."""
+        end = np.arange(at + 1, min(at + self.strip, self.n) + 1)[:, None]
+        begin = end - 1 - np.arange(self.pieces.longest)
+        inside = begin >= 0
+        begin, end = begin[inside], np.broadcast_to(end, inside.shape)[inside]
+        piece = self.pieces.find(span_hashes(self.sums, begin, end))
+        some = piece < self.pieces.count
+        return begin[some], end[some], piece[some]
+
+    def walk(self, logs: np.ndarray, back: bool = False) -> np.ndarray:
+        """Log weights of all prefixes, or ``back`` of all suffixes, by byte."""
+        out = array("d", [-math.inf]) * (self.n + 1)
+        out[self.n if back else 0] = 0.0
+        exp, log1p, none = math.exp, math.log1p, -math.inf
+        for at in reversed(self.strips()) if back else self.strips():
+            begin, end, piece = self.arcs(at)
+            # Backwards, all pieces that begin at a byte come before those that end there.
+            come, go, cost = (x[::-1] if back else x for x in ((end if back else begin), (begin if back else end), logs[piece]))
+            for i, j, w in zip(come.tolist(), go.tolist(), cost.tolist(), strict=True):
+                low, high = out[i] + w, out[j]
+                if low > high:
+                    low, high = high, low
+                if low > none:
+                    high += log1p(exp(low - high))
+                out[j] = high
+        return np.frombuffer(out)
+
+
+def long_words(words: pa.Array, pieces: Pieces, cells: int = CELLS) -> Iterator[tuple[int, LongWord]]:
+    """The rows and lattices of the words that are too long for a block."""
+    for row in np.flatnonzero(is_long(words, pieces, cells)).tolist():
+        yield row, LongWord(words[row].as_py(), pieces)
 
 
 def forward(arcs: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -124,23 +182,30 @@ def _sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - np.where(np.isfinite(top), top, 0.0)[:, None]).sum(axis=1))
 
 
-def expected(words: pa.Array, weights: np.ndarray, pieces: Pieces, logs: np.ndarray) -> np.ndarray:
+def expected(words: pa.Array, weights: np.ndarray, pieces: Pieces, logs: np.ndarray, cells: int = CELLS) -> np.ndarray:
     """Expected number of each piece in all segmentations of the words."""
     out = np.zeros(pieces.count + 1)
-    for rows, arcs in lattices(words, pieces):
+    for rows, arcs in lattices(words, pieces, cells):
         left, right = forward(arcs, logs), backward(arcs, logs)
         many, n, wide = arcs.shape
         begin = np.maximum(np.arange(n)[:, None] - np.arange(wide)[None, :], 0)
         share = np.exp(left[:, begin] + logs[arcs] + right[:, 1:, None] - left[:, n][:, None, None]) * weights[rows][:, None, None]
         out += np.bincount(arcs.ravel(), share.ravel(), pieces.count + 1)
+    for row, word in long_words(words, pieces, cells):
+        left, right = word.walk(logs), word.walk(logs, back=True)
+        for at in word.strips():
+            begin, end, piece = word.arcs(at)
+            out += np.bincount(piece, np.exp(left[begin] + logs[piece] + right[end] - left[-1]) * weights[row], pieces.count + 1)
     return out[:-1]
 
 
-def log_probabilities(words: pa.Array, pieces: Pieces, logs: np.ndarray) -> np.ndarray:
+def log_probabilities(words: pa.Array, pieces: Pieces, logs: np.ndarray, cells: int = CELLS) -> np.ndarray:
     """log10 of each word's marginal probability."""
     out = np.zeros(len(words))
-    for rows, arcs in lattices(words, pieces):
+    for rows, arcs in lattices(words, pieces, cells):
         out[rows] = forward(arcs, logs)[:, -1] / np.log(10)
+    for row, word in long_words(words, pieces, cells):
+        out[row] = word.walk(logs)[-1] / np.log(10)
     return out
 
 
@@ -149,6 +214,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
         for batch in batches:
             for part in slices(batch, "text"):
                 words = words_of(part.column("text"), SPACED)
@@ -159,10 +225,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 raw = words.codes.tobytes()
                 spelt = np.array([raw[s:e] for s, e in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)], object)
                 held.append((key, spelt, np.bincount(of, train, len(key)).astype(np.int64), np.bincount(of, minlength=len(key))))
-                if len(held) > 1 and sum(len(h[0]) for h in held) > GATHERED:
+                size += sum(map(len, spelt))
+                if sum(len(h[0]) for h in held) > GATHERED or size > GATHERED_BYTES:
                     held = [_merged(held)]
-                    if len(held[0][0]) > GATHERED // 2:
+                    size = sum(map(len, held[0][1]))
+                    if len(held[0][0]) > GATHERED // 2 or size > GATHERED_BYTES // 2:
                         yield _counts(held.pop())
+                        size = 0
         if held:
             yield _counts(_merged(held))
 
@@ -215,7 +284,7 @@ def lattice_scores(docs: DataFrame, model: str, id_column: str = "doc_id", text_
     counts as an empty text, so it is held out). Words are lower-cased (A-Z) runs
     without white space; an empty or null text is one end. ``score`` is the log10 of the lattice
     probability of the words and the end, ``base_score`` that of smoothed word
-    counts. Without any training rows the vocabulary's own scores and empty counts are used. Repeated rows count and are scored each.
+    counts. A word may be of any length: memory grows by a few numbers for each of its bytes. Without any training rows the vocabulary's own scores and empty counts are used. Repeated rows count and are scored each.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
