@@ -3,15 +3,17 @@
 Test strings are the 13-word windows of the benchmark items (a shorter item is one
 string). Strings of one length are searched together: a table over blocks of two
 words says how far the search may jump, a bucket by the hash of a string's last words
-selects what to compare, and the words themselves are compared. All texts
-of a slice are searched side by side, each from its own place, in numpy.
+and then the hash of all its words select what to compare, and the words themselves are compared.
+All texts of a slice are searched side by side, each from its own place, in numpy.
 
 Benchmarks are cut into parts of bounded size; each part is sent to all tasks and
-the documents are read once for each part.
+the documents are read once for each part. A string is the place of its first word in the
+part, so the tables take some hundred bytes a word, and a worker makes them once for all its tasks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.text import ALNUM, mix, slices, words_of
+from lociq.llm.text import ALNUM, Words, mix, slices, words_of
 from lociq.session import cut_lineage
 
 WINDOW = 13
@@ -32,29 +34,47 @@ _LANE = 4096
 
 
 class Search:
-    """Tables of all test strings of one length (in words) over word fingerprints."""
-
-    def __init__(self, strings: dict[bytes, set[int]], hashes: dict[bytes, np.ndarray]):
-        self.strings = list(strings)
-        self.items = [sorted(strings[s]) for s in self.strings]
-        codes = np.stack([hashes[s] for s in self.strings])
-        self.length = codes.shape[1]
-        self.block = min(2, self.length)
-        last = self.length - self.block
+    """Tables of all test strings of one length (in words) among the words of a part: ``at`` their first words, ``number`` their items."""
+
+    def __init__(self, words: Words, raw: bytes, length: int, at: np.ndarray, number: np.ndarray):
+        self.words, self.raw, self.length = words, raw, length
+        self.block = min(2, length)
+        last = length - self.block
+        # Equal strings are one, with all their items.
+        self.whole, first, of = np.unique(self.hashes(words.hash, at), return_index=True, return_inverse=True)
+        self.at = at[first]
+        again = np.ones(len(at), bool)
+        again[first] = False
+        for place, same in zip(at[again].tolist(), of[again].tolist(), strict=True):
+            if spelt(words, raw, place, length) != self.string(same):
+                raise ValueError("two test strings have one fingerprint")
+        order = np.argsort(of, kind="stable")
+        self.number, self.owner = number[order], np.searchsorted(of[order], np.arange(len(first) + 1))
         self.shift = np.full(1 << _BITS, last + 1, np.int64)
-        for at in range(last + 1):
-            np.minimum.at(self.shift, self.slot(codes, np.full(len(codes), at)), last - at)
-        self.buckets = defaultdict(list)
-        for n, key in enumerate(self.suffix(codes, np.full(len(codes), last)).tolist()):
-            self.buckets[key].append(n)
-        self.known = np.sort(np.array(list(self.buckets), np.uint64))
+        for k in range(last + 1):  # later blocks allow less
+            self.shift[self.slot(words.hash, self.at + k)] = last - k
+        self.known = np.unique(self.suffix(words.hash, self.at + last))
+
+    def string(self, n: int) -> bytes:
+        """A test string."""
+        return spelt(self.words, self.raw, int(self.at[n]), self.length)
+
+    def items(self, n: int) -> list[int]:
+        """The items of a test string."""
+        return sorted(set(self.number[self.owner[n] : self.owner[n + 1]].tolist()))
+
+    def hashes(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hash of the words of a string at each place."""
+        key = np.full(len(at), self.length, np.uint64)
+        for k in range(self.length):
+            key = mix(key) + codes[at + k]
+        return mix(key)
 
     def suffix(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Hash of the block at each place; ``codes`` is one row of words or one row for each place."""
-        pick = (lambda k: codes[at + k]) if codes.ndim == 1 else (lambda k: codes[np.arange(len(codes)), at + k])
-        key = pick(0).copy()
+        """Hash of the block of words at each place."""
+        key = codes[at]
         for k in range(1, self.block):
-            key = mix(key) + pick(k)
+            key = mix(key) + codes[at + k]
         return key
 
     def slot(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -81,20 +101,35 @@ class Search:
         return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
+def spelt(words: Words, raw: bytes, at: int, many: int) -> bytes:
+    """Some words from a place on, with a space between them."""
+    return b" ".join(raw[s:e] for s, e in zip(words.start[at : at + many].tolist(), words.end[at : at + many].tolist(), strict=True))
+
+
 def compile_strings(items: list[tuple[int, str | None]], size: int = WINDOW) -> list[Search]:
     """Search tables of (item number, text), by length. Items without words have no strings."""
-    by_length: dict[int, dict[bytes, set[int]]] = defaultdict(lambda: defaultdict(set))
-    hashes = {}
     words = words_of(pa.array([t for _, t in items], pa.string()), ALNUM)
-    raw = words.codes.tobytes()
-    for n, (number, _) in enumerate(items):
-        a, b = words.first[n], words.first[n + 1]
-        length = min(size, b - a)
-        for at in range(a, b - length + 1) if length else ():
-            string = b" ".join(raw[words.start[k] : words.end[k]] for k in range(at, at + length))
-            by_length[length][string].add(number)
-            hashes[string] = words.hash[at : at + length]
-    return [Search(strings, hashes) for _, strings in sorted(by_length.items())]
+    raw, numbers, count = words.codes.tobytes(), np.array([n for n, _ in items], np.int64), np.diff(words.first)
+    length, out = np.minimum(count, size), []
+    for n in np.unique(length[length > 0]).tolist():
+        mine = np.flatnonzero(length == n)
+        many = count[mine] - n + 1
+        before = np.cumsum(many) - many
+        at = np.repeat(words.first[mine] - before, many) + np.arange(many.sum())
+        out.append(Search(words, raw, n, at, np.repeat(numbers[mine], many)))
+    return out
+
+
+#: The tables a worker made last, and the name of their part.
+_latest: list[tuple[str, list[Search]]] = []
+
+
+def compiled(name: str, items: list[tuple[int, str]], size: int) -> list[Search]:
+    """Search tables of a part, made once in a worker; those of the part before are let go first."""
+    if not _latest or _latest[0][0] != name:
+        _latest.clear()
+        _latest.append((name, compile_strings(items, size)))
+    return _latest[0][1]
 
 
 def find(column: pa.Array, searches: list[Search]) -> tuple[np.ndarray, list[tuple[int, int, int, list[int]]]]:
@@ -102,15 +137,15 @@ def find(column: pa.Array, searches: list[Search]) -> tuple[np.ndarray, list[tup
     words = words_of(column, ALNUM)
     raw, found = None, []
     for search in searches:
-        for at in search.candidates(words.hash, words.first).tolist():
+        at = search.candidates(words.hash, words.first)
+        whole = search.hashes(words.hash, at)
+        near = np.minimum(np.searchsorted(search.whole, whole), len(search.whole) - 1)
+        same = search.whole[near] == whole
+        for place, n in zip(at[same].tolist(), near[same].tolist(), strict=True):
             raw = words.codes.tobytes() if raw is None else raw
-            end = at + search.length
-            string = b" ".join(raw[s:e] for s, e in zip(words.start[at:end].tolist(), words.end[at:end].tolist(), strict=True))
-            key = int(search.suffix(words.hash, np.array([end - search.block]))[0])
-            for n in search.buckets.get(key, ()):
-                if search.strings[n] == string:
-                    row = int(np.searchsorted(words.first, at, "right") - 1)
-                    found.append((row, at - int(words.first[row]), search.length, search.items[n]))
+            if spelt(words, raw, place, search.length) == search.string(n):
+                row = int(np.searchsorted(words.first, place, "right") - 1)
+                found.append((row, place - int(words.first[row]), search.length, search.items(n)))
     return np.diff(words.first), found
 
 
@@ -143,10 +178,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id"
     texts = cut_lineage(texts.withColumn("row", F.monotonically_increasing_id())) if several else texts.withColumn("row", F.lit(0).cast("long"))
     found = None
     for part in parts_of(items, limit):
-        sent = docs.sparkSession.sparkContext.broadcast(part)
+        sent, name = docs.sparkSession.sparkContext.broadcast(part), str(uuid.uuid4())
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            searches = compile_strings(sent.value, size)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            searches = compiled(name, sent.value, size)
             for batch in batches:
                 for part in slices(batch, "text"):
                     n, hits = find(part.column("text"), searches)
