@@ -14,8 +14,8 @@ from lociq.session import use_checkpoint_folder
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 2048
-#: Toxicity categories in the order of the chain, as conditions over the labels.
-CATEGORIES = {"toxic": "toxic = 1", "toxic_junk": "toxic = 1 AND quality = 0"}
+#: Categories in the order of the chain, as conditions over the labels. The verdict is that of the last, whose model sees the probability of the other.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 TOXIC = 0.5
 
 

@@ -19,7 +19,7 @@ def prose(seed, n):
     return " ".join(rng.choice(["the", "of", "Éa", "ranhe", "tion,", "thed", "über", "er"]) + rng.choice(["", "x", "yz"]) for _ in range(n))
 
 
-CLASHES = ["_row", "_ROW_", "_null", "p_toxic", "p_toxic_junk", "offset", "sequence_id", "_open", "_dealt", "_block", "kept", "spans", "row", "id", "component_id", "batch"]
+CLASHES = ["_row", "_ROW_", "_null", "p_toxic", "p_toxic_junk", "p_low_quality", "offset", "sequence_id", "_open", "_dealt", "_block", "kept", "spans", "row", "id", "component_id", "batch"]
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +47,8 @@ def test_stages_keep_columns_of_any_name(spark, clashing, tmp_path):
 def test_probabilities_replace_columns_of_their_names(spark, clashing):
     labels = spark.createDataFrame([(0, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
     found = chain.toxicity(clashing, labels, CATEGORIES)
-    assert found.schema["p_toxic"].dataType.typeName() == "double" and len(found.columns) == len(clashing.columns) and found.count() == 7
+    assert found.schema["p_toxic"].dataType.typeName() == found.schema["p_low_quality"].dataType.typeName() == "double"
+    assert len(found.columns) == len(clashing.columns) and found.count() == 7
 
 
 def test_each_digest_is_encoded_once(spark, monkeypatch, tmp_path):

@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from lociq.llm import lattice, wu_manber
+from lociq.llm import chain, lattice, wu_manber
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -107,3 +107,20 @@ def test_large_benchmarks_compile_in_bounded_time_and_memory():
     for row, first, many, numbers in hits:
         window = " ".join(text.split()[first : first + many])
         assert numbers == [n for n, t in items if f" {window} " in f" {t} " and (many == 13 or len(t.split()) == many)]
+
+
+def test_later_links_read_earlier_ones():
+    """The last category is told by the first alone: without the link before it, its words are too weak."""
+    rng = np.random.default_rng(3)
+    rows, truth = 600, rng.random(600) < 0.4
+    signs = [(r, c) for r in range(rows) for c in range(30) if rng.random() < (0.5 if truth[r] else 0.2)]
+    x = chain.Sparse(np.array([r for r, _ in signs], np.int32), np.array([c for _, c in signs], np.int32), np.ones(len(signs), np.float32), rows, 30, np.zeros((rows, 0)))
+    labels = np.column_stack([truth, truth]).astype(float)
+    links = chain.fit_chain(x, labels, np.arange(rows) % chain.FOLDS)
+    # One more weight for the link before, and a positive one; scoring feeds it that probability.
+    assert len(links[1]) == len(links[0]) + 1
+    p = chain.chain_probabilities(x, links)
+    without = [links[0], np.where(np.arange(len(links[1])) == 30, 0.0, links[1])]
+    changed = chain.chain_probabilities(x, without)
+    assert np.allclose(p[:, 0], changed[:, 0]) and np.abs(p[:, 1] - changed[:, 1]).max() > 0.05
+    assert ((p[:, 1] >= 0.5) == truth).mean() > 0.85
