@@ -1,23 +1,25 @@
 """Near-duplicates by an inverted join of MinHash coordinates, confirmed on full shingle sets.
 
-A document's signature has ``VALUES`` MinHash values. It is posted under ``POSTED``
-coordinates, each the combined value of ``WIDTH`` of them, a prefix that documents
-whose signatures agree in enough places must share a value of. Two passes use
-the posting lists and neither writes out the pairs inside a group:
+A signature has ``VALUES`` coordinates, and a posting list is the documents with one value in one
+coordinate. Coordinate-value pairs are ordered from rare to frequent over all documents. Two
+signatures with at least T equal values must share one of the first ``VALUES`` - T + 1 of each in
+that order, so only this prefix is posted: what a template gives to many pages is at the end
+of the order and mostly not posted, and lists of one document are not written. Two passes merge
+the lists and neither writes out the pairs inside a group:
 
 1. Star: every member of a list is matched with the smallest id of its list.
    Those confirmed form groups, whatever their size, from one pair a member and list.
-2. Rest: lists whose members already are one group are skipped. In the others,
-   members of different groups are matched when their sizes allow it and enough
-   signature values collide, each pair in the first list it shares by its posting
-   keys, which only members with a candidate carry. Lists are
+2. Rest: lists whose members already are one group are skipped. In the others, members of
+   different groups are matched, never those of one group, so a large group beside a few others
+   costs what the others number. Collisions are counted a quarter of the signature at a time
+   and pairs that can't reach T any more, or whose sizes don't allow the similarity, are skipped;
+   the others are kept in the first list they share. Lists are
    cut into tiles of bounded size, whose pairs are counted, confirmed and united
    inside a task, so a tile gives fewer links than it has members.
 
-Both keep pairs with enough equal values (``matches_for``), and all links are
-confirmed on the full sets. A pair at the threshold itself is missed with a probability
-of at most 2e-6 (at 0.8 and above: no shared coordinate or too few matches), any nearer
-pair with less.
+T is ``matches_for`` the similarity, and all links are confirmed on the full sets. A pair at the
+threshold itself has fewer equal values with a probability of at most 1e-6, any nearer
+pair with less; a pair with T or more is never missed.
 """
 
 from __future__ import annotations
@@ -36,9 +38,10 @@ from pyspark.sql import functions as F
 
 from lociq.llm.components import components
 from lociq.llm.text import SPACED, mix, release, slices, unused, windows, words_of
+from lociq.operators.joins import join_sized
 from lociq.session import cut_lineage, use_checkpoint_folder
 
-POSTED, WIDTH, VALUES = 20, 3, 64
+VALUES = 64
 #: Probability that a pair at the threshold has fewer equal values than are asked for.
 MISSED = 1e-6
 
@@ -73,7 +76,7 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sign(docs: DataFrame, size: int) -> DataFrame:
-    """Signature of each (id, text): set size, 128-bit fingerprint of the set, packed low bytes of the values, posting keys."""
+    """Signature of each (id, text): set size, 128-bit fingerprint of the set, packed low bytes of the values, a posting key for each coordinate and its value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,11 +92,8 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                     for k in range(2):
                         whole[k, some] = np.add.reduceat(mix(sets + _SEEDS[VALUES + k]), first[some])
                 packed = (mix(values) & np.uint64(255)).astype(np.uint8).T.copy().view(np.int64)
-                keys = np.zeros((POSTED, part.num_rows), np.uint64)
-                for j in range(POSTED):
-                    for k in range(WIDTH):
-                        keys[j] = mix(keys[j] ^ values[j * WIDTH + k]) + _SEEDS[j]
-                keys = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * POSTED, keys.T.ravel().view(np.int64))
+                keys = mix(values + _SEEDS[:VALUES, None])
+                keys = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * VALUES, keys.T.ravel().view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(n), *(pa.array(w.view(np.int64)) for w in whole), *(pa.array(packed[:, k].copy()) for k in range(len(_LANES))), keys],
                     names=["id", "n_shingles", "whole_a", "whole_b", *_LANES, "keys"],
@@ -129,6 +129,18 @@ def _near(a: str, b: str, percent: int) -> str:
     return f"{sizes} AND {collisions(a, b)} >= {matches_for(percent)}"
 
 
+def prefixes(classes: DataFrame, percent: int) -> DataFrame:
+    """Postings (at, key, id) of the rows (id, keys): the ``VALUES`` - T + 1 rarest keys of each, less those that no other row has."""
+    postings = classes.select("id", F.posexplode("keys").alias("at", "key"))
+    counts = cut_lineage(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    shared = join_sized(postings, counts.withColumn("rows", F.col("n")), ["key"], "rows", most=most)
+    shared = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key", "at"))).alias("shared"))
+    # Keys of one row come first in the order.
+    rarest = F.expr(f"slice(shared, 1, greatest(0, size(shared) - {matches_for(percent) - 1}))")
+    return shared.select("id", F.explode(rarest).alias("p")).select("p.at", "p.key", "id")
+
+
 def shingles(docs: DataFrame, size: int) -> DataFrame:
     """(id, shingles): the sorted distinct fingerprints of each text, one row for each id."""
 
@@ -156,24 +168,48 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sets = shingles(docs.join(wanted, "id", "left_semi"), size)
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    # A head has a pair with each of its members.
+    many = pairs.groupBy("a").agg(F.count("*").alias("members"))
+    left = join_sized(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(many, "a"), ["a"], "members")
     return left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").mapInArrow(compare, "a long, b long")
 
 
 def rest_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that unite groups: rows (at, key, id, n_shingles, lanes, label) of all posting lists, with the group of each id."""
-    lists = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
-    lists = lists.where("low < high").select("key", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int").alias("blocks"))
-    tiled = members.join(lists, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.withColumn("tile", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).select("tile", "at", "id", "n_shingles", *_LANES, "label", (F.col("block") - F.col("other")).alias("side"))
+    tiled = _tiles(members)
     # Which members have a candidate, then which of them in the first list that both are in, by their keys, and then their sets.
-    near = cut_lineage(tiled.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(partial(_in_tiles, percent=percent, kept=None), _TILED))
-    posted = members.join(near.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "key")))["key"].alias("keys"))
-    open_rows = near.join(posted, "id").select(*near.columns, "keys").repartition("tile").sortWithinPartitions("tile", "id")
+    near = cut_lineage(_sorted(tiled).mapInArrow(partial(_in_tiles, percent=percent, kept=None), _TILED))
+    posted = members.join(near.select("id").distinct(), "id", "left_semi").groupBy("id", "at").agg(F.min("key").alias("key"))
+    posted = posted.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "key"))).alias("of"))
+    posted = posted.select("id", F.transform(F.sequence(F.lit(0), F.lit(VALUES - 1)), lambda c: F.coalesce(F.element_at("of", c), F.lit(0))).alias("keys"))
+    open_rows = _sorted(near.join(posted, "id").select(*near.columns, "keys"))
     open_rows = cut_lineage(open_rows.mapInArrow(partial(_in_tiles, percent=percent, kept=None), f"{_TILED}, keys array<long>"))
     sets = shingles(texts.join(open_rows.select("id").distinct(), "id", "left_semi"), size)
-    return open_rows.join(sets, "id").repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(partial(_in_tiles, percent=percent, kept="shingles"), "a long, b long")
+    return _sorted(open_rows.join(sets, "id")).mapInArrow(partial(_in_tiles, percent=percent, kept="shingles"), "a long, b long")
+
+
+def _tiles(members: DataFrame) -> DataFrame:
+    """Rows of the posting lists with several groups, in tiles of two blocks.
+
+    Blocks of the largest group of a list meet the blocks of the others but not each other, so its rows are in as many tiles as the others need.
+    """
+    groups = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
+    lists = groups.groupBy("key").agg(F.max(F.struct("n", "total", "label")).alias("main"), F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    blocks = lambda n, total: F.greatest(F.ceil(n / TILE), F.ceil(total / TILE_SHINGLES), F.lit(1)).cast("int")
+    lists = lists.where("groups > 1").select(
+        "key", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.total")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("total") - F.col("main.total")).alias("others"), F.col("n").alias("rows")
+    )
+    rows = join_sized(members, lists, ["key"], "rows")
+    inside, place = F.col("label") == F.col("main"), F.xxhash64("id")
+    rows = rows.withColumn("block", F.when(inside, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(inside, 0).otherwise(F.col("mains")))))
+    tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile")
+    return rows.select(tile, "at", "id", "n_shingles", *_LANES, "label", F.signum(F.col("block") - F.col("other")).cast("int").alias("side"))
+
+
+def _sorted(tiled: DataFrame) -> DataFrame:
+    """Whole tiles, in each the first block before the second and the rows of a group together."""
+    return tiled.repartition("tile").sortWithinPartitions("tile", "side", "label", "id")
 
 
 def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None) -> Iterator[pa.RecordBatch]:
@@ -181,6 +217,7 @@ def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None)
 
     Rows with ``keys`` are matched in the first list that both are in, others in every list.
     """
+    asked, quarter = matches_for(percent), VALUES // 4
     rest: pa.Table | None = None
     for batch in chain(batches, [None]):
         table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
@@ -197,17 +234,20 @@ def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None)
         lanes = np.stack([table.column(c).to_numpy() for c in _LANES], 1)
         values = np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, VALUES)
         n, label, side, at, ids = (table.column(c).to_numpy() for c in ("n_shingles", "label", "side", "at", "id"))
-        keys = pc.list_flatten(table.column("keys")).to_numpy().reshape(-1, POSTED) if "keys" in table.column_names else None
+        keys = pc.list_flatten(table.column("keys")).to_numpy().reshape(-1, VALUES) if "keys" in table.column_names else None
         # Pairs are used as they are found, so only the members of the batch and one block of pairs are in memory.
         wanted = np.zeros(whole, bool)
         sets, group, links = None if kept is None else table.column(kept), {}, []
-        for x, y in _pairs(first):
-            fits = (label[x] != label[y]) & ((side[x] == 0) | (np.sign(side[x]) != np.sign(side[y]))) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        for x, y in _pairs(*_partners(first, side, label)):
+            fits = (label[x] != label[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
             x, y = x[fits], y[fits]
-            near = (values[x] == values[y]).sum(1) >= matches_for(percent)
-            x, y = x[near], y[near]
+            hits = np.zeros(len(x), np.int64)
+            for c in range(0, VALUES, quarter):
+                hits += (values[x, c : c + quarter] == values[y, c : c + quarter]).sum(1)
+                able = hits + (VALUES - c - quarter) >= asked
+                x, y, hits = x[able], y[able], hits[able]
             if keys is not None:
-                mine = (keys[x] == keys[y]).argmax(axis=1) == at[x]
+                mine = ((keys[x] == keys[y]) & (keys[x] != 0)).argmax(axis=1) == at[x]
                 x, y = x[mine], y[mine]
             if sets is None:
                 wanted[x] = wanted[y] = True
@@ -230,20 +270,27 @@ def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None)
         release()
 
 
-def _pairs(first: np.ndarray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of each run ``first[k]:first[k + 1]``, about ``limit`` at a time."""
-    # The partners of a row are the rows after it in its run.
+def _partners(first: np.ndarray, side: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that each row meets, as (from, to): in a tile of two blocks those of the second, in a tile of one those of later groups."""
     end = np.repeat(first[1:], np.diff(first))
-    many = end - np.arange(len(end)) - 1
+    new = np.ones(len(side), bool)
+    new[1:] = (end[1:] != end[:-1]) | (side[1:] != side[:-1]) | ((side[1:] == 0) & (label[1:] != label[:-1]))
+    start = np.flatnonzero(new)
+    after = np.repeat(np.append(start[1:], len(side)), np.diff(np.append(start, len(side))))
+    return np.where(side > 0, end, after), end
+
+
+def _pairs(start: np.ndarray, end: np.ndarray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with the rows ``start[k]:end[k]``, about ``limit`` pairs at a time."""
+    many = end - start
     total = np.cumsum(many)
     at = 0
     while at < len(end):
         before = total[at - 1] if at else 0
         last = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
         x = np.repeat(np.arange(at, last), many[at:last])
-        y = np.arange(len(x)) - np.repeat(total[at:last] - many[at:last] - before, many[at:last]) + x + 1
         if len(x):
-            yield x, y
+            yield x, np.arange(len(x)) - np.repeat(total[at:last] - many[at:last] - before, many[at:last]) + start[x]
         at = last
 
 
@@ -269,16 +316,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     whole = ["whole_a", "whole_b", "n_shingles"]
     # Equal sets are one class with the smallest id.
     classes = cut_lineage(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*whole, *_LANES, "keys").agg(F.min("id").alias("id")))
-    posted = classes.select(F.explode("keys").alias("key"), "id", "n_shingles", *_LANES)
+    posted = cut_lineage(prefixes(classes, percent).join(classes.select("id", "n_shingles", *_LANES), "id"))
 
-    heads = posted.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("members")).where("members > 1").select("key", "head")
-    star = posted.join(heads, "key").where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(classes.alias("p"), F.col("a") == F.col("p.id")).join(classes.alias("q"), F.col("b") == F.col("q.id")).where(_near("p", "q", percent))
-    links = cut_lineage(confirm(cut_lineage(star.select("a", "b")), texts, size, percent))
+    signature = F.struct("id", "n_shingles", *_LANES)
+    heads = posted.groupBy("key").agg(F.min(signature).alias("head"), F.count("*").alias("members")).where("members > 1")
+    star = join_sized(posted.drop("at"), heads, ["key"], "members").select("head", signature.alias("member"))
+    star = star.where(f"member.id > head.id AND {_near('member', 'head', percent)}").select(F.col("head.id").alias("a"), F.col("member.id").alias("b"))
+    links = cut_lineage(confirm(cut_lineage(star.distinct()), texts, size, percent))
     grouped = components(links)
 
     label = F.coalesce("component_id", "id").alias("label")
-    members = classes.join(grouped, "id", "left").select(F.posexplode("keys").alias("at", "key"), "id", "n_shingles", *_LANES, label)
+    members = posted.join(grouped, "id", "left").select("at", "key", "id", "n_shingles", *_LANES, label)
     links = links.union(cut_lineage(rest_links(members, texts, size, percent)))
     grouped = components(links)
 

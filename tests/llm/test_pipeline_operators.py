@@ -100,6 +100,28 @@ def test_the_rest_pass_finds_all_links(spark):
     assert len(links) == len(want) and set(links) == want
 
 
+def test_pages_of_one_template_meet_in_few_lists(spark):
+    """Pages that share 40 % of their words and are no duplicates: rows in tiles grow with the pages, and the links among them are found."""
+    many = []
+    for pages in (1000, 4000):
+        texts = [(k, " ".join([f"t{j}" for j in range(40)] + [f"p{k}x{j}" for j in range(60)])) for k in range(pages)]
+        texts += [(pages + k, t.replace("x59", "y59").replace("x58", "y58")) for k, t in texts[:: pages // 100]]
+        docs = spark.createDataFrame(texts, "id long, text string").repartition(8)
+        classes = minhash.sign(docs, 1)
+        members = minhash.prefixes(classes, 85).join(classes.drop("keys"), "id").withColumn("label", F.col("id"))
+        many.append(minhash._tiles(members).count())
+        found = minhash.near_duplicates(docs, "id", "text", 1, 85).where("id <> component_id").collect()
+        assert {(r.id, r.component_id) for r in found} == {(pages + k, k) for k in range(0, pages, pages // 100)}
+    assert many[1] < 6 * many[0] + 1000
+
+
+def test_a_large_group_meets_the_others_only(spark):
+    """A group of 20,000 in one list with five others: each of its rows is in one tile, and none meets its own group."""
+    rows = spark.range(20_005).selectExpr("0 as at", "7L as key", "id", "10L as n_shingles", *(f"0L as {c}" for c in minhash._LANES), "if(id < 20000, 0L, id) as label")
+    found = minhash._tiles(rows).groupBy("side", (F.col("label") == 0).alias("main")).count().collect()
+    assert {(r.side, r.main): r["count"] for r in found} == {(1, True): 20_000, (-1, False): 100, (0, False): 5}
+
+
 def test_warc(spark, tmp_path):
     big = prose(5, 600_000)
     rows = [(1, "http://x/a b%20c", big, 9), (2, None, "", 9), (3, "u\r\nv", None, 9), (4, "http://y", big, 9), (None, "z", big, 9), (5, "ü", "WARC/1.0\r\n\r\nx\r\n\r\n", 9), (5, "ü", "WARC/1.0\r\n\r\nx\r\n\r\n", 9)]
