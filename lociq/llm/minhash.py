@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.components import components
-from lociq.llm.text import SPACED, mix, release, slices, unused, windows, words_of
+from lociq.llm.text import SPACED, buffer, mix, release, slices, unused, windows, words_of
 from lociq.operators.joins import join_sized
 from lociq.session import cut_lineage, use_checkpoint_folder
 
@@ -238,6 +238,7 @@ def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None)
         # Pairs are used as they are found, so only the members of the batch and one block of pairs are in memory.
         wanted = np.zeros(whole, bool)
         sets, group, links = None if kept is None else table.column(kept), {}, []
+        binned = None if sets is None else _binned(sets)
         for x, y in _pairs(*_partners(first, side, label)):
             fits = (label[x] != label[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
             x, y = x[fits], y[fits]
@@ -252,6 +253,8 @@ def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None)
             if sets is None:
                 wanted[x] = wanted[y] = True
                 continue
+            able = _may_share(binned, x, y, percent)
+            x, y = x[able], y[able]
             tiles = np.searchsorted(first, x, "right")
             for t, i, j in zip(tiles.tolist(), x.tolist(), y.tolist(), strict=True):
                 one, two = _root(group, (t, label[i])), _root(group, (t, label[j]))
@@ -266,10 +269,30 @@ def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None)
             yield from table.take(pa.array(np.flatnonzero(wanted))).to_batches(max_chunksize=1000)
         else:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        del table, lanes, values, sets
+        del table, lanes, values, sets, binned
         release()
 
 
+def _binned(sets: pa.ChunkedArray, rows: int = 1000, bins: int = 256) -> np.ndarray:
+    """Shingles of each set in each of ``bins`` parts of the fingerprints."""
+    out = np.zeros((len(sets), bins), np.int32)
+    for at in range(0, len(sets), rows):
+        codes, bounds = buffer(pa.concat_arrays(sets.slice(at, rows).chunks))
+        part = np.repeat(np.arange(len(bounds) - 1) * bins, np.diff(bounds) // 8) + (codes.view(np.uint64) >> np.uint64(56)).astype(np.int64)
+        out[at : at + rows] = np.bincount(part, minlength=(len(bounds) - 1) * bins).reshape(-1, bins)
+    return out
+
+
+def _may_share(binned: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, pairs: int = 10_000) -> np.ndarray:
+    """Pairs that can have the similarity: two sets share at most the smaller count of each bin."""
+    able, size = np.zeros(len(x), bool), binned.sum(1)
+    for at in range(0, len(x), pairs):
+        i, j = x[at : at + pairs], y[at : at + pairs]
+        most = np.minimum(binned[i], binned[j]).sum(1)
+        able[at : at + pairs] = 100 * most >= percent * (size[i] + size[j] - most)
+    return able
+
+
 def _partners(first: np.ndarray, side: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows that each row meets, as (from, to): in a tile of two blocks those of the second, in a tile of one those of later groups."""
     end = np.repeat(first[1:], np.diff(first))
