@@ -16,19 +16,30 @@ SALTS = 64
 HEAVY_ROWS = 1_000_000
 
 
-def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", values_per_row: int = 0, written: bool = False) -> DataFrame:
+def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", values_per_row: int = 0, written: bool = False, size: str | None = None) -> DataFrame:
     """Join ``rows`` with a table that has one row per key and is expected to be small.
 
     The table is written once (unless it already was) and counted. Within the bound it is broadcast,
     so ``rows`` is not shuffled. Beyond it, every row of the table is repeated
     per salt and rows are spread over the salts, so even a key with a third of
-    all rows is shared by many tasks. ``values_per_row`` counts array items.
+    all rows is shared by many tasks. A table that says in ``size`` how many rows
+    a key has is repeated for heavy keys only. ``values_per_row`` counts array items.
     """
     keys = list(keys)
     small = small if written else cut_lineage(small)
     if small.count() * max(len(small.columns), values_per_row) <= BROADCAST_VALUES:
-        return rows.join(F.broadcast(small), keys, how)
-    return salted_join(rows, small, keys, how)
+        return rows.join(F.broadcast(small if size is None else small.drop(size)), keys, how)
+    if size is None:
+        return salted_join(rows, small, keys, how)
+    return join_sized(rows, small, keys, size, how, most=small.agg(F.max(size)).first()[0])
+
+
+def join_large(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equal to ``rows.join(other, keys, how)`` for tables that both grow with the cases: neither is broadcast.
+
+    The size Spark estimates for a compressed file or for what ``explode`` makes can be far below the real one.
+    """
+    return rows.join(other.hint("merge"), list(keys), how)
 
 
 def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -29,12 +29,14 @@ def locus_blocks(
     the block's first case, ``_breaks`` the coordinates inside the block where
     a new locus begins. Starts lie more than ``cutoff`` apart, so ``_breaks``
     has at most ``gaps_per_block`` + 1 entries however many cases there are.
+    ``_size`` is the number of the block's cases.
     """
     width = gaps_per_block * max(int(cutoff), 1)
     spots = df.select(F.col(chrom).alias("_chrom"), F.col(coord).cast("bigint").alias("_coord")).where(
         F.col("_chrom").isNotNull() & F.col("_coord").isNotNull()
     )
-    spots = spots.withColumn("_block", F.col("_coord") - F.pmod(F.col("_coord"), F.lit(width))).distinct()
+    spots = spots.groupBy("_chrom", "_coord").agg(F.count(F.lit(1)).alias("_size"))
+    spots = spots.withColumn("_block", F.col("_coord") - F.pmod(F.col("_coord"), F.lit(width)))
     inside = Window.partitionBy("_chrom", "_block").orderBy("_coord")
     gap = F.col("_coord") - F.lag("_coord").over(inside)
     blocks = (
@@ -44,6 +46,7 @@ def locus_blocks(
             F.min("_coord").alias("_first"),
             F.max("_coord").alias("_last"),
             F.sort_array(F.collect_list("_start")).alias("_breaks"),
+            F.sum("_size").alias("_size"),
         )
     )
     along = Window.partitionBy("_chrom").orderBy("_block")
@@ -52,7 +55,7 @@ def locus_blocks(
     return (
         blocks.withColumn("_new", opens + F.size("_breaks"))
         .withColumn("_base", F.sum("_new").over(upto) - F.size("_breaks"))
-        .select("_chrom", "_block", "_base", "_breaks")
+        .select("_chrom", "_block", "_base", "_breaks", "_size")
     )
 
 
@@ -84,7 +87,7 @@ def assign_loci(
     locus = F.concat_ws(sep, F.col(chrom).cast("string"), number.cast("string"))
     missing = F.col(chrom).isNull() | place.isNull()
     return (
-        join_small(keyed, blocks, ["_chrom", "_block"], "left", values_per_row=4 + gaps_per_block)
+        join_small(keyed, blocks, ["_chrom", "_block"], "left", values_per_row=4 + gaps_per_block, size="_size")
         .withColumn(out, F.when(missing, unplaced).when(F.col("_base").isNotNull(), locus).otherwise(F.lit("")))
         .drop("_chrom", "_block", "_base", "_breaks")
     )
@@ -132,7 +135,7 @@ def keep_positive_loci(df: DataFrame, locus: str = "locus_id", label: str = "lab
     if df.count() <= joins.HEAVY_ROWS:
         return df.join(df.where(F.col(label) == 1).select(locus).distinct(), locus, "left_semi")
     good = cut_lineage(locus_summary(df, locus, label).where(F.col("positives") > 0).select(locus, F.col("cases").alias("_size")))
-    return join_sized(df, good, [locus], "_size").select(*df.columns)
+    return join_sized(df, good, [locus], "_size", most=good.agg(F.max("_size")).first()[0] or 0).select(*df.columns)
 
 
 def singleton_check(df: DataFrame, locus: str = "locus_id", label: str = "label") -> DataFrame:

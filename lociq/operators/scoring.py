@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociq.operators.joins import join_large
 from lociq.operators.metrics import evaluate
 
 TASK = ["config_id", "rep", "test_fold"]
@@ -39,7 +40,7 @@ def members_by_role(scored: DataFrame, n_fold: int) -> DataFrame:
 
 def given_score_rows(cases: DataFrame, scores: DataFrame, folds: DataFrame, case: str = "case_id") -> DataFrame:
     """Cases with a given score and a fold: one row per (config, rep, case)."""
-    return cases.drop("score").join(scores, case).join(folds, case)
+    return join_large(join_large(cases.drop("score"), scores, [case]), folds, [case])
 
 
 def repair_nan_scores(df: DataFrame, score: str = "score", value: float = 0.5) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lociq.operators import boost, forest
 from lociq.operators.folds import fold_count_feasible
-from lociq.operators.joins import join_small
+from lociq.operators.joins import join_large, join_small
 from lociq.operators.metrics import require_whole_loci
 from lociq.operators.quality import require_complete, require_rows
 from lociq.operators.reduce import pls_scores
@@ -47,7 +47,7 @@ def given(scores: DataFrame) -> Scorer:
 
     def score(rows: DataFrame, members: DataFrame, tasks: DataFrame) -> Scored:
         require_rows(rows, {"given scores": scores})
-        cases = rows.select(*KEY, "locus_id", "label").join(scores.select("case_id", "score"), "case_id")
+        cases = join_large(rows.select(*KEY, "locus_id", "label"), scores.select("case_id", "score"), ["case_id"])
         return Scored(members.join(cases, KEY).select(*SCORED, "score"))
 
     return score
