@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lociq.functions.draws import uniform, uniform_py
 from lociq.operators import joins
-from lociq.operators.joins import join_sized
+from lociq.operators.joins import join_large, join_sized
 from lociq.operators.loci import keep_positive_loci, locus_summary
 from lociq.operators.prefix import numbered
 from lociq.session import cut_lineage
@@ -127,7 +127,8 @@ def locus_folds(
     )
     at = F.col("position") - 1
     placed = placed.withColumn("step", F.floor(at / loci_per_draw)).withColumn("_at", at - F.col("step") * loci_per_draw)
-    dealt = placed.join(plan, ["rep", "cases", "positives", "step"])
+    # The plan has a row for every locus and replication, though it is made of few shapes.
+    dealt = join_large(placed, plan, ["rep", "cases", "positives", "step"])
     fold = F.size(F.filter("upto", lambda n: n <= F.col("_at"))) + 1
     return dealt.select(locus, "rep", fold.cast("int").alias("fold"))
 
@@ -142,6 +143,13 @@ def _dealer(n_fold: int, slack: float, seed: int, loci_per_draw: int) -> Callabl
         n_pos = int((shapes["positives"] * shapes["loci"]).sum())
         max_cases = math.ceil((1.0 + slack) * n_cases / n_fold)
         max_pos = math.ceil((1.0 + slack) * max_cases * n_pos / n_cases)
+        if loci_per_draw == 1:
+            walked = _walk(shapes[["cases", "positives", "loci"]].itertuples(index=False), n_fold, max_cases, max_pos, lambda i: uniform_py(seed, rep, "draw", i))
+            # Loci on one fold share one list, so a locus costs a few bytes.
+            upto = [[int(k >= fold) for k in range(n_fold)] for fold in range(n_fold)]
+            plan = shapes.loc[shapes.index.repeat(shapes["loci"]), ["cases", "positives"]].reset_index(drop=True)
+            steps = np.concatenate([np.arange(n, dtype=np.int64) for n in shapes["loci"]])
+            return plan.assign(rep=rep, step=steps, upto=[upto[fold] for fold in walked])[["rep", "cases", "positives", "step", "upto"]]
         used = np.zeros((2, n_fold), dtype=np.int64)
         rows, drawn = [], 0
         for size, positives, loci in shapes[["cases", "positives", "loci"]].itertuples(index=False):
@@ -172,6 +180,36 @@ def _dealer(n_fold: int, slack: float, seed: int, loci_per_draw: int) -> Callabl
     return deal
 
 
+def _walk(shapes: Iterable[tuple[int, int, int]], n_fold: int, max_cases: int, max_pos: int, draw: Callable[[int], float]) -> bytearray | list[int]:
+    """The fold (from 0) of every locus of the (cases, positives, loci) in their order, each drawn by itself."""
+    cases, pos = [0] * n_fold, [0] * n_fold
+    share, folds = [1.0] * n_fold, range(n_fold)
+    out, drawn = bytearray() if n_fold <= 256 else [], 0
+    for size, positives, loci in shapes:
+        for _ in range(loci):
+            free = [f for f in folds if cases[f] + size <= max_cases and (not positives or pos[f] + positives <= max_pos)]
+            if not free:
+                raise ValueError(f"no fold has room for a locus of {size} cases, {positives} positives")
+            drawn += 1
+            total, edges = 0.0, []
+            if not any(share[f] for f in free):
+                for f in free:
+                    total += 1.0
+                    edges.append((total, f))
+            else:
+                for f in free:
+                    if share[f]:
+                        total += share[f]
+                        edges.append((total, f))
+            point = draw(drawn) * total
+            pick = next((f for edge, f in edges if edge > point), edges[-1][1])
+            cases[pick] += size
+            pos[pick] += positives
+            share[pick] = (1 - cases[pick] / max_cases) * (1 - pos[pick] / max(max_pos, 1))
+            out.append(pick)
+    return out
+
+
 def _one_of(weights: np.ndarray, u: float) -> np.ndarray:
     """One unit on a fold chosen with the given weights."""
     edges = weights.cumsum()

@@ -1,5 +1,9 @@
 """Joins of tables that grow with the cases: what is broadcast and what is repeated."""
 
+import numpy as np
+
+from lociq.functions.draws import uniform_py
+from lociq.operators import folds as FO
 from lociq.operators import joins
 from lociq.operators import loci as L
 from lociq.operators import scoring as S
@@ -40,3 +44,24 @@ def test_only_heavy_blocks_are_repeated(spark, monkeypatch):
     heavy = L.assign_loci(df, cutoff=30)
     assert {r[0]: r[1] for r in heavy.select("case_id", "locus_id").collect()} == want
     assert "Generate" in physical(heavy)
+
+
+def test_every_locus_is_walked_as_before(spark):
+    """Drawing by itself gives what drawing with arrays of weights gave, and the plan of a row a locus is not broadcast."""
+    loci = spark.createDataFrame([(f"l{k}", k % 4 + 1, k % 3 % (k % 4 + 2)) for k in range(300)], "locus_id string, cases long, positives long")
+    dealt = FO.locus_folds(loci, 1, 3)
+    got = [r["fold"] for r in dealt.orderBy("locus_id").collect()]
+    assert "Broadcast" not in physical(dealt)
+    shapes = loci.groupBy("cases", "positives").count().withColumnRenamed("count", "loci").selectExpr("1 AS rep", "*").toPandas()
+    plan = FO._dealer(3, 0.5, 1337, 1)(shapes)
+    used, drawn = np.zeros((2, 3)), 0
+    n, p = (shapes["cases"] * shapes["loci"]).sum(), (shapes["positives"] * shapes["loci"]).sum()
+    most = np.ceil(1.5 * n / 3)
+    most = most, np.ceil(1.5 * most * p / n)
+    for size, positives, upto in zip(plan["cases"], plan["positives"], plan["upto"], strict=True):
+        drawn += 1
+        weights = np.where((used[0] + size <= most[0]) & (used[1] + positives <= most[1]), (1 - used[0] / most[0]) * (1 - used[1] / most[1]), 0.0)
+        pick = int((weights.cumsum() <= uniform_py(1337, 1, "draw", drawn) * weights.sum()).sum())
+        assert list(upto) == [int(k >= pick) for k in range(3)]
+        used[:, pick] += (size, positives)
+    assert len(got) == 300 and set(got) == {1, 2, 3}
