@@ -30,8 +30,8 @@ def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     if small.count() * max(len(small.columns), values_per_row) <= BROADCAST_VALUES:
         return rows.join(F.broadcast(small if size is None else small.drop(size)), keys, how)
     if size is None:
-        return salted_join(rows, small, keys, how)
-    return join_sized(rows, small, keys, size, how, most=small.agg(F.max(size)).first()[0])
+        return salted_join(rows, small.hint("merge"), keys, how)
+    return join_sized(rows, small, keys, size, how, most=small.agg(F.max(size)).first()[0], large=True)
 
 
 def join_large(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -49,22 +49,24 @@ def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def join_sized(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], size: str, how: str = "inner", most: int | None = None) -> DataFrame:
+def join_sized(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], size: str, how: str = "inner", most: int | None = None, large: bool = False) -> DataFrame:
     """Join ``rows`` with a table that has one row per key and says in ``size`` how many rows the key has.
 
     No key is heavy where ``most``, the rows of a key at most (all rows if it is not given), is within ``HEAVY_ROWS``. Otherwise
     keys with more rows than that, which are fewer than all rows / ``HEAVY_ROWS`` and so are broadcast, are
     salted: their rows go to ``SALTS`` places, where their row of ``per_key`` is repeated. For inner and left joins.
+    With ``large`` the table grows with the rows and is never broadcast, whatever size Spark estimates.
     """
     keys = list(keys)
+    join = join_large if large else DataFrame.join
     if (rows.count() if most is None else most) <= HEAVY_ROWS:
-        return rows.join(per_key.drop(size), keys, how)
+        return join(rows, per_key.drop(size), keys, how)
     heavy = per_key.where(F.col(size) > HEAVY_ROWS).select(*keys, F.lit(True).alias("_heavy"))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in _plain(rows)]), F.lit(SALTS)).cast("int")
     spread = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_heavy"), salt).otherwise(0)).drop("_heavy")
     salts = F.when(F.col(size) > HEAVY_ROWS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = per_key.withColumn("_salt", F.explode(salts)).drop(size)
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return join(spread, repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def _plain(df: DataFrame) -> list[str]:

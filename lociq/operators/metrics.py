@@ -15,19 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociq.functions.scalars import reciprocal_span
-from lociq.operators.joins import join_sized
-from lociq.operators.prefix import CELL, before_cell, heavy_cells, no_null, score_cells
+from lociq.operators.joins import join_large, join_sized
+from lociq.operators.prefix import CELL, HEAVY_CELL, before_cell, heavy_cells, no_null, score_cells
 
 
-def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Positives ``p`` and negatives ``n`` per distinct score, with the score's cell.
+def score_counts(
+    df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", heavy: Sequence[DataFrame] | None = None
+) -> DataFrame:
+    """Positives ``p`` and negatives ``n`` per distinct score, with the score's cell; ``heavy`` from ``heavy_cells`` if known.
 
     A row with a NULL key belongs to no evaluation; a NULL score ranks last.
     """
     counts = df.where(no_null(keys)).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
         F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n")
     )
-    return score_cells(counts, keys, heavy_cells(df, keys, score))
+    return score_cells(counts, keys, heavy_cells(df, keys, score) if heavy is None else heavy)
 
 
 def _quoted(keys: Sequence[str]) -> list[str]:
@@ -40,12 +42,14 @@ def _upto(keys: Sequence[str], sums: Sequence[str]) -> list[str]:
     return [f"sum({c}) OVER (PARTITION BY {part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS t{c}" for c in sums]
 
 
-def threshold_counts(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
+def threshold_counts(
+    df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", heavy: Sequence[DataFrame] | None = None
+) -> DataFrame:
     """One row per threshold: p, n at the score, tp, fp at or above it, and totals pos, neg."""
-    counts = score_counts(df, keys, score, label)
+    counts = score_counts(df, keys, score, label, heavy)
     cells = counts.groupBy(*keys, CELL).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     offsets = before_cell(cells, keys, ["p", "n"], descending=True)
-    joined = counts.selectExpr("*", *_upto(keys, ["p", "n"])).join(offsets, [*keys, CELL])
+    joined = join_large(counts.selectExpr("*", *_upto(keys, ["p", "n"])), offsets, [*keys, CELL])
     sums = ["tp + p_before AS tp", "tn + n_before AS fp", "p_total AS pos", "n_total AS neg"]
     return joined.selectExpr(*_quoted(keys), "score", "p", "n", *sums)
 
@@ -174,10 +178,12 @@ def avgranks(df: DataFrame, keys: Sequence[str], locus: str = "locus_id", score:
 def within_locus_rank(df: DataFrame, keys: Sequence[str], locus: str = "locus_id", score: str = "score", label: str = "label") -> DataFrame:
     """Add ``locus_rank``: rank of every case in its locus, best score first, ties averaged."""
     where = [*keys, locus]
-    points = threshold_counts(df, where, score, label)
+    heavy = heavy_cells(df, where, score)
+    points = threshold_counts(df, where, score, label, heavy)
     size = F.col("p") + F.col("n")
     ranks = points.select(*where, F.col("score").alias(score), (F.col("tp") + F.col("fp") - (size - 1) / 2.0).alias("locus_rank"), size.alias("_size"))
-    return join_sized(df, ranks, [*where, score], "_size")
+    # A tie group lies in one cell, so where no cell is heavy no group is.
+    return join_sized(df, ranks, [*where, score], "_size", most=None if heavy else HEAVY_CELL, large=True)
 
 
 def locus_gaps(evaluated: DataFrame, overall: DataFrame, keys: Sequence[str], locus: str = "locus_id") -> DataFrame:
@@ -226,7 +232,7 @@ def fold_points(df: DataFrame, keys: Sequence[str], n_fold: int, score: str = "s
     counts = score_cells(counts, keys, heavy_cells(df, keys, score))
     cells = counts.groupBy(*keys, CELL).agg(*[F.sum(c).alias(c) for c in columns])
     offsets = before_cell(cells, keys, columns, descending=True)
-    joined = counts.selectExpr("*", *_upto(keys, columns)).join(offsets, [*keys, CELL])
+    joined = join_large(counts.selectExpr("*", *_upto(keys, columns)), offsets, [*keys, CELL])
 
     # Name of a count and its SQL for fold k.
     parts = {

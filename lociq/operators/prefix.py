@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.functions.scalars import order_code
+from lociq.operators.joins import join_large
 from lociq.session import cut_lineage
 
 CELL = "_cell"
@@ -97,8 +98,7 @@ def numbered(
     offsets = before_cell(totals, keys, ["_n"])
     inside = Window.partitionBy(*keys, CELL).orderBy("_draw", tie)
     return (
-        tagged.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, [*keys, CELL])
+        join_large(tagged.withColumn("_row", F.row_number().over(inside)), offsets, [*keys, CELL])
         .withColumn(position, F.col("_n_before") + F.col("_row"))
         .withColumnRenamed("_n_total", size)
         .drop("_draw", CELL, "_row", "_n_before")

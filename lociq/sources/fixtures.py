@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +34,14 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def given_scores(cases: DataFrame) -> DataFrame:
-    """Three given scores per case: the value, its negative, and a hash: (config_id, set_name, case_id, score)."""
+def given_scores(cases: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Three given scores per case: the value, its negative, and a hash: (case_id, ``also``, config_id, set_name, score)."""
     scores = F.array(
         F.struct(F.lit(1).alias("config_id"), F.lit("value").alias("set_name"), F.col("score").alias("score")),
         F.struct(F.lit(2).alias("config_id"), F.lit("negated").alias("set_name"), (-F.col("score")).alias("score")),
         F.struct(F.lit(3).alias("config_id"), F.lit("hashed").alias("set_name"), uniform("case_id").alias("score")),
     )
-    return cases.select("case_id", F.explode(scores).alias("_s")).select("case_id", "_s.*")
+    return cases.select("case_id", *also, F.explode(scores).alias("_s")).select("case_id", *also, "_s.*")
 
 
 def embedding_features(spark: SparkSession, folder: str) -> DataFrame:
