@@ -86,9 +86,9 @@ def grouped_folds(
     per_locus = folds.groupBy(locus).agg(F.array_sort(F.collect_list(F.struct("rep", "fold"))).alias("_folds"))
     largest = loci.agg(F.max("cases")).first()[0] or 0
     if largest > joins.HEAVY_ROWS:
-        per_locus = per_locus.join(loci.select(locus, F.col("cases").alias("_size")), locus)
+        per_locus = join_large(per_locus, loci.select(locus, F.col("cases").alias("_size")), [locus])
     return (
-        join_sized(df.select(case, locus), per_locus, [locus], "_size", most=largest)
+        join_sized(df.select(case, locus), per_locus, [locus], "_size", most=largest, large=True)
         .select(case, F.explode("_folds").alias("_f"))
         .select(case, F.col("_f.rep").alias("rep"), F.col("_f.fold").alias("fold"))
     )
@@ -248,7 +248,7 @@ def fold_table(folds: DataFrame, n_fold: int, case: str = "case_id") -> DataFram
 def fold_profile(cases: DataFrame, folds: DataFrame, case: str = "case_id", label: str = "label") -> DataFrame:
     """Cases and positives per (rep, fold)."""
     return (
-        folds.join(cases.select(case, label), case)
+        join_large(folds, cases.select(case, label), [case])
         .groupBy("rep", "fold")
         .agg(F.count(F.lit(1)).alias("cases"), F.sum(F.col(label).cast("bigint")).alias("positives"))
     )
@@ -256,7 +256,7 @@ def fold_profile(cases: DataFrame, folds: DataFrame, case: str = "case_id", labe
 
 def fold_checks(cases: DataFrame, folds: DataFrame, n_rep: int, case: str = "case_id", locus: str = "locus_id") -> DataFrame:
     """Per replication: cases without a fold, fold range, and loci spread over several folds."""
-    joined = with_replications(cases.select(case, locus), n_rep).join(folds, [case, "rep"], "left")
+    joined = join_large(with_replications(cases.select(case, locus), n_rep), folds, [case, "rep"], "left")
     per_locus = joined.groupBy("rep", locus).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("fold").isNull(), 1).otherwise(0)).alias("gaps"),

@@ -113,7 +113,7 @@ def locus_members(df: DataFrame, locus: str = "locus_id", case: str = "case_id",
     There is no list per locus, so a locus of any size stays spread out.
     """
     counts = locus_summary(df, locus, label).withColumn("_size", F.col("cases"))
-    return join_sized(df.select(locus, case), counts, [locus], "_size")
+    return join_sized(df.select(locus, case), counts, [locus], "_size", large=True)
 
 
 def loci_without_positive(df: DataFrame, locus: str = "locus_id", label: str = "label") -> DataFrame:
@@ -132,10 +132,13 @@ def keep_positive_loci(df: DataFrame, locus: str = "locus_id", label: str = "lab
         return df
     if on_missing != "drop":
         raise ValueError(f"on_missing must be drop, error or ignore, not {on_missing}")
-    if df.count() <= joins.HEAVY_ROWS:
-        return df.join(df.where(F.col(label) == 1).select(locus).distinct(), locus, "left_semi")
-    good = cut_lineage(locus_summary(df, locus, label).where(F.col("positives") > 0).select(locus, F.col("cases").alias("_size")))
-    return join_sized(df, good, [locus], "_size", most=good.agg(F.max("_size")).first()[0] or 0).select(*df.columns)
+    # The cases are gone through twice, for their loci and for the join, and not to count them.
+    held = df.groupBy(locus).agg(F.count(F.lit(1)).alias("_size"), F.max(F.col(label) == 1).alias("_positive"))
+    good = cut_lineage(held.where("_positive").drop("_positive"))
+    most = good.agg(F.max("_size")).first()[0] or 0
+    if most <= joins.HEAVY_ROWS:
+        return df.join(good.select(locus).hint("merge"), locus, "left_semi")
+    return join_sized(df, good, [locus], "_size", most=most, large=True).select(*df.columns)
 
 
 def singleton_check(df: DataFrame, locus: str = "locus_id", label: str = "label") -> DataFrame:

@@ -8,6 +8,13 @@ from lociq.operators import folds as FO
 from lociq.queries import query
 from lociq.queries.loci import kept
 from lociq.queries.sql import CAPS, FOLD_NOS, GROUPED, KEPT, N_FOLD, N_REP, REPS, shuffled
+from lociq.session import cut_lineage
+
+
+def written(spark, folder):
+    """Kept cases for queries with several branches: clustered once and written, not once a branch."""
+    return cut_lineage(kept(spark, folder).select("case_id", "locus_id", "label"))
+
 
 @query("fold_caps", f"WITH {KEPT} {CAPS}")
 def _(spark, folder):
@@ -30,17 +37,17 @@ def _(spark, folder):
 
 @query("shuffled_folds", f"WITH {shuffled()} SELECT case_id, rep, fold FROM folds")
 def _(spark, folder):
-    return FO.assign_folds(kept(spark, folder), "SNP", N_REP, N_FOLD)
+    return FO.assign_folds(written(spark, folder), "SNP", N_REP, N_FOLD)
 
 
 @query("stratified_folds", f"WITH {shuffled('label')} SELECT case_id, rep, fold FROM folds")
 def _(spark, folder):
-    return FO.assign_folds(kept(spark, folder), "STRATIFIED", N_REP, N_FOLD)
+    return FO.assign_folds(written(spark, folder), "STRATIFIED", N_REP, N_FOLD)
 
 
 @query("grouped_folds", f"WITH RECURSIVE {GROUPED} SELECT case_id, rep, fold FROM grouped")
 def _(spark, folder):
-    return FO.assign_folds(kept(spark, folder), "LOCUS", N_REP, N_FOLD)
+    return FO.assign_folds(written(spark, folder), "LOCUS", N_REP, N_FOLD)
 
 
 @query(
@@ -49,12 +56,12 @@ def _(spark, folder):
     CASE WHEN fold = test_fold THEN 'test' ELSE 'train' END AS role FROM folds, fold_nos""",
 )
 def _(spark, folder):
-    return FO.fold_table(FO.shuffled_folds(kept(spark, folder), N_REP, N_FOLD), N_FOLD)
+    return FO.fold_table(FO.shuffled_folds(written(spark, folder), N_REP, N_FOLD), N_FOLD)
 
 
 @query("fold_table_single", f"WITH {KEPT}{REPS} SELECT rep, rep AS fold_index, 1 AS test_fold, case_id, 'train' AS role FROM kept, reps")
 def _(spark, folder):
-    return FO.fold_table(FO.shuffled_folds(kept(spark, folder), N_REP, 1), 1)
+    return FO.fold_table(FO.shuffled_folds(written(spark, folder), N_REP, 1), 1)
 
 
 @query(
@@ -62,7 +69,7 @@ def _(spark, folder):
     f"WITH RECURSIVE {GROUPED} SELECT rep, fold, count(*) AS cases, CAST(sum(label) AS BIGINT) AS positives FROM grouped GROUP BY rep, fold",
 )
 def _(spark, folder):
-    cases = kept(spark, folder)
+    cases = written(spark, folder)
     return FO.fold_profile(cases, FO.grouped_folds(cases, N_REP, N_FOLD))
 
 
@@ -73,7 +80,7 @@ def _(spark, folder):
     count(*) FILTER (lo <> hi) AS split_loci FROM per GROUP BY rep""",
 )
 def _(spark, folder):
-    cases = kept(spark, folder)
+    cases = written(spark, folder)
     return FO.fold_checks(cases, FO.grouped_folds(cases, N_REP, N_FOLD), N_REP)
 
 
@@ -81,7 +88,7 @@ def _(spark, folder):
     SELECT rep, CAST(max(n) AS BIGINT) AS largest_cases, CAST(max(p) AS BIGINT) AS largest_positives,
     max(n) <= any_value(max_cases) AND max(p) <= any_value(max_positives) AS ok FROM prof, caps GROUP BY rep""")
 def _(spark, folder):
-    cases = kept(spark, folder)
+    cases = written(spark, folder)
     caps = FO.fold_caps(cases, N_FOLD).select(F.struct("max_cases", "max_positives")).scalar()
     profile = FO.fold_profile(cases, FO.grouped_folds(cases, N_REP, N_FOLD))
     top = profile.groupBy("rep").agg(F.max("cases").alias("largest_cases"), F.max("positives").alias("largest_positives"))
