@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.text import ALNUM, mix, prefix_sums, slices, span_hashes, words_of
+from lociq.llm.text import ALNUM, mix, prefix_sums, release, slices, span_hashes, words_of
 
 #: Labelled rows that a chain is fitted on at most (those with the smallest hash of their id).
 MAX_LABELLED = 8_000
@@ -205,6 +205,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_
             for part in slices(batch, text_column):
                 p = chain_probabilities(matrix(part.column(text_column), words), chain)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(p[:, k].copy()) for k in range(len(names)))], names=[*part.schema.names, *added.names])
+            release()
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{n}` double" for n in added.names)])
     return docs.mapInArrow(run, kinds)

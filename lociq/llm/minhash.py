@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lociq.llm.components import components
 from lociq.llm.text import SPACED, buffer, mix, release, slices, unused, windows, words_of
-from lociq.operators.joins import join_sized
+from lociq.operators.joins import join_sized, with_ids, without_ids
 from lociq.session import cut_lineage, use_checkpoint_folder
 
 VALUES = 64
@@ -98,6 +98,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                     [part.column("id"), pa.array(n), *(pa.array(w.view(np.int64)) for w in whole), *(pa.array(packed[:, k].copy()) for k in range(len(_LANES))), keys],
                     names=["id", "n_shingles", "whole_a", "whole_b", *_LANES, "keys"],
                 )
+            release()
 
     return docs.mapInArrow(run, _SIGNED)
 
@@ -150,13 +151,14 @@ def shingles(docs: DataFrame, size: int) -> DataFrame:
                 sets, first = shingle_sets(part.column("text"), size)
                 raw = sets.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([raw[8 * s : 8 * e] for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["id", "shingles"])
+            release()
 
     return docs.dropDuplicates(["id"]).mapInArrow(build, "id long, shingles binary")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. Sets are built once per document in question."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,8 +168,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            release()
 
-    sets = shingles(docs.join(wanted, "id", "left_semi"), size)
+    sets = shingles(with_ids(docs, wanted, "id"), size)
     # A head has a pair with each of its members.
     many = pairs.groupBy("a").agg(F.count("*").alias("members"))
     left = join_sized(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(many, "a"), ["a"], "members")
@@ -184,7 +187,7 @@ def rest_links(members: DataFrame, texts: DataFrame, size: int, percent: int) ->
     posted = posted.select("id", F.transform(F.sequence(F.lit(0), F.lit(VALUES - 1)), lambda c: F.coalesce(F.element_at("of", c), F.lit(0))).alias("keys"))
     open_rows = _sorted(near.join(posted, "id").select(*near.columns, "keys"))
     open_rows = cut_lineage(open_rows.mapInArrow(partial(_in_tiles, percent=percent, kept=None), f"{_TILED}, keys array<long>"))
-    sets = shingles(texts.join(open_rows.select("id").distinct(), "id", "left_semi"), size)
+    sets = shingles(with_ids(texts, cut_lineage(open_rows.select("id").distinct()), "id"), size)
     return _sorted(open_rows.join(sets, "id")).mapInArrow(partial(_in_tiles, percent=percent, kept="shingles"), "a long, b long")
 
 
@@ -248,7 +251,7 @@ def _in_tiles(batches: Iterator[pa.RecordBatch], percent: int, kept: str | None)
                 able = hits + (VALUES - c - quarter) >= asked
                 x, y, hits = x[able], y[able], hits[able]
             if keys is not None:
-                mine = ((keys[x] == keys[y]) & (keys[x] != 0)).argmax(axis=1) == at[x]
+                mine = _first_shared(keys, x, y) == at[x]
                 x, y = x[mine], y[mine]
             if sets is None:
                 wanted[x] = wanted[y] = True
@@ -283,6 +286,15 @@ def _binned(sets: pa.ChunkedArray, rows: int = 1000, bins: int = 256) -> np.ndar
     return out
 
 
+def _first_shared(keys: np.ndarray, x: np.ndarray, y: np.ndarray, pairs: int = 10_000) -> np.ndarray:
+    """The first coordinate in which the rows of each pair are in one list; a few pairs at a time, as each takes a kilobyte."""
+    out = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), pairs):
+        i, j = keys[x[at : at + pairs]], keys[y[at : at + pairs]]
+        out[at : at + pairs] = ((i == j) & (i != 0)).argmax(axis=1)
+    return out
+
+
 def _may_share(binned: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, pairs: int = 10_000) -> np.ndarray:
     """Pairs that can have the similarity: two sets share at most the smaller count of each bin."""
     able, size = np.zeros(len(x), bool), binned.sum(1)
@@ -376,6 +388,8 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows, number = numbered(docs)
     plain = rows.select(F.col(number).alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     found = near_duplicates(plain, "row", "text", size, percent)
-    named = found.select("row", "component_id").join(plain.select("row", "id"), "row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias(number))
-    return rows.join(first.select(number), number, "left_semi").select(*docs.columns)
+    named = cut_lineage(found.select("row", "component_id").join(plain.select("row", "id"), "row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("row"))
+    # Few rows go, so they and not those that stay are looked up.
+    gone = cut_lineage(named.select("row").join(first.select("row"), "row", "left_anti").withColumnRenamed("row", number))
+    return without_ids(rows, gone, number).select(*docs.columns)

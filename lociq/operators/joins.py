@@ -14,6 +14,8 @@ BROADCAST_VALUES = 4_000_000
 SALTS = 64
 # Rows of a key beyond which it is salted.
 HEAVY_ROWS = 1_000_000
+# Bits a set key gets in the marks that are broadcast, and bits in all: 16 MB at most, however many keys there are.
+MARKS_PER_KEY, MOST_MARKS = 16, 2**27
 
 
 def join_small(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", values_per_row: int = 0, written: bool = False, size: str | None = None) -> DataFrame:
@@ -69,6 +71,34 @@ def join_sized(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], size: s
     return join(spread, repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def _marked(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """``rows`` with a column, which is named beside: false where the key is null or certainly not in ``ids``, a table that was written and is counted here."""
+    name = "_marks"
+    while any(c.lower().startswith(name) for c in rows.columns):
+        name += "_"
+    part, at = f"{name}part", f"{name}at"
+    bits = min(MOST_MARKS, MARKS_PER_KEY * max(ids.count(), 2048))
+    place = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+    marks = ids.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(place).alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(name))
+    found = rows.withColumns({part: F.bitmap_bucket_number(place), at: F.bitmap_bit_position(place)}).join(F.broadcast(marks), part, "left")
+    byte = f"CAST(conv(hex(substring({name}, CAST({at} DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    hit = F.expr(f"coalesce({byte} & shiftleft(1, CAST({at} % 8 AS INT)) <> 0, false)") & F.col(column).isNotNull()
+    return found.select(*rows.columns, hit.alias(name)), name
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Equal to ``rows.join(ids, column, "left_semi")`` for wide rows of which few are wanted: most others go before the shuffle."""
+    marked, name = _marked(rows, ids, column)
+    return join_large(marked.where(name).drop(name), ids.select(column), [column], "left_semi").select(*rows.columns)
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Equal to ``rows.join(ids, column, "left_anti")`` for wide rows of which few go: most others stay without a shuffle."""
+    marked, name = _marked(rows, ids, column)
+    doubtful = join_large(marked.where(name).drop(name), ids.select(column), [column], "left_anti")
+    return marked.where(f"NOT {name}").drop(name).unionByName(doubtful.select(*rows.columns))
+
+
 def _plain(df: DataFrame) -> list[str]:
     """Columns that can be hashed cheaply: no arrays, maps or vectors."""
     return [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "vector"))]

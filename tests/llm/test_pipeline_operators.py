@@ -5,10 +5,12 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -100,6 +102,20 @@ def test_the_rest_pass_finds_all_links(spark):
     assert len(links) == len(want) and set(links) == want
 
 
+def test_pairs_of_a_large_tile_take_little_memory():
+    """Two blocks of near copies in different groups: all their pairs have equal values, and a pair's keys take a kilobyte."""
+    n, whole = 2 * 700, np.arange(64, dtype=np.int64)
+    columns = {"tile": np.zeros(n, np.int64), "at": np.zeros(n, np.int32), "id": np.arange(n), "n_shingles": np.full(n, 10)}
+    columns |= {c: np.zeros(n, np.int64) for c in minhash._LANES} | {"label": np.arange(n), "side": np.repeat(np.int32([-1, 1]), n // 2)}
+    keys = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * 64, np.tile(whole + 1, n))
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns.values()), keys], names=[*columns, "keys"])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in minhash._in_tiles(iter([batch]), percent=80, kept=None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n and peak < 60_000_000
+
+
 def test_pages_of_one_template_meet_in_few_lists(spark):
     """Pages that share 40 % of their words and are no duplicates: rows in tiles grow with the pages, and the links among them are found."""
     many = []

@@ -65,3 +65,25 @@ def test_every_locus_is_walked_as_before(spark):
         assert list(upto) == [int(k >= pick) for k in range(3)]
         used[:, pick] += (size, positives)
     assert len(got) == 300 and set(got) == {1, 2, 3}
+
+
+def test_few_rows_are_looked_up_by_marks(spark):
+    """Nulls, repeated keys and names that clash: the results of the plain joins, and few rows reach the shuffle."""
+    rows = [(k if k % 50 else None, f"t{k}", k % 7, 1) for k in range(20_000)] + [(17, "again", 0, 0), (-5, "below", 0, 0)]
+    wide = spark.createDataFrame(rows, "id long, text string, _marks int, _MARKSpart int")
+    ids = spark.createDataFrame([(k,) for k in [*range(3, 20_000, 1000), 17, 17, -5, 10**12, None]], "id long").checkpoint()
+    for found, how in ((joins.with_ids, "left_semi"), (joins.without_ids, "left_anti")):
+        got, want = found(wide, ids, "id"), wide.join(ids, "id", how)
+        assert got.columns == wide.columns and sorted(map(str, got.collect())) == sorted(map(str, want.select(*wide.columns).collect()))
+        none = found(wide, ids.where("false").checkpoint(), "id")
+        assert none.count() == (0 if how == "left_semi" else len(rows))
+    marked, name = joins._marked(wide, ids, "id")
+    assert marked.where(name).count() < 100
+
+
+def test_marks_are_bounded(spark, monkeypatch):
+    """Where keys are more than the marks can tell, more rows are looked up and none is lost."""
+    wide, ids = spark.range(100_000).selectExpr("id", "'x' AS text"), spark.range(0, 100_000, 3).checkpoint()
+    monkeypatch.setattr(joins, "MOST_MARKS", 40_000)
+    assert joins.with_ids(wide, ids, "id").count() == ids.count()
+    assert joins.without_ids(wide, ids, "id").count() == 100_000 - ids.count()
