@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.text import slices, unused
+from lociq.llm.text import release, slices, unused
 from lociq.llm.tokens import encoder
 from lociq.session import cut_lineage
 
 CAPACITY = 2048
+#: Bytes of text that are encoded at a time: the tables of a word are many, and the words' ids stay known.
+ENCODED = 250_000
 #: Pieces of a block, on average.
 BLOCK = 30_000
 #: The shortest pieces of a block come last and fill what the others leave.
@@ -69,7 +71,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = encoder(tokenizer, words).column
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODED):
                 ids, first = column(part.column("text"))
                 ids = np.insert(ids, first[1:], closing).astype("<u4", copy=False)
                 first = first + np.arange(len(first))
@@ -85,6 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: i
                     [part.column("id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array(cut if with_ids else [None] * len(cut), pa.binary())],
                     names=["id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
+            release()
 
     kind = docs.schema[id_column].dataType.simpleString()
     made = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
@@ -120,7 +123,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_column: str = "length
             bins, offsets, gaps = sum_of_squares(length, capacity)
             ids = base + (key[0].as_py() << 20) + bins
             table = table.select(names).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
-            return table.append_column(is_open, pa.array(gaps[bins] > 0))
+            table = table.append_column(is_open, pa.array(gaps[bins] > 0))
+            release()
+            return table
 
         # Rows are checkpointed, so their numbers don't change when a task runs again.
         dealt = rows.withColumn(dealt_at, F.xxhash64(F.monotonically_increasing_id(), F.lit(turn))).withColumn(block_of, F.pmod(dealt_at, F.lit(blocks)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.text import ALNUM, Words, mix, slices, words_of
+from lociq.llm.text import ALNUM, Words, mix, release, slices, words_of
 from lociq.session import cut_lineage
 
 WINDOW = 13
@@ -194,6 +194,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id"
                         [part.column("row"), part.column("id"), pa.array(n), pa.array([[{"first": a, "words": b - a} for a, b in merged(runs[r])] if r in runs else [] for r in some], pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))), pa.array([sorted(seen[r]) if r in seen else [] for r in some], pa.list_(pa.int64())), *(part.column(c) for c in kept)],
                         names=["row", "id", "n_words", "spans", "items", *kept],
                     )
+                release()
 
         now = texts.mapInArrow(run, schema)
         found = now if found is None else found.unionByName(now)
