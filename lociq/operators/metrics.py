@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociq.functions.scalars import reciprocal_span
+from lociq.operators import joins
 from lociq.operators.joins import join_large, join_sized
 from lociq.operators.prefix import CELL, HEAVY_CELL, before_cell, heavy_cells, no_null, score_cells
 
@@ -82,6 +83,8 @@ AREAS = {
     # Davis and Goadrich (2006).
     "aupvr_dg": _clipped(f"sum({_interpolated()}) / max(pos)", "max(pos) > 0"),
 }
+#: Folds up to which the counts of all (test fold, role) are columns of one row.
+MOST_FOLDS = 16
 # SQL of both average ranks over threshold rows within loci.
 RANKS = {
     "avgrank_all": "try_divide(sum(p * (tp + fp - (p + n - 1) / 2D)), sum(p))",
@@ -275,3 +278,69 @@ def evaluate_folds(
     within = fold_points(df, [*keys, locus], n_fold, score, label)
     ranks = within.groupBy(*task).agg(*[F.expr(sql).alias(name) for name, sql in RANKS.items()])
     return out.join(ranks, task)
+
+
+def side_points(
+    members: DataFrame, keys: Sequence[str], n_fold: int, score: str = "score", label: str = "label", whole: bool = False
+) -> DataFrame:
+    """Threshold rows of every (test_fold, role) of ``members``, which have these two columns.
+
+    Members are counted where they say they belong, so scores may depend on the fold and nothing is
+    taken as the rest of something else. The counts of all sides travel as columns of one row per distinct score: the rows of a case, one
+    for each test fold, are one before the first shuffle. With ``whole`` a group of ``keys`` is sorted in one piece, not by cells.
+    A side that is none of ``n_fold`` is an error.
+    """
+    sides = [(k, role) for role in ("test", "train") for k in range(1, n_fold + 1)]
+    at = " ".join(f"WHEN role = '{role}' AND test_fold = {k} THEN {i}" for i, (k, role) in enumerate(sides))
+    unknown = f"raise_error(concat('no side of {n_fold} folds: ', test_fold, ' ', role))"
+    rows = members.where(no_null([*keys, "test_fold", "role"])).selectExpr(
+        *_quoted(keys), f"CAST(`{score}` AS DOUBLE) AS score", f"CAST(`{label}` AS BIGINT) AS _label", f"CASE {at} ELSE CAST({unknown} AS INT) END AS _side"
+    )
+    columns = [f"{c}{i}" for c in "pn" for i in range(len(sides))]
+    hits = {"p": "coalesce(_label, 0L)", "n": "coalesce(1L - _label, 0L)"}
+    tallies = [F.expr(f"sum(CASE WHEN _side = {i} THEN {hits[c]} ELSE 0L END)").alias(f"{c}{i}") for c in "pn" for i in range(len(sides))]
+    # Bits of the sides that have members at the score, with or without a label; both branches below read them, and so the same exchange.
+    counts = rows.groupBy(*keys, "score").agg(*tallies, F.expr("bit_or(shiftleft(1L, _side))").alias("_seen")).where("_seen <> 0")
+    parts = {"p": "p{i}", "n": "n{i}"}
+    if whole:
+        part = ", ".join(_quoted(keys))
+        points = counts.selectExpr("*", *[f"sum({c}) OVER (PARTITION BY {part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS t{c}" for c in columns])
+        parts |= {"tp": "tp{i}", "fp": "tn{i}"}
+    else:
+        counts = score_cells(counts, keys, heavy_cells(members, keys, score))
+        cells = counts.groupBy(*keys, CELL).agg(*[F.sum(c).alias(c) for c in columns])
+        points = join_large(counts.selectExpr("*", *_upto(keys, columns)), before_cell(cells, keys, columns, descending=True), [*keys, CELL])
+        parts |= {"tp": "tp{i} + p{i}_before", "fp": "tn{i} + n{i}_before", "pos": "p{i}_total", "neg": "n{i}_total"}
+    mine = ", ".join(
+        f"named_struct('test_fold', {k}, 'role', '{role}', 'members', shiftright(_seen, {i}) & 1L, " + ", ".join(f"'{name}', {sql.format(i=i)}" for name, sql in parts.items()) + ")"
+        for i, (k, role) in enumerate(sides)
+    )
+    out = [*_quoted(keys), "score"]
+    return points.selectExpr(*out, f"explode(array({mine})) AS _m").selectExpr(*out, "_m.*").where("members = 1").drop("members")
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group of ``keys``."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
+def evaluate_sides(
+    members: DataFrame,
+    keys: Sequence[str],
+    n_fold: int,
+    grouped: bool = True,
+    which: Sequence[str] = tuple(AREAS),
+    locus: str = "locus_id",
+    score: str = "score",
+    label: str = "label",
+) -> DataFrame:
+    """Equal to ``evaluate`` by (keys, test_fold, role) for members of up to ``MOST_FOLDS`` folds."""
+    task = [*keys, "test_fold", "role"]
+    out = side_points(members, keys, n_fold, score, label).groupBy(*task).agg(*_area_columns(which))
+    if not grouped:
+        return out
+    # Loci are sorted in one piece unless one is heavy, with all tasks together or in one of them.
+    whole = any(largest_group(members.where(F.col(locus).isNotNull()), by) <= joins.HEAVY_ROWS for by in ([locus], [*keys, locus]))
+    within = side_points(members, [*keys, locus], n_fold, score, label, whole)
+    ranks = within.groupBy(*task).agg(*[F.expr(sql).alias(name) for name, sql in RANKS.items()])
+    return out.join(ranks, task)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.operators.joins import join_large
-from lociq.operators.metrics import evaluate
+from lociq.operators.metrics import MOST_FOLDS, evaluate, evaluate_sides
 
 TASK = ["config_id", "rep", "test_fold"]
 METRICS = ["auroc", "aupvr_step", "aupvr_dg", "avgrank_all", "avgrank_neg"]
@@ -48,9 +48,18 @@ def repair_nan_scores(df: DataFrame, score: str = "score", value: float = 0.5) -
     return df.withColumn("was_nan", F.isnan(score).cast("int")).withColumn(score, F.nanvl(F.col(score), F.lit(value)))
 
 
-def role_metrics(members: DataFrame, keys: Sequence[str] = TASK, grouped: bool = True, which: Sequence[str] = ("auroc", "aupvr_step", "aupvr_dg")) -> DataFrame:
-    """Metrics per (task, role), long form."""
-    return evaluate(members, [*keys, "role"], grouped, which)
+def role_metrics(
+    members: DataFrame, keys: Sequence[str] = TASK, grouped: bool = True, which: Sequence[str] = ("auroc", "aupvr_step", "aupvr_dg"), n_fold: int | None = None
+) -> DataFrame:
+    """Metrics per (task, role), long form.
+
+    Where ``n_fold`` says how many test folds there are, their rows are counted side by side, so what is shuffled
+    and sorted grows with the cases, not with cases x folds. ``members`` are gone through several times.
+    """
+    if n_fold is None or n_fold > MOST_FOLDS or "test_fold" not in keys:
+        return evaluate(members, [*keys, "role"], grouped, which)
+    out = evaluate_sides(members, [k for k in keys if k != "test_fold"], n_fold, grouped, which)
+    return out.select(*keys, "role", *[c for c in out.columns if c not in (*keys, "role")])
 
 
 def roles_to_columns(long: DataFrame, keys: Sequence[str] = TASK, metrics: Sequence[str] | None = None) -> DataFrame:
